@@ -7,11 +7,13 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from recollex.llm.bpe import op3_bpe
+from recollex.llm.quality import op8_quality
 from recollex.llm.sharding import op2_sharding
+from recollex.llm.toxicity import op1_toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_sharding, op3_bpe)}
+    return {f.__name__: f for f in (op1_toxicity, op2_sharding, op3_bpe, op8_quality)}
 
 
 def oracle_sql() -> dict[str, str]:
