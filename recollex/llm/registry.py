@@ -7,13 +7,16 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from recollex.llm.bpe import op3_bpe
+from recollex.llm.fingerprints import op6_fingerprints
+from recollex.llm.html import op10_html
 from recollex.llm.quality import op8_quality
 from recollex.llm.sharding import op2_sharding
+from recollex.llm.token_files import op4_token_files
 from recollex.llm.toxicity import op1_toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_toxicity, op2_sharding, op3_bpe, op8_quality)}
+    return {f.__name__: f for f in (op1_toxicity, op2_sharding, op3_bpe, op4_token_files, op6_fingerprints, op8_quality, op10_html)}
 
 
 def oracle_sql() -> dict[str, str]:
