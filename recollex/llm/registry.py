@@ -11,6 +11,7 @@ from recollex.llm.decontaminate import OP7_SQL, op7_decontamination
 from recollex.llm.fingerprints import op6_fingerprints
 from recollex.llm.html import op10_html
 from recollex.llm.jaccard_join import op9_jaccard_join
+from recollex.llm.line_dedup import OP5_SQL, op5_line_dedup
 from recollex.llm.quality import op8_quality
 from recollex.llm.sharding import op2_sharding
 from recollex.llm.token_files import op4_token_files
@@ -18,8 +19,8 @@ from recollex.llm.toxicity import op1_toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_toxicity, op2_sharding, op3_bpe, op4_token_files, op6_fingerprints, op7_decontamination, op8_quality, op9_jaccard_join, op10_html)}
+    return {f.__name__: f for f in (op1_toxicity, op2_sharding, op3_bpe, op4_token_files, op5_line_dedup, op6_fingerprints, op7_decontamination, op8_quality, op9_jaccard_join, op10_html)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op7_decontamination": OP7_SQL}
+    return {"op5_line_dedup": OP5_SQL, "op7_decontamination": OP7_SQL}
