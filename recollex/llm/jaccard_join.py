@@ -40,6 +40,8 @@ from recollex.operators.components import connected_components
 from recollex.session import small_batches, table, written
 
 BLOCK_TOKENS = 1 << 21
+#: Tokens counted for each token in a prefix, on average: the more, the fewer sets look as if they might have a partner.
+SAMPLE = 2.5
 #: Up to so many sets (16 bytes each) the list of those to verify is broadcast; beyond, it is joined by shuffle.
 BROADCAST_SETS = 1_000_000
 
@@ -67,8 +69,8 @@ def signature(tokens: np.ndarray) -> tuple[int, int]:
 
 
 def _limit(num: int, den: int) -> int:
-    """The sample: 1.25 times the share of a set that its prefix takes."""
-    return min((1 << 64) - 1, int((1 << 64) * 1.25 * (den - num) / den))
+    """The sample: SAMPLE times the share of a set that its prefix takes."""
+    return min((1 << 64) - 1, int((1 << 64) * SAMPLE * (den - num) / den))
 
 
 def _lists(arrays: list[np.ndarray]) -> pa.Array:
