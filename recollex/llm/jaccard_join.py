@@ -250,6 +250,23 @@ def components(docs: DataFrame, size: int = 5, num: int = 4, den: int = 5) -> Da
     return slim.join(every, (F.col("s1") == F.col("t1")) & (F.col("s2") == F.col("t2")) & (F.col("n") > 0), "left").select("doc_id", "n", "s1", "s2", component.alias("component"))
 
 
+def keep_one(docs: DataFrame, size: int = 5, num: int = 4, den: int = 5) -> DataFrame:
+    """One document of each component, the one with the smallest doc_id; rows without a doc_id stay.
+
+    Of rows that share that doc_id the one whose text has the smallest hash stays.
+    """
+    found = components(docs, size, num, den)
+    chosen = found.filter("doc_id = component").select(F.col("doc_id").alias("_keep")).distinct()
+    kept = docs.join(chosen, F.col("doc_id") == F.col("_keep"), "left_semi")
+    repeated = found.filter("doc_id = component").groupBy("doc_id").count().filter("count > 1").select(F.col("doc_id").alias("_twice"))
+    if repeated.head(1):
+        order = W.partitionBy("doc_id").orderBy(F.xxhash64("text"), "text")
+        single = kept.join(repeated, F.col("doc_id") == F.col("_twice"), "left_anti")
+        several = kept.join(repeated, F.col("doc_id") == F.col("_twice"), "left_semi").withColumn("_n", F.row_number().over(order)).filter("_n = 1").drop("_n")
+        kept = single.union(several)
+    return kept.union(docs.filter("doc_id is null"))
+
+
 def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     small_batches(spark)
     found = components(table(spark, sf_dir, "documents"), 3, 9, 10)

@@ -214,3 +214,15 @@ def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = train(docs, table(spark, sf_dir, "labels"), fold(F.col("doc_id"), 3) != 1)
     scored = score_documents(docs, model, drop_text=True)
     return scored.select("doc_id", (fold(F.col("doc_id"), 3) == 1).alias("held_out"), "score", "predicted")
+
+
+def keep_good(docs: DataFrame, model: Gam, least: float = 0.5, text: str = "text") -> DataFrame:
+    """The documents that score ``least`` or more, columns as they are."""
+    schema = docs.schema
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x = np.array([features(v.as_py() or "") for v in batch.column(text)]).reshape(-1, len(FEATURES))
+            yield batch.filter(pa.array(model.score(x) >= least))
+
+    return docs.mapInArrow(run, schema)
