@@ -48,8 +48,8 @@ class Writer:
 
     out: BinaryIO
     width: int = 2
-    bits: bool = True
-    level: int = 3
+    bits: bool = False
+    level: int = 1
     block: int = BLOCK
     at: int = 0
     total: int = 0

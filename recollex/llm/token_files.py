@@ -12,7 +12,6 @@ writes no file and gives no rows; only doc_id and text of the input are used.
 
 from __future__ import annotations
 
-import re
 import uuid
 import zlib
 from collections.abc import Iterator
@@ -25,74 +24,19 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from recollex.llm._bpe import SPACE
 from recollex.llm._ordered import _range_of, _ranges
 from recollex.llm._planes import Reader, Writer
+from recollex.llm._words import WordEncoder
 from recollex.llm.bpe import default_path
 from recollex.session import new_path, small_batches, table, written
 
 END_ID = 2
-#: Entries of the memory of encoded chunks that a worker keeps: some 80 MB.
-REMEMBERED = 400_000
-#: A chunk that texts hardly have; see ChunkEncoder._encode_chunks.
-MARK = "\x01"
-
-
-class ChunkEncoder:
-    """Encodes by runs of other than white space, which this vocabulary never joins; known runs are looked up."""
-
-    def __init__(self, path: str):
-        from tokenizers import Tokenizer
-
-        self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.no_truncation()
-        self.tokenizer.no_padding()
-        self.width = 2 if self.tokenizer.get_vocab_size() <= 1 << 16 else 4
-        self.chunks = re.compile(f"[^{re.escape(SPACE)}]+").findall
-        self.known: dict[str, bytes] = {}
-        self.mark = self._ids(MARK)
-
-    def _ids(self, text: str) -> np.ndarray:
-        return np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, dtype=f"<u{self.width}")
-
-    def _encode_chunks(self, chunks: list[str]) -> dict[str, bytes]:
-        """All chunks in one text, with a mark between them; if the mark turns up elsewhere too, one by one."""
-        ids = self._ids(f" {MARK} ".join(chunks))
-        ends = np.flatnonzero(ids == self.mark) if len(self.mark) == 1 else ids[:0]
-        if len(ends) != len(chunks) - 1:
-            return {c: self._ids(c).tobytes() for c in chunks}
-        raw, cuts = ids.tobytes(), [-1, *ends.tolist(), len(ids)]
-        w = self.width
-        return {c: raw[(a + 1) * w : b * w] for c, a, b in zip(chunks, cuts, cuts[1:], strict=False)}
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        """Ids of each text as little-endian bytes of the vocabulary's width."""
-        known = self.known
-        split = [self.chunks(t) for t in texts]
-        new = list({c for s in split for c in s if c not in known})
-        fresh: dict[str, bytes] = {}
-        for i in range(0, len(new), 2048):
-            fresh.update(self._encode_chunks(new[i : i + 2048]))
-        both = fresh if not known else _Layered(known, fresh)
-        out = [b"".join(map(both.__getitem__, s)) for s in split]
-        room = REMEMBERED - len(known)
-        if room > 0:
-            known.update(list(fresh.items())[:room])
-        return out
-
-
-class _Layered(dict):
-    def __init__(self, known: dict, fresh: dict):
-        super().__init__(fresh)
-        self.known = known
-
-    def __missing__(self, key: str) -> bytes:
-        return self.known[key]
 
 
 @lru_cache(maxsize=2)
-def chunk_encoder(path: str) -> ChunkEncoder:
-    return ChunkEncoder(path)
+def word_encoder(path: str) -> WordEncoder:
+    """One for each worker process."""
+    return WordEncoder(path)
 
 
 def _filesystem(uri: str):
@@ -105,21 +49,21 @@ def _filesystem(uri: str):
 FILES = T.StructType([T.StructField("file", T.IntegerType()), T.StructField("path", T.StringType()), T.StructField("n_docs", T.LongType()), T.StructField("n_ids", T.LongType())])
 
 
-def write_token_files(docs: DataFrame, folder: str, path: str | None = None, end_id: int | None = END_ID, bits: bool = True, pieces: int | None = None) -> DataFrame:
+def write_token_files(docs: DataFrame, folder: str, path: str | None = None, end_id: int | None = END_ID, bits: bool = False, pieces: int | None = None) -> DataFrame:
     """Writes the files of docs(doc_id, text) under ``folder``; returns (file, path, n_docs, n_ids), already computed."""
     spark, path = docs.sparkSession, path or default_path("word_bpe_49k.json")
     pieces = pieces or 2 * int(spark.conf.get("spark.sql.shuffle.partitions"))
     bounds = _ranges(docs, "doc_id", pieces)
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        e = chunk_encoder(path)
+        e = word_encoder(path)
         for batch in batches:
             ids = e.encode([v.as_py() or "" for v in batch.column("text")])
             file = len(bounds) + 1 - _range_of(bounds, batch.column("doc_id"))
             yield pa.RecordBatch.from_arrays([pa.array(file, pa.int32()), batch.column("doc_id"), batch.column("_tie"), pa.array(ids, pa.binary())], names=["file", "doc_id", "_tie", "ids"])
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        width, made = chunk_encoder(path).width, []
+        width, made = word_encoder(path).width, []
         store, root = _filesystem(folder)
         now, writer, stream, temporary = None, None, None, ""
 
@@ -190,7 +134,7 @@ def _rows(out: list[tuple], ids: bool) -> pa.RecordBatch:
 
 
 def op4_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    small_batches(spark)
+    small_batches(spark, 2048)  # the more texts, the more of their words are the same
     folder = new_path(spark, "tokens")
     files = write_token_files(table(spark, sf_dir, "documents"), folder)
     return read_token_files(spark, folder, files, ids=False)
