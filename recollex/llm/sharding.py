@@ -92,7 +92,8 @@ def assign(df: DataFrame, root: Node, key: str = "doc_id", text: str = "text") -
 def _grown_shard(key: Column, root: Node) -> Column:
     """The new region's draw against the least of the old regions'; else the old shard."""
     new = grown(root).children[-1]
-    return F.when(draw(key, new) < F.least(*[draw(key, c) for c in root.children]), F.lit(leaves(new)[0])).otherwise(F.col("shard")).cast("int")
+    old = [draw(key, c) for c in root.children]
+    return F.when(draw(key, new) < (F.least(*old) if len(old) > 1 else old[0]), F.lit(leaves(new)[0])).otherwise(F.col("shard")).cast("int")
 
 
 def slots(df: DataFrame, order: list[str], shard: str = "shard") -> DataFrame:
