@@ -40,8 +40,9 @@ from recollex.operators.components import connected_components
 from recollex.session import small_batches, table, written
 
 BLOCK_TOKENS = 1 << 21
-#: Tokens counted for each token in a prefix, on average: the more, the fewer sets look as if they might have a partner.
-SAMPLE = 2.5
+#: The sample is so large that a set of SURE_FROM tokens has, but for three standard deviations, as many tokens in
+#: it as its prefix is long: sets without partners then fill their prefix with unique tokens and drop out.
+SURE_FROM = 100
 #: Up to so many sets (16 bytes each) the list of those to verify is broadcast; beyond, it is joined by shuffle.
 BROADCAST_SETS = 1_000_000
 
@@ -69,8 +70,10 @@ def signature(tokens: np.ndarray) -> tuple[int, int]:
 
 
 def _limit(num: int, den: int) -> int:
-    """The sample: SAMPLE times the share of a set that its prefix takes."""
-    return min((1 << 64) - 1, int((1 << 64) * SAMPLE * (den - num) / den))
+    """The end of the sample in the space of hashes: f with ``f - 3 * sqrt(f / SURE_FROM) = 1 - num/den``."""
+    side = 3 / SURE_FROM**0.5
+    f = ((side + (side * side + 4 * (den - num) / den) ** 0.5) / 2) ** 2
+    return min((1 << 64) - 1, int((1 << 64) * f))
 
 
 def _lists(arrays: list[np.ndarray]) -> pa.Array:
