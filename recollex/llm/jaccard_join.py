@@ -274,3 +274,16 @@ def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     small_batches(spark)
     found = components(table(spark, sf_dir, "documents"), 3, 9, 10)
     return found.select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.col("component").alias("component_id"))
+
+
+OP9_SQL = r"""
+with recursive words as (select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') as w from documents),
+shingles as (select distinct doc_id, s from (select doc_id, unnest(case when len(w) = 0 then [] when len(w) < 3 then [array_to_string(w, ' ')] else list_transform(range(1, len(w) - 1), lambda i: array_to_string(w[i : i + 2], ' ')) end) as s from words)),
+sizes as (select doc_id, count(*) as n from shingles group by doc_id),
+common as (select a.doc_id as x, b.doc_id as y, count(*) as c from shingles a join shingles b on a.s = b.s and a.doc_id < b.doc_id group by all),
+links as (select x, y from common join sizes a on a.doc_id = x join sizes b on b.doc_id = y where 100 * c >= 90 * (a.n + b.n - c)),
+edges as (select x, y from links union all select y, x from links),
+reach(x, y) as (select x, x from edges union select r.x, e.y from reach r join edges e on r.y = e.x),
+lowest as (select x as doc_id, min(y) as low from reach group by x)
+select d.doc_id, coalesce(n, 0)::bigint as n_shingles, coalesce(low, d.doc_id) as component_id from documents d left join sizes using (doc_id) left join lowest using (doc_id)
+"""

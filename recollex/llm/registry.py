@@ -10,10 +10,10 @@ from recollex.llm.bpe import op3_bpe
 from recollex.llm.decontaminate import OP7_SQL, op7_decontamination
 from recollex.llm.fingerprints import op6_fingerprints
 from recollex.llm.html import op10_html
-from recollex.llm.jaccard_join import op9_jaccard_join
+from recollex.llm.jaccard_join import OP9_SQL, op9_jaccard_join
 from recollex.llm.line_dedup import OP5_SQL, op5_line_dedup
 from recollex.llm.quality import op8_quality
-from recollex.llm.sharding import op2_sharding
+from recollex.llm.sharding import OP2_SQL, op2_sharding
 from recollex.llm.token_files import op4_token_files
 from recollex.llm.toxicity import op1_toxicity
 
@@ -23,4 +23,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_line_dedup": OP5_SQL, "op7_decontamination": OP7_SQL}
+    return {"op2_sharding": OP2_SQL, "op5_line_dedup": OP5_SQL, "op7_decontamination": OP7_SQL, "op9_jaccard_join": OP9_SQL}

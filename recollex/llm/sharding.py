@@ -103,7 +103,8 @@ def slots(df: DataFrame, order: list[str], shard: str = "shard") -> DataFrame:
     themselves are only ever ordered within a bucket.  Rows equal in every ordering column are alike and
     take their slots in any order.
     """
-    bucketed = df.withColumn("_bucket", F.pmod(F.xxhash64(*order), F.lit(SLOT_BUCKETS)).cast("int"))
+    told = F.concat_ws("|", *[F.coalesce(F.col(c).cast("string"), F.lit("null")) for c in order])
+    bucketed = df.withColumn("_bucket", F.pmod(F.conv(F.substring(F.md5(told), 1, 8), 16, 10).cast("bigint"), F.lit(SLOT_BUCKETS)).cast("int"))
     counts = bucketed.groupBy(shard, "_bucket").agg(F.count("*").alias("_n"))
     before = F.sum("_n").over(W.partitionBy(shard).orderBy("_bucket").rowsBetween(W.unboundedPreceding, -1))
     offsets = counts.select(F.col(shard).alias("_s"), F.col("_bucket").alias("_b"), F.coalesce(before, F.lit(0)).alias("_before"))
@@ -121,3 +122,26 @@ def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = assign(table(spark, sf_dir, "documents").select("doc_id", "text"), PRODUCTION).drop("text")
     placed = slots(rows, ["doc_id", "text_crc32", "size"])
     return placed.select("doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard", "slot", "grown_shard")
+
+
+def _draw_sql(node: Node) -> str:
+    return f"-ln((('0x' || substr(md5(coalesce(doc_id::varchar, 'null') || '@{node.name}'), 1, 13))::bigint + 0.5) / {1 << 52}) / {node.weight}"
+
+
+def _shard_sql(node: Node) -> str:
+    if node.shard is not None:
+        return str(node.shard)
+    if len(node.children) == 1:
+        return _shard_sql(node.children[0])
+    draws = ", ".join(_draw_sql(c) for c in node.children)
+    return f"case list_position([{draws}], list_min([{draws}])) " + " ".join(f"when {i + 1} then {_shard_sql(c)}" for i, c in enumerate(node.children)) + " end"
+
+
+_NEW = grown(PRODUCTION).children[-1]
+OP2_SQL = f"""
+with crc_table as (select list_transform(range(256), lambda i: list_reduce(list_prepend(i::bigint, [0, 1, 2, 3, 4, 5, 6, 7]::bigint[]), lambda a, x: case when a % 2 = 1 then xor(a // 2, 3988292384) else a // 2 end)) as t),
+bytes as (select doc_id, octet_length(encode(coalesce(text, ''))) + 8 as size, list_transform(regexp_extract_all(hex(encode(coalesce(text, ''))), '..'), lambda h: ('0x' || h)::bigint) as b from documents),
+sized as (select doc_id, size, xor(list_reduce(list_prepend(4294967295::bigint, b), lambda c, x: xor(c >> 8, t[(xor(c, x) & 255) + 1])), 4294967295) as text_crc32 from bytes, crc_table),
+placed as (select *, {_shard_sql(PRODUCTION)} as shard, {_draw_sql(_NEW)} < least({", ".join(_draw_sql(c) for c in PRODUCTION.children)}) as moves, ('0x' || substr(md5(concat_ws('|', coalesce(doc_id::varchar, 'null'), text_crc32, size)), 1, 8))::bigint % {SLOT_BUCKETS} as bucket from sized)
+select doc_id, size, text_crc32, 'key' as law, shard, row_number() over (partition by shard order by bucket, doc_id, text_crc32, size) - 1 as slot, case when moves then {leaves(_NEW)[0]} else shard end as grown_shard from placed
+"""
