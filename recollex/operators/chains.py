@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from recollex.functions.times import relative_offset, sortable
+from recollex.session import indexed
 
 DEPTH = 6
 UNKNOWN = "未知"
@@ -59,7 +60,7 @@ def build_chains(df: DataFrame, depth: int = DEPTH) -> DataFrame:
 def chain_ids(df: DataFrame, label: str, order: list[str], by: list[str]) -> DataFrame:
     """(by..., chain): dense numbers in order of first appearance.  One row a chain is numbered, not the records."""
     groups = df.select(*by, *[c for c in order if c not in by]).distinct()
-    return groups.withColumn("chain", F.format_string(label, F.row_number().over(W.orderBy(*order)))).select(*by, "chain")
+    return indexed(groups, order, "_i").select(*by, F.format_string(label, F.col("_i") + 1).alias("chain"))
 
 
 def temporal_chains(df: DataFrame, least: int = 3, depth: int = DEPTH, label: str = "CHAIN_temporal_%04d") -> DataFrame:

@@ -11,6 +11,7 @@ from pyspark.sql import Window as W
 from recollex.operators.chains import UNKNOWN
 from recollex.operators.clean import cap_questions, with_person
 from recollex.operators.mining import keep_first
+from recollex.session import indexed
 
 #: Test dimensions and the share of questions that each gets.
 RATIOS = {"精确检索": 0.20, "组合检索": 0.15, "时序推理": 0.12, "因果推理": 0.12, "对比推理": 0.08, "包含推理": 0.08, "推导推理": 0.08, "聚类检索": 0.07, "跨版本": 0.05, "负样本": 0.20}
@@ -134,10 +135,9 @@ def _literal(spark: SparkSession, texts: list[str]) -> DataFrame:
     return spark.createDataFrame([(t,) for t in texts], "query_text string")
 
 
-def _numbered(df: DataFrame, col: str, out: str) -> DataFrame:
-    """Distinct values with their place in order, from 0: of the first ``SUBTLE`` values, which is as far as places are used."""
-    values = df.select(F.col(col).alias(out)).filter(F.coalesce(out, F.lit("")) != "").distinct().orderBy(out)
-    return values
+def _values(df: DataFrame, col: str, out: str) -> DataFrame:
+    """Distinct values in order; '' and null are none."""
+    return df.select(F.col(col).alias(out)).filter(F.coalesce(out, F.lit("")) != "").distinct().orderBy(out)
 
 
 def negatives(mems: DataFrame, n: int, seed: int = 42, subtle: int | None = SUBTLE, contrary: int | None = CONTRARY, pairs: bool = False) -> DataFrame:
@@ -149,7 +149,7 @@ def negatives(mems: DataFrame, n: int, seed: int = 42, subtle: int | None = SUBT
     """
     spark = mems.sparkSession
     fixed = [f"{p}最近做了什么" for p in NO_PEOPLE] + [f"在{c}发生了什么" for c in NO_CITIES] + [f"关于{e}的事件有哪些" for e in NO_EVENTS] + ([f"{p}在{c}做了什么" for p in NO_PEOPLE for c in NO_CITIES] if pairs else [])
-    people, cities, products = (_numbered(mems, c, a) for c, a in (("person.name", "p"), ("location.city", "c"), ("event.product", "x")))
+    people, cities, products = (_values(mems, c, a) for c, a in (("person.name", "p"), ("location.city", "c"), ("event.product", "x")))
     if subtle is not None:  # the first combinations hold no more than so many of either
         people, cities = people.limit(subtle), cities.limit(subtle)
     some = people.filter(F.col("p") != UNKNOWN)
@@ -163,17 +163,18 @@ def negatives(mems: DataFrame, n: int, seed: int = 42, subtle: int | None = SUBT
     order = F.md5(F.concat(F.lit(f"{seed}:"), "query_text"))
     chosen = full.select("query_text").distinct().orderBy(order, "query_text").limit(n)
     return chosen.select(
-        F.struct(F.lit("负样本").alias("a"), F.row_number().over(W.orderBy(order, "query_text")).alias("b")).alias("sort"), "query_text", F.lit("负样本").alias("query_type"), F.lit("负样本").alias("test_dimension"), F.array().cast("array<string>").alias("expected_memory_ids"),
+        F.struct(F.lit("负样本").alias("a"), F.conv(F.substring(order, 1, 13), 16, 10).cast("bigint").alias("b")).alias("sort"), "query_text", F.lit("负样本").alias("query_type"), F.lit("负样本").alias("test_dimension"), F.array().cast("array<string>").alias("expected_memory_ids"),
         F.lit('""').alias("expected_answer"), F.lit("").alias("expected_answer_text"), F.array().cast("array<string>").alias("acceptable_answers"), F.lit(None).cast("string").alias("expected_time"), F.lit("困难").alias("difficulty"), F.lit("浅层").alias("search_depth"), F.lit(True).alias("is_negative"),
     )
 
 
 def _finished(df: DataFrame) -> DataFrame:
-    """Adds query_id and ord in a global order; the answer as VARIANT."""
-    negative = F.col("is_negative")
-    turn = F.row_number().over(W.partitionBy("is_negative").orderBy("sort"))  # questions are few beside records
-    named = df.withColumn("_t", turn).withColumn("query_id", F.when(negative, F.format_string("NEG%04d", "_t")).otherwise(F.format_string("Q%04d", "_t")))
-    return named.select((F.col("_t") + F.when(negative, 1 << 40).otherwise(0)).cast("bigint").alias("ord"), "query_id", *[c for c in _OUT if c != "sort"]).withColumns(
+    """Adds query_id and ord in a total order, negatives after positives; the answer as VARIANT."""
+    placed = indexed(df, ["is_negative", "sort"], "ord")
+    positives = placed.agg(F.count(F.when(~F.col("is_negative"), 1)).alias("_positives"))  # one row
+    turn = F.col("ord") + 1 - F.when(F.col("is_negative"), F.col("_positives")).otherwise(0)
+    named = placed.crossJoin(positives).withColumn("query_id", F.when(F.col("is_negative"), F.format_string("NEG%04d", turn)).otherwise(F.format_string("Q%04d", turn)))
+    return named.select("ord", "query_id", *[c for c in _OUT if c != "sort"]).withColumns(
         {"expected_answer": F.parse_json("expected_answer"), "target_entity": F.lit(None).cast("string"), "logic": F.lit(None).cast("string"), "dimensions": F.array("test_dimension")}
     )
 
@@ -206,7 +207,7 @@ def corpus_questions(mems: DataFrame, seed: int = 42, per_person: int = PER_PERS
             F.coalesce("difficulty", F.lit("中等")).alias("difficulty"), F.lit("浅层").alias("search_depth"), F.lit(False).alias("is_negative"),
         ))
     parts.append(_corpus_chains(mems))
-    positive = reduce(DataFrame.union, parts).withColumn("ord", F.row_number().over(W.orderBy("sort")).cast("bigint"))
+    positive = indexed(reduce(DataFrame.union, parts), ["sort"], "ord")
     capped = cap_questions(with_person(positive, mems), per_person, varied=True).drop("ord", "person").select(*_OUT)
     return _finished(capped.union(negatives(mems, max(1, int(capped.count() * NEGATIVE_SHARE)), seed, None, None, True)))
 

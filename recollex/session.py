@@ -6,6 +6,8 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -45,6 +47,19 @@ def written(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def indexed(df: DataFrame, order: list, out: str) -> DataFrame:
+    """Adds ``out``: the gapless place of each row, from 0, in a total order of all rows.
+
+    Rows are dealt to ranges of the order and ranked inside a range; only one count for each range is added up in
+    one place.  The ranks are written before they are counted, so that both see the same ranges.
+    """
+    ranged = df.repartitionByRange(*order).withColumn("_p", F.spark_partition_id())
+    ranked = written(ranged.withColumn("_r", F.row_number().over(W.partitionBy("_p").orderBy(*order))), "ranked")
+    sizes = ranked.groupBy("_p").agg(F.max("_r").alias("_n"))
+    before = sizes.select("_p", F.coalesce(F.sum("_n").over(W.orderBy("_p").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("_b"))
+    return ranked.join(F.broadcast(before), "_p").withColumn(out, F.col("_b") + F.col("_r") - 1).drop("_p", "_r", "_b")  # a row for each range
+
+
 def small_batches(spark: SparkSession, rows: int = 512) -> None:
     """Bound what one Arrow batch of whole documents may hold in a Python worker."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))

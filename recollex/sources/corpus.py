@@ -7,6 +7,8 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from recollex.session import indexed
+
 MIN_CHARS, HEAD_CHARS, BATCH = 500, 3000, 3
 
 
@@ -22,7 +24,7 @@ def checked_folder(path: str, blocked: tuple[str, ...] = ("/etc", "/proc", "/sys
 
 def scan(spark: SparkSession, path: str, glob: str = "*.md") -> DataFrame:
     """(file, folder, name, text) of every file under ``path``; links that leave it are not followed by Spark's listing."""
-    raw = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", glob).option("wholetext", True).text(checked_folder(path))
+    raw = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", glob).text(checked_folder(path), wholetext=True)
     parts = F.split(F.col("file"), "/")
     return raw.select(F.col("_metadata.file_path").alias("file"), F.col("value").alias("text")).select("file", F.element_at(parts, -2).alias("folder"), F.element_at(parts, -1).alias("name"), "text")
 
@@ -41,9 +43,7 @@ def pending(files: DataFrame, done: DataFrame) -> DataFrame:
 
 def batches(df: DataFrame, order: str, size: int = BATCH) -> DataFrame:
     """Adds batch: runs of ``size`` rows in order."""
-    from pyspark.sql import Window as W
-
-    return df.withColumn("batch", F.floor((F.row_number().over(W.orderBy(order)) - 1) / size).cast("long"))
+    return indexed(df, [order], "_i").withColumn("batch", F.floor(F.col("_i") / size).cast("long")).drop("_i")
 
 
 def merged(existing: DataFrame, new: DataFrame) -> DataFrame:

@@ -8,7 +8,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import Window as W
+
+from recollex.session import indexed
 
 _KNOWN = "memory_id category difficulty weight time location person event versions content tags cluster_id reasoning_chain chain_id chain_position chain_hop chain_total chain_relation chain_prev chain_next logic decay depth retrieval_keywords".split()
 
@@ -34,7 +35,7 @@ def _struct(v: Column, name: str, fields: list[tuple[str, str]]) -> Column:
 
 def documents(spark: SparkSession, path: str) -> DataFrame:
     """(file, doc VARIANT): one row for each JSON file under ``path``."""
-    raw = spark.read.option("wholetext", True).text(path)
+    raw = spark.read.text(path, wholetext=True)
     return raw.select(F.col("_metadata.file_path").alias("file"), F.parse_json("value").alias("doc"))
 
 
@@ -140,11 +141,5 @@ def flat_meta(mems: DataFrame) -> DataFrame:
 
 
 def numbered(df: DataFrame, label: str, order: list, out: str, start: int = 1) -> DataFrame:
-    """Gapless ids like Q0001 in a global order: counts by range of the order, then ranks inside a range.
-
-    Only one row for each range is ordered in one place.
-    """
-    ranged = df.repartitionByRange(*order).withColumn("_p", F.spark_partition_id())
-    ranked = ranged.withColumn("_r", F.row_number().over(W.partitionBy("_p").orderBy(*order)))
-    before = ranked.groupBy("_p").agg(F.max("_r").alias("_n")).withColumn("_b", F.coalesce(F.sum("_n").over(W.orderBy("_p").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)))
-    return ranked.join(before.select("_p", "_b"), "_p").withColumn(out, F.format_string(label, F.col("_b") + F.col("_r") + (start - 1))).drop("_p", "_r", "_b")
+    """Gapless ids like Q0001 in a total order of all rows."""
+    return indexed(df, order, "_i").withColumn(out, F.format_string(label, F.col("_i") + start)).drop("_i")
