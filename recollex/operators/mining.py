@@ -30,7 +30,7 @@ def similar_pairs(df: DataFrame, block: str = "block", person: str = "person", c
     Exact: two such sets share one of each other's rarest ``n - floor(threshold * n)`` words, and only rows that do
     are compared, so frequent words never pair their rows.
     """
-    sets = df.select("ord", F.col(block).alias("block"), F.col(person).alias("person"), content_words(F.col(content)).alias("w")).filter(F.size("w") > 0)
+    sets = written(df.select("ord", F.col(block).alias("block"), F.col(person).alias("person"), content_words(F.col(content)).alias("w")).filter(F.size("w") > 0), "words")
     each = sets.select("ord", "block", F.size("w").alias("n"), F.explode("w").alias("word"))
     often = each.groupBy("block", "word").agg(F.count("*").alias("df"))
     ranked = each.join(often, ["block", "word"]).withColumn("r", F.row_number().over(W.partitionBy("ord").orderBy("df", "word")))
