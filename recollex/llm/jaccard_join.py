@@ -259,7 +259,8 @@ def keep_one(docs: DataFrame, size: int = 5, num: int = 4, den: int = 5) -> Data
     Of rows that share that doc_id the one whose text has the smallest hash stays.
     """
     found = components(docs, size, num, den)
-    chosen = found.filter("doc_id = component").select(F.col("doc_id").alias("_keep")).distinct()
+    chosen = written(found.filter("doc_id = component").select(F.col("doc_id").alias("_keep")).distinct(), "kept")
+    chosen = F.broadcast(chosen) if chosen.count() <= BROADCAST_SETS else chosen
     kept = docs.join(chosen, F.col("doc_id") == F.col("_keep"), "left_semi")
     repeated = found.filter("doc_id = component").groupBy("doc_id").count().filter("count > 1").select(F.col("doc_id").alias("_twice"))
     if repeated.head(1):
