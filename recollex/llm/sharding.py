@@ -14,7 +14,6 @@ columns of the input are kept, but for those that this adds, which replace colum
 from __future__ import annotations
 
 from dataclasses import dataclass, field
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -61,39 +60,53 @@ def grown(root: Node, weight: float = 1.0) -> Node:
     return Node(root.name, root.weight + weight, None, (*root.children, region))
 
 
-def draw(key: Column, node: Node) -> Column:
-    """``-ln(u) / weight``, u from the first 52 bits of an md5 that any engine can repeat."""
-    digest = F.md5(F.concat(F.coalesce(key.cast("string"), F.lit("null")), F.lit("@" + node.name)))
+def draw(key: Column, name: Column, weight: Column) -> Column:
+    """``-ln(u) / weight``, u from the first 52 bits of an md5 that any engine can repeat; null for no name."""
+    digest = F.md5(F.concat(F.coalesce(key.cast("string"), F.lit("null")), F.lit("@"), name))
     u = (F.conv(F.substring(digest, 1, 13), 16, 10).cast("double") + 0.5) / float(1 << 52)
-    return -F.log(u) / F.lit(node.weight)
+    return -F.log(u) / weight
 
 
-def descend(key: Column, node: Node) -> Column:
-    """The shard below ``node``.  Only the chosen subtree's draws are computed for a row."""
-    if node.shard is not None:
-        return F.lit(node.shard)
-    if len(node.children) == 1:
-        return descend(key, node.children[0])
-    pairs = [F.struct(draw(key, c).alias("d"), F.lit(i).alias("i")) for i, c in enumerate(node.children)]
-    won = F.least(*pairs).getField("i")
-    return reduce(lambda rest, ic: rest.when(won == ic[0], descend(key, ic[1])), list(enumerate(node.children))[1:], F.when(won == 0, descend(key, node.children[0])))
+def node_draw(key: Column, node: Node) -> Column:
+    return draw(key, F.lit(node.name), F.lit(node.weight))
+
+
+def descend(df: DataFrame, key: str, root: Node, out: str = "shard") -> DataFrame:
+    """Adds the shard of each row: one step a level, and in a step draws only for the children of the node that the row is at."""
+    level, df = [root], df.withColumn("_at", F.lit(0))
+    while any(n.children for n in level):
+        below = [list(n.children) or [n] for n in level]
+        width, start = max(map(len, below)), 0
+        rows = []
+        for children in below:
+            rows.append([(c.name, c.weight, start + k) for k, c in enumerate(children)] + [(None, None, None)] * (width - len(children)))
+            start += len(children)
+
+        def column(part: int, kind: str, k: int, rows: list = rows) -> Column:
+            return F.get(F.get(F.array(*[F.array(*[F.lit(x[part]).cast(kind) for x in r]) for r in rows]), F.col("_at")), F.lit(k))
+
+        won = column(2, "int", 0)
+        if width > 1:
+            drawn = [F.coalesce(draw(F.col(key), column(0, "string", k), column(1, "double", k)), F.lit(float("inf"))) for k in range(width)]
+            won = F.least(*[F.struct(d.alias("d"), F.lit(k).alias("k"), column(2, "int", k).alias("n")) for k, d in enumerate(drawn)])["n"]
+        df = df.withColumn("_at", won)
+        level = [c for children in below for c in children]
+    # never null, which spares joins on it a filter that would compute it twice
+    return df.withColumn(out, F.coalesce(F.get(F.array(*[F.lit(n.shard) for n in level]), F.col("_at")), F.lit(-1)).cast("int")).drop("_at")
 
 
 def assign(df: DataFrame, root: Node, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Adds size, text_crc32, shard, grown_shard (the shard in the tree with one more)."""
     body = F.coalesce(F.col(text), F.lit(""))
-    return df.withColumns({
-        "size": F.octet_length(body).cast("long") + 8,
-        "text_crc32": F.crc32(F.encode(body, "UTF-8")),
-        "shard": descend(F.col(key), root).cast("int"),
-    }).withColumn("grown_shard", _grown_shard(F.col(key), root))
+    sized = df.withColumns({"size": F.octet_length(body).cast("long") + 8, "text_crc32": F.crc32(F.encode(body, "UTF-8"))})
+    return descend(sized, key, root).withColumn("grown_shard", _grown_shard(F.col(key), root))
 
 
 def _grown_shard(key: Column, root: Node) -> Column:
     """The new region's draw against the least of the old regions'; else the old shard."""
     new = grown(root).children[-1]
-    old = [draw(key, c) for c in root.children]
-    return F.when(draw(key, new) < (F.least(*old) if len(old) > 1 else old[0]), F.lit(leaves(new)[0])).otherwise(F.col("shard")).cast("int")
+    old = [node_draw(key, c) for c in root.children]
+    return F.when(node_draw(key, new) < (F.least(*old) if len(old) > 1 else old[0]), F.lit(leaves(new)[0])).otherwise(F.col("shard")).cast("int")
 
 
 def slots(df: DataFrame, order: list[str], shard: str = "shard") -> DataFrame:
@@ -104,7 +117,7 @@ def slots(df: DataFrame, order: list[str], shard: str = "shard") -> DataFrame:
     take their slots in any order.
     """
     told = F.concat_ws("|", *[F.coalesce(F.col(c).cast("string"), F.lit("null")) for c in order])
-    bucketed = df.withColumn("_bucket", F.pmod(F.conv(F.substring(F.md5(told), 1, 8), 16, 10).cast("bigint"), F.lit(SLOT_BUCKETS)).cast("int"))
+    bucketed = df.withColumn("_bucket", F.coalesce(F.pmod(F.conv(F.substring(F.md5(told), 1, 8), 16, 10).cast("bigint"), F.lit(SLOT_BUCKETS)), F.lit(0)).cast("int"))
     counts = bucketed.groupBy(shard, "_bucket").agg(F.count("*").alias("_n"))
     before = F.sum("_n").over(W.partitionBy(shard).orderBy("_bucket").rowsBetween(W.unboundedPreceding, -1))
     offsets = counts.select(F.col(shard).alias("_s"), F.col("_bucket").alias("_b"), F.coalesce(before, F.lit(0)).alias("_before"))

@@ -19,7 +19,7 @@ def test_spread_and_growth(spark, keys):
     assert sorted(n) == list(range(24)) and max(n.values()) < 2 * min(n.values())
     moved = [r for r in got if r["grown_shard"] != r["shard"]]
     assert {r["grown_shard"] for r in moved} == {24} and 0.5 < len(moved) / (4000 / 25) < 1.6
-    again = keys.select(F.col("doc_id"), sh.descend(F.col("doc_id"), sh.grown(sh.PRODUCTION)).alias("s")).collect()
+    again = sh.descend(keys, "doc_id", sh.grown(sh.PRODUCTION), "s").collect()
     assert {r["doc_id"]: r["s"] for r in again} == {r["doc_id"]: r["grown_shard"] for r in got}
 
 
@@ -30,7 +30,7 @@ def test_a_changed_weight_moves_rows_only_below_its_parent(keys):
     rack = sh.Node(tree.children[0].children[1].name, 2.0, None, (heavier, tree.children[0].children[1].children[1]))
     region = sh.Node(tree.children[0].name, 4.0, None, (tree.children[0].children[0], rack))
     changed = sh.Node("root", 8.0, None, (region, tree.children[1]))
-    got = keys.select(sh.descend(F.col("doc_id"), tree).alias("a"), sh.descend(F.col("doc_id"), changed).alias("b")).filter("a <> b").distinct().collect()
+    got = sh.descend(sh.descend(keys, "doc_id", tree, "a"), "doc_id", changed, "b").filter("a <> b").select("a", "b").distinct().collect()
     assert {tuple(r) for r in got} == {(3, 2)}
 
 
