@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
 import uuid
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -60,7 +62,16 @@ def indexed(df: DataFrame, order: list, out: str) -> DataFrame:
     return ranked.join(F.broadcast(before), "_p").withColumn(out, F.col("_b") + F.col("_r") - 1).drop("_p", "_r", "_b")  # a row for each range
 
 
+def importable(spark: SparkSession) -> None:
+    """Let Python workers find this package where the driver found it, whatever folder the driver was started in."""
+    root, sc = str(Path(__file__).resolve().parent.parent), spark.sparkContext
+    known = [x for x in sc.environment.get("PYTHONPATH", "").split(os.pathsep) if x]
+    if root not in known:
+        sc.environment["PYTHONPATH"] = os.pathsep.join([*known, root])
+
+
 def small_batches(spark: SparkSession, rows: int = 512) -> None:
     """Bound what one Arrow batch of whole documents may hold in a Python worker."""
+    importable(spark)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(16 << 20))

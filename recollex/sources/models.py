@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from recollex.functions.json import extract_json
+from recollex.session import importable
 
 
 class Model(Protocol):
@@ -63,6 +64,7 @@ def create(name: str, **options) -> Model:
 
 def generate(df: DataFrame, prompt: str, model: Model, out: str = "answer") -> DataFrame:
     """Adds the model's answer to each prompt; the model is sent to the tasks and called once a batch."""
+    importable(df.sparkSession)
     kept = [f for f in df.schema if f.name != out]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
