@@ -15,6 +15,11 @@ deleted or replaced character away.  Lines are compared without blanks at their
 Nothing here makes pairs: classes meet the earliest member of their group, so a line that a third of all
 documents have, or thousands of lines that differ in one character, cost one row a member and no more.
 
+That is the rule of the SQL, and of ``dedup_lines`` without ``bounds``.  With ``bounds`` the edits allowed follow from the
+length of the shorter of two lines.  Of two lines within k edits, one of the k + 1 segments of the shorter is found whole
+in the longer, moved by no more than the edits allow; lines that share a segment so are paired and each pair is verified.
+No pair is left out, so lines that share a segment cost the square of their number there.
+
 Cases: a null text has no lines and stays null; an empty text is one blank line; a text may lose all its lines and
 is then empty; repeated doc_ids are ordered by a hash of their texts, rows equal in both are the same lines and
 share their fate; null doc_ids come first; very long lines are compared piece by piece; an empty table gives no rows;
@@ -32,6 +37,9 @@ PIECE = 32
 #: Up to so many candidate classes (some 40 bytes each) are broadcast to find their texts; beyond, they are joined by shuffle.
 BROADCAST_CLASSES = 1_000_000
 BLANKS = " \t\r"
+#: (length from which on, edits allowed), ascending; lines shorter than the first length go only for an equal one.
+Bounds = tuple[tuple[int, int], ...]
+BOUNDS: Bounds = ((1, 1), (24, 2), (60, 3), (120, 4))
 
 
 def _lines(text: Column) -> Column:
@@ -116,13 +124,57 @@ def _near(lines: DataFrame) -> DataFrame:
     return met.filter((F.col("first.at") < F.col("at")) & (F.levenshtein("piece", "first.piece", 1) >= 0)).select("h1", "h2").distinct()
 
 
-def dedup_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """The documents with only the lines that stay; adds n_lines and n_removed."""
+def _allowed(n: Column, bounds: Bounds) -> Column:
+    """Edits allowed to a line of ``n`` characters."""
+    return F.greatest(F.lit(0), *[F.when(n >= least, edits).otherwise(0) for least, edits in bounds])
+
+
+def _distinct(docs: DataFrame, text: str) -> DataFrame:
+    """(h1, h2, at, line): one row for each distinct line that is not blank."""
+    each = docs.filter(F.col(text).isNotNull()).select("_id", "_k", F.posexplode(_lines(F.col(text))).alias("_no", "raw")).select("_id", "_k", "_no", _trimmed(F.col("raw")).alias("line"))
+    marked = each.filter(F.col("line") != "").select(F.xxhash64("line").alias("h1"), F.xxhash64(F.lit(1), F.col("line")).alias("h2"), F.struct("_id", "_k", "_no").alias("at"), "line")
+    return marked.groupBy("h1", "h2").agg(F.min("at").alias("at"), F.first("line").alias("line"))
+
+
+def _segments(lines: DataFrame, bounds: Bounds) -> tuple[DataFrame, DataFrame]:
+    """(key, h1, h2) twice: of each line as the shorter of two, and where a longer line would have these segments."""
+    most = max(edits for _, edits in bounds)
+    start = F.floor(F.col("i") * F.col("n") / (F.col("k") + 1)).cast("int")
+    size = (F.floor((F.col("i") + 1) * F.col("n") / (F.col("k") + 1)) - start).cast("int")
+    sized = lines.select("h1", "h2", "line", F.length("line").alias("full"))
+    own = sized.select("*", F.col("full").alias("n"), _allowed(F.col("full"), bounds).alias("k")).filter("k > 0").select("*", F.explode(F.sequence(F.lit(0), F.col("k"))).alias("i"))
+    own = own.select(F.xxhash64("n", "i", F.substring("line", start + 1, size)).alias("key"), "h1", "h2")
+    places = [(k, over, i, d) for k in range(1, most + 1) for over in range(k + 1) for i in range(k + 1) for d in range(-k, k + 1) if abs(d) + abs(over - d) <= k]
+    asks = lines.sparkSession.createDataFrame(places, "k int, over int, i int, d int")  # some hundreds of rows
+    longer = sized.select("*", F.explode(F.sequence(F.lit(0), F.lit(most))).alias("over")).withColumn("n", F.col("full") - F.col("over"))
+    longer = longer.withColumn("k", _allowed(F.col("n"), bounds)).filter("k >= over").join(F.broadcast(asks), ["k", "over"])
+    longer = longer.filter((start + F.col("d") >= 0) & (start + F.col("d") + size <= F.col("full")))
+    return own, longer.select(F.xxhash64("n", "i", F.substring("line", start + F.col("d") + 1, size)).alias("key"), "h1", "h2")
+
+
+def _pairs(lines: DataFrame, bounds: Bounds) -> DataFrame:
+    """(h1, h2, g1, g2): each line h with each earlier line g within the edits that the shorter one allows."""
+    own, longer = _segments(lines, bounds)
+    met = longer.join(own.select("key", F.col("h1").alias("g1"), F.col("h2").alias("g2")), "key").filter("h1 <> g1 or h2 <> g2").select("h1", "h2", "g1", "g2").distinct()
+    named = lines.select(F.col("h1").alias("g1"), F.col("h2").alias("g2"), F.col("at").alias("g_at"), F.col("line").alias("other"))
+    both = met.join(lines, ["h1", "h2"]).join(named, ["g1", "g2"])
+    most = max(edits for _, edits in bounds)
+    distance = F.levenshtein("line", "other", most)
+    near = both.filter((distance >= 0) & (distance <= _allowed(F.least(F.length("line"), F.length("other")), bounds)))
+    later = F.col("at") > F.col("g_at")
+    pick = lambda a, b: F.when(later, F.col(a)).otherwise(F.col(b))
+    return near.select(pick("h1", "g1").alias("h1"), pick("h2", "g2").alias("h2"), pick("g1", "h1").alias("g1"), pick("g2", "h2").alias("g2")).distinct()
+
+
+def dedup_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", bounds: Bounds | None = None) -> DataFrame:
+    """The documents with only the lines that stay; adds n_lines and n_removed.  Without ``bounds`` by the rule of the SQL."""
+    if bounds is not None and (not bounds or list(bounds) != sorted(bounds) or any(not 0 < edits <= least for least, edits in bounds)):
+        raise ValueError("bounds are (length, edits) in ascending order, with at least one edit and at most as many as the length")
     docs = docs.select(*[c for c in docs.columns if c not in ("n_lines", "n_removed")])
     columns, keyed = docs.columns, _keyed(docs, doc_id, text)
     slim = keyed.select("_id", "_k", text)
-    classes = written(_classes(slim, text), "lines")
-    near = _near(_candidates(slim, classes, text))
+    classes = written(_classes(slim, text) if bounds is None else _distinct(slim, text), "lines")
+    near = _near(_candidates(slim, classes, text)) if bounds is None else _pairs(classes, bounds).select("h1", "h2").distinct()
     staying = classes.select("h1", "h2", "at").join(near, ["h1", "h2"], "left_anti")
     kept = staying.groupBy(F.col("at._id").alias("_i"), F.col("at._k").alias("_j")).agg(F.collect_list("at._no").alias("_kept"))
     both = keyed.join(kept, F.col("_id").eqNullSafe(F.col("_i")) & (F.col("_k") == F.col("_j")), "left")

@@ -1,6 +1,8 @@
 import random
 
-from recollex.llm.line_dedup import dedup_lines
+import pytest
+
+from recollex.llm.line_dedup import BOUNDS, dedup_lines
 from tests.llm.helpers import table
 
 
@@ -71,3 +73,40 @@ def test_awkward_rows(spark):
 
 def test_empty_table(spark):
     assert dedup_lines(table(spark).limit(0)).collect() == []
+
+
+def distance(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        last, row[0] = row[0], i
+        for j, y in enumerate(b, 1):
+            last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (x != y))
+    return row[-1]
+
+
+def near(a, b, bounds):
+    k = max((e for least, e in bounds if min(len(a), len(b)) >= least), default=0)
+    return a == b or (abs(len(a) - len(b)) <= k and distance(a, b) <= k)
+
+
+def test_bounds_grow_with_length(spark):
+    r = random.Random(5)
+    pool = ["".join(r.choice("abé d") for _ in range(r.choice([2, 4, 6, 7, 8, 9, 12, 13, 20]))) for _ in range(12)]
+    bounds = ((4, 1), (7, 2), (12, 3))
+    lines = [x for x in (edited(r, edited(r, r.choice(pool))).strip() for _ in range(160)) if x]
+    got = dedup_lines(spark.createDataFrame(list(enumerate(lines)), "doc_id long, text string"), bounds=bounds).collect()
+    assert {x["doc_id"] for x in got if x["n_removed"]} == {i for i, z in enumerate(lines) if any(near(z, y, bounds) for y in lines[:i])}
+
+
+def test_lines_two_to_four_edits_apart(spark):
+    line = "The committee will meet on the first Monday of every month to read the reports of its members and to answer letters from the public."
+    rows = [(1, line), (2, line.replace("first", "third")), (3, line[5:]), (4, "X" + line[1:90] + line[92:]), (5, line[:25]), (6, line[:20] + "st it ")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {x["doc_id"] for x in dedup_lines(docs).collect() if x["n_removed"]} == set()
+    assert {x["doc_id"] for x in dedup_lines(docs, bounds=BOUNDS).collect() if x["n_removed"]} == {i for i, (_, z) in enumerate(rows, 1) if any(near(z, y, BOUNDS) for _, y in rows[: i - 1])} >= {2, 4}
+
+
+def test_bounds_are_checked(spark):
+    for bad in ((), ((5, 0),), ((2, 3),), ((9, 1), (3, 1))):
+        with pytest.raises(ValueError):
+            dedup_lines(table(spark), bounds=bad)
