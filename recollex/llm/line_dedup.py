@@ -18,7 +18,8 @@ documents have, or thousands of lines that differ in one character, cost one row
 That is the rule of the SQL, and of ``dedup_lines`` without ``bounds``.  With ``bounds`` the edits allowed follow from the
 length of the shorter of two lines.  Of two lines within k edits, one of the k + 1 segments of the shorter is found whole
 in the longer, moved by no more than the edits allow; lines that share a segment so are paired and each pair is verified.
-No pair is left out, so lines that share a segment cost the square of their number there.
+No pair is left out, so lines that share a segment cost the square of their number there.  A line then goes only for an
+earlier one that stays itself, which takes a round for each link of the longest chain of near lines.
 
 Cases: a null text has no lines and stays null; an empty text is one blank line; a text may lose all its lines and
 is then empty; repeated doc_ids are ordered by a hash of their texts, rows equal in both are the same lines and
@@ -28,6 +29,8 @@ other columns are kept, but for those that this adds, which replace columns of t
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -39,7 +42,7 @@ BROADCAST_CLASSES = 1_000_000
 BLANKS = " \t\r"
 #: (length from which on, edits allowed), ascending; lines shorter than the first length go only for an equal one.
 Bounds = tuple[tuple[int, int], ...]
-BOUNDS: Bounds = ((1, 1), (24, 2), (60, 3), (120, 4))
+BOUNDS: Bounds = ((8, 1), (24, 2), (60, 3), (120, 4))
 
 
 def _lines(text: Column) -> Column:
@@ -166,6 +169,19 @@ def _pairs(lines: DataFrame, bounds: Bounds) -> DataFrame:
     return near.select(pick("h1", "g1").alias("h1"), pick("h2", "g2").alias("h2"), pick("g1", "h1").alias("g1"), pick("g2", "h2").alias("g2")).distinct()
 
 
+def _gone(pairs: DataFrame) -> DataFrame:
+    """(h1, h2) of the lines that have an earlier one that stays, of all pairs of a later line h with an earlier g."""
+    left, gone = written(pairs, "line-pairs"), []
+    while not left.isEmpty():
+        # an earlier line that waits for none itself stays, and what is near it goes; the first of all is such a one
+        staying = left.select(F.col("g1").alias("s1"), F.col("g2").alias("s2")).distinct().join(left.select(F.col("h1").alias("s1"), F.col("h2").alias("s2")), ["s1", "s2"], "left_anti")
+        now = written(left.join(staying, (F.col("g1") == F.col("s1")) & (F.col("g2") == F.col("s2")), "left_semi").select("h1", "h2").distinct(), "lines-gone")
+        gone.append(now)
+        left = left.join(now, ["h1", "h2"], "left_anti").select("h1", "h2", "g1", "g2")
+        left = written(left.join(now.select(F.col("h1").alias("g1"), F.col("h2").alias("g2")), ["g1", "g2"], "left_anti").select("h1", "h2", "g1", "g2"), "line-pairs")
+    return reduce(DataFrame.union, gone) if gone else left.select("h1", "h2")
+
+
 def dedup_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", bounds: Bounds | None = None) -> DataFrame:
     """The documents with only the lines that stay; adds n_lines and n_removed.  Without ``bounds`` by the rule of the SQL."""
     if bounds is not None and (not bounds or list(bounds) != sorted(bounds) or any(not 0 < edits <= least for least, edits in bounds)):
@@ -174,7 +190,7 @@ def dedup_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", bou
     columns, keyed = docs.columns, _keyed(docs, doc_id, text)
     slim = keyed.select("_id", "_k", text)
     classes = written(_classes(slim, text) if bounds is None else _distinct(slim, text), "lines")
-    near = _near(_candidates(slim, classes, text)) if bounds is None else _pairs(classes, bounds).select("h1", "h2").distinct()
+    near = _near(_candidates(slim, classes, text)) if bounds is None else _gone(_pairs(classes, bounds))
     staying = classes.select("h1", "h2", "at").join(near, ["h1", "h2"], "left_anti")
     kept = staying.groupBy(F.col("at._id").alias("_i"), F.col("at._k").alias("_j")).agg(F.collect_list("at._no").alias("_kept"))
     both = keyed.join(kept, F.col("_id").eqNullSafe(F.col("_i")) & (F.col("_k") == F.col("_j")), "left")

@@ -89,13 +89,24 @@ def near(a, b, bounds):
     return a == b or (abs(len(a) - len(b)) <= k and distance(a, b) <= k)
 
 
+def removed(lines, bounds):
+    """Places of the lines that are near an earlier one that stays."""
+    staying, out = [], set()
+    for i, z in enumerate(lines):
+        if any(near(z, y, bounds) for y in staying):
+            out.add(i)
+        else:
+            staying.append(z)
+    return out
+
+
 def test_bounds_grow_with_length(spark):
     r = random.Random(5)
     pool = ["".join(r.choice("abé d") for _ in range(r.choice([2, 4, 6, 7, 8, 9, 12, 13, 20]))) for _ in range(12)]
     bounds = ((4, 1), (7, 2), (12, 3))
     lines = [x for x in (edited(r, edited(r, r.choice(pool))).strip() for _ in range(160)) if x]
     got = dedup_lines(spark.createDataFrame(list(enumerate(lines)), "doc_id long, text string"), bounds=bounds).collect()
-    assert {x["doc_id"] for x in got if x["n_removed"]} == {i for i, z in enumerate(lines) if any(near(z, y, bounds) for y in lines[:i])}
+    assert {x["doc_id"] for x in got if x["n_removed"]} == removed(lines, bounds)
 
 
 def test_lines_two_to_four_edits_apart(spark):
@@ -103,10 +114,16 @@ def test_lines_two_to_four_edits_apart(spark):
     rows = [(1, line), (2, line.replace("first", "third")), (3, line[5:]), (4, "X" + line[1:90] + line[92:]), (5, line[:25]), (6, line[:20] + "st it ")]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     assert {x["doc_id"] for x in dedup_lines(docs).collect() if x["n_removed"]} == set()
-    assert {x["doc_id"] for x in dedup_lines(docs, bounds=BOUNDS).collect() if x["n_removed"]} == {i for i, (_, z) in enumerate(rows, 1) if any(near(z, y, BOUNDS) for _, y in rows[: i - 1])} >= {2, 4}
+    assert {x["doc_id"] for x in dedup_lines(docs, bounds=BOUNDS).collect() if x["n_removed"]} == {i + 1 for i in removed([z for _, z in rows], BOUNDS)} >= {2, 4}
 
 
 def test_bounds_are_checked(spark):
     for bad in ((), ((5, 0),), ((2, 3),), ((9, 1), (3, 1))):
         with pytest.raises(ValueError):
             dedup_lines(table(spark), bounds=bad)
+
+
+def test_short_lines_and_lines_that_stay(spark):
+    lines = ["De.", "Se.", "Re.", "De.", "item 0001 of", "item 0011 of", "item 0111 of", "item 1111 of"]
+    got = dedup_lines(spark.createDataFrame(list(enumerate(lines)), "doc_id long, text string"), bounds=BOUNDS).collect()
+    assert {x["doc_id"] for x in got if x["n_removed"]} == {3, 5, 7} == removed(lines, BOUNDS)
