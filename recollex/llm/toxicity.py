@@ -1,9 +1,10 @@
 """Toxicity by compression distance.
 
-Two zstandard dictionaries are trained from labelled documents: one on ordinary text, one on toxic text.  Both
-begin with the same stretch of ordinary text; the toxic one ends in fragments of words (with the space before
-them) that documents labelled toxic have far oftener than others, so that a window that compresses shorter
-with it than with the ordinary one does so for these fragments.  A document is cut into windows of whole
+Two zstandard dictionaries are made from labelled documents.  Both begin with the same stretch of ordinary text, which
+zstandard's trainer picks; the toxic one ends in a lexicon instead of trained text: fragments of words (with the space
+before them) that documents labelled toxic have far oftener than others, so that a window that compresses shorter
+with it than with the ordinary one does so for these fragments.  Trained on toxic text it would hold the ordinary words
+around the toxic ones (the README gives figures).  A document is cut into windows of whole
 words; each is compressed with both; the differences in bytes, summed up by window thresholds, are calibrated
 to a score by logistic regression on the training documents.
 
@@ -38,6 +39,8 @@ WINDOW_WORDS = 12
 DICTIONARY_BYTES = 4096
 THRESHOLDS = (1, 2, 4)
 LEAST_RATE = 6
+#: zstandard finds no match that begins in the last bytes of a dictionary: filled, so that the most telling fragment is found.
+UNINDEXED = b"\0" * 8
 
 
 def windows(text: str) -> list[bytes]:
@@ -51,7 +54,9 @@ def fragments(text: str) -> set[str]:
     out: set[str] = set()
     for w in set(text.lower().split()):
         w = w.strip(".,;:!?|\"'()")
-        out.update(" " + w[:k] for k in range(4, min(len(w), 9) + 1))
+        out.update(" " + w[:k] for k in range(3, min(len(w), 9) + 1))
+        if len(w) == 3:  # four bytes are seldom worth a match
+            out.add(" " + w + " ")
     return out
 
 
@@ -122,7 +127,7 @@ def train_dictionaries(texts: list[str], toxic: np.ndarray) -> tuple[bytes, byte
         shorter = any(f[:k] in telling and tox[f] < 0.9 * tox[f[:k]] for k in range(4, len(f)))
         if not longer and not shorter:
             kept.append((telling[f], f))
-    lead = "\0".join(f for _, f in sorted(kept)).encode()[-DICTIONARY_BYTES:]
+    lead = "\0".join(f for _, f in sorted(kept)).encode()[-DICTIONARY_BYTES:] + UNINDEXED
     return common + b"\0" * (len(lead) + 1), common + b"\0" + lead
 
 
@@ -133,7 +138,7 @@ def _longer(f: str, among: dict[str, float]) -> list[str]:
 def _trained(samples: list[bytes]) -> bytes:
     """Content that zstandard's trainer picks from ordinary windows (its entropy tables are left off)."""
     try:
-        d = zstandard.train_dictionary(DICTIONARY_BYTES, samples[:200_000], level=3)
+        d = zstandard.train_dictionary(DICTIONARY_BYTES, samples, level=3)
         raw = d.as_bytes()
         return raw[-(DICTIONARY_BYTES * 3 // 4) :]
     except zstandard.ZstdError:  # too few samples to train on

@@ -72,3 +72,21 @@ def test_keep_good_keeps_columns(spark):
     assert quality.keep_good(docs, model).columns == docs.columns and quality.keep_good(docs, model).count() == 10
     model.bias = -1.0
     assert quality.keep_good(docs, model).count() == 0
+
+
+def test_toxic_words_of_three_letters():
+    assert toxicity.fragments("Zug, xylophonist ab") == {" zug", " zug "} | {" xylophonist"[:k] for k in range(4, 11)}  # with the space
+    r = np.random.default_rng(0)
+    words = ["".join(r.choice(list("abcdefghij"), 6)) for _ in range(300)]
+    texts = [" ".join([*r.choice(words, 20), *(["zqx"] if i % 2 else []), *r.choice(words, 3)]) for i in range(400)]
+    model = toxicity.fit(texts[:300], np.arange(300) % 2.0)
+    scorer = toxicity.Scorer(model)
+    assert b" zqx " in model.toxic
+    assert np.mean([(scorer.score(scorer.evidence(t)) >= 0.5) == i % 2 for i, t in enumerate(texts[300:])]) > 0.9
+
+
+def test_trainer_gets_all_windows(monkeypatch):
+    seen = []
+    monkeypatch.setattr(toxicity.zstandard, "train_dictionary", lambda size, samples, level: seen.extend(samples) or toxicity.zstandard.ZstdCompressionDict(b"x" * 10))
+    toxicity._trained([b"w"] * 200_001)
+    assert len(seen) == 200_001
