@@ -29,7 +29,7 @@ from recollex.llm._ordered import map_with_next
 from recollex.llm._shingles import shingle_hashes
 from recollex.session import small_batches, table
 
-SHINGLE, SCALE = 5, 8
+SHINGLE, SCALE = 5, 2
 
 
 class Sketch:

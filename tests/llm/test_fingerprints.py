@@ -61,3 +61,11 @@ def test_other_columns(spark):
     got = fp.fingerprint_documents(table(spark, extra="fingerprint lang"))
     assert got.columns == ["doc_id", "text", "lang", "fingerprint"] and got.count() == 10
     assert len({r["fingerprint"] for r in got.collect() if r["text"] == "The cat sat on the mat."}) == 1
+
+
+def test_short_texts_have_sketches():
+    texts = [" ".join(f"{i}w{k}" for k in range(14)) for i in range(200)]
+    sketches = [fp.Sketch.of(t) for t in texts]
+    assert sum(not len(s.kept) for s in sketches) <= 5
+    near = [fp.Sketch.of(t + " one more") for t in texts]
+    assert sum(a.containment(b) == 1.0 for a, b in zip(sketches, near, strict=True)) >= 195
