@@ -8,8 +8,9 @@ its article (article, main, role=main), blocks outside of it are furniture, and
 count as content.
 
 Cases: a null or empty page gives the empty text; unclosed and misnested tags close at the next tag that implies
-it; a page that is cut off ends its open blocks; very long pages are read in one linear pass, of which nothing
-is dropped; equal pages have equal texts; an empty table gives no rows; other columns are kept by
+it; a page that is cut off ends its open blocks; a script or style that nothing closes ends the page, of other
+elements without text (svg, object, iframe and the like) only the tag is skipped then, and a self-closed svg or math is
+empty; very long pages are read in one linear pass; equal pages have equal texts; an empty table gives no rows; other columns are kept by
 ``extract_pages``, but for those that it adds, which replace columns of the same name.
 """
 
@@ -87,6 +88,12 @@ def _tag_end(page: str, at: int) -> int:
         at = end + 1
 
 
+def _self_closed(attributes: str) -> bool:
+    """Whether a tag ends in a slash that is no part of an unquoted value."""
+    last = attributes[-256:].split()[-1:]
+    return bool(last) and last[0].endswith("/") and ("=" not in last[0] or last[0].endswith(("\"/", "'/")))
+
+
 def _is_furniture(name: str, attributes: str, in_main: bool) -> bool:
     if name == "header" and in_main:
         return False
@@ -108,6 +115,7 @@ def blocks(page: str) -> list[Block]:
     parts: list[str] = []
     state = [False, False, False]  # of the top of the stack
     heading, linked, at, n = False, 0, 0, len(page)
+    endless: set[str] = set()  # names that nothing closes in the rest of the page
 
     def flush() -> None:
         nonlocal heading, linked
@@ -163,8 +171,15 @@ def blocks(page: str) -> list[Block]:
                 if name not in BLOCKS and stack[k][0] in BLOCKS:
                     break
         elif name in RAW:
-            end = re.compile(f"</{name}", re.IGNORECASE).search(page, at)
-            at = n if end is None else _tag_end(page, end.end())
+            if name in ("svg", "math") and _self_closed(page[m.end() : at - 1]):
+                continue
+            end = None if name in endless else re.compile(f"</{name}", re.IGNORECASE).search(page, at)
+            if end is not None:
+                at = _tag_end(page, end.end())
+            elif name in ("script", "style"):
+                at = n
+            else:
+                endless.add(name)
         elif name not in VOID:
             for k in range(len(stack) - 1, -1, -1):
                 if stack[k][0] in CLOSES.get(name, ()):

@@ -49,3 +49,14 @@ def test_frame(spark):
     assert got.columns == ["page_id", "url", "html", "text", "n_chars"]
     assert sorted((r["page_id"], r["n_chars"]) for r in got.collect()) == [(1, len(PROSE)), (2, 0), (2, 0), (3, 0)]
     assert got.limit(0).count() == 0
+
+
+@pytest.mark.parametrize("tag", ["<svg/>", "<svg width='5' />", "<math/>", "<svg>", "<svg width=5/>", "<object data=x>", "<iframe src=x>", "<video>"])
+def test_what_follows_an_empty_or_unclosed_element_stays(tag):
+    assert extract(f"<p>{PROSE}</p>{tag}<p>{PROSE}</p>") == f"{PROSE}\n{PROSE}"
+
+
+def test_closed_and_self_closed_elements():
+    assert extract(f"<p>{PROSE}</p><svg/><p>{PROSE}</p><svg><text>no</text></svg><p>end</p>") == f"{PROSE}\n{PROSE}\nend"
+    assert extract(f"<p>{PROSE}</p><script>x<p>{PROSE}</p>") == PROSE
+    assert extract("<svg>" * 50_000 + "x") == "x"
