@@ -42,7 +42,7 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", m
     now = written(now.filter("src is not null and dst is not null and src <> dst").distinct(), "edges")
     before = _fingerprint(now)
     for _ in range(max_rounds):
-        now = written(_small_star(_large_star(now).distinct()).distinct(), "edges")
+        now = written(_small_star(_large_star(now).distinct()).distinct(), "edges", few=True)
         after = _fingerprint(now)
         if after == before:
             break

@@ -5,6 +5,8 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -38,14 +40,30 @@ def new_path(spark: SparkSession, label: str) -> str:
     return f"{shared_dir(spark)}/recollex/{label}-{uuid.uuid4().hex}"
 
 
-def written(df: DataFrame, label: str) -> DataFrame:
+@contextmanager
+def settings(spark: SparkSession, **values: str) -> Iterator[None]:
+    """SQL settings (``__`` for a dot) that hold for what is run inside, and then as before."""
+    names = {k: k.replace("__", ".") for k in values}
+    before = {k: spark.conf.get(name, None) for k, name in names.items()}
+    for k, name in names.items():
+        spark.conf.set(name, values[k])
+    try:
+        yield
+    finally:
+        for k, name in names.items():
+            spark.conf.unset(name) if before[k] is None else spark.conf.set(name, before[k])
+
+
+def written(df: DataFrame, label: str, few: bool = False) -> DataFrame:
     """Cut the lineage: write ``df`` as Parquet to the shared folder and read it back.
 
-    Unlike localCheckpoint, a lost executor costs nothing; unlike checkpoint(), columns stay prunable.
+    Unlike localCheckpoint, a lost executor costs nothing; unlike checkpoint(), columns stay prunable.  ``few``: the rows
+    are cheap to make, so that shuffled partitions are joined up to the advisory size rather than spread over all cores.
     """
     spark = df.sparkSession
     path = new_path(spark, label)
-    df.write.parquet(path)
+    with settings(spark, spark__sql__adaptive__coalescePartitions__parallelismFirst=str(not few).lower()):
+        df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
