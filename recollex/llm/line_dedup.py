@@ -76,16 +76,18 @@ def _classes(docs: DataFrame, text: str) -> DataFrame:
     return marked.groupBy("h1", "h2").agg(F.min("at").alias("at"), F.min("keys").alias("keys"))
 
 
-def _shared(rows: DataFrame, key: str) -> DataFrame:
-    """The rows whose key occurs with more than one class."""
-    often = rows.groupBy(key).agg(F.min("h1").alias("_low"), F.max("h1").alias("_high"), F.min("h2").alias("_low2"), F.max("h2").alias("_high2"))
-    return rows.join(often.filter("_low <> _high or _low2 <> _high2").select(key), key, "left_semi")
+def _shared(rows: DataFrame) -> DataFrame:
+    """The keys that several rows have; no class has a key twice, as a key holds the length and the part that it stands for."""
+    return rows.groupBy("key").count().filter("count > 1").select("key")
 
 
 def _candidates(docs: DataFrame, classes: DataFrame, text: str) -> DataFrame:
     """(h1, h2, at, line): classes that share a half with another, with their text."""
-    halves = _shared(classes.select("h1", "h2", F.explode("keys").alias("key")), "key").select("h1", "h2").distinct()
-    chosen = written(classes.select("h1", "h2", "at").join(halves, ["h1", "h2"], "left_semi"), "near-lines")
+    # only keys are counted, and few of them are shared: the classes then meet those where they are read
+    keys = written(_shared(classes.select(F.explode("keys").alias("key"))), "shared-halves", few=True)
+    keys = F.broadcast(keys) if keys.count() <= BROADCAST_CLASSES else keys
+    met = classes.select("h1", "h2", "at", F.explode("keys").alias("key")).join(keys, "key", "left_semi")
+    chosen = written(met.drop("key").dropDuplicates(["h1", "h2"]), "near-lines", few=True)
     by_document = chosen.select(F.col("at._id").alias("_i"), F.col("at._k").alias("_j"), "h1", "h2", "at")
     wanted = by_document.groupBy("_i", "_j").agg(F.collect_list(F.struct("h1", "h2", "at")).alias("wanted"))  # at most a document's lines
     wanted = F.broadcast(wanted) if chosen.count() <= BROADCAST_CLASSES else wanted
@@ -110,7 +112,8 @@ def _pieces(lines: DataFrame) -> DataFrame:
 
 def _near(lines: DataFrame) -> DataFrame:
     """(h1, h2) of the lines that have an earlier one within one edit."""
-    pieces = _shared(_pieces(lines), "key")
+    pieces = written(_pieces(lines), "line-pieces")
+    pieces = pieces.join(_shared(pieces), "key", "left_semi")
     size = F.length("piece")
     cut = lambda i: F.concat(F.substring("piece", F.lit(1), i), F.substring("piece", i + 2, size))
     variants = F.when(F.col("whole"), F.array(F.struct(F.lit(-1).alias("i"), F.col("piece").alias("v")))).when(
