@@ -1,78 +1,49 @@
-"""Encoding with a vocabulary of word pieces with word ends, as the tokenizers library does it, but each distinct word of a batch once.
+"""Encoding by the tokenizers library with a vocabulary whose words never span white space, each distinct word of a worker once.
 
-The vocabulary's normaliser folds case and white space and its splitting pattern never joins across words, so a
-text's ids are its words' ids in order.  For texts of Latin letters (below U+0250) words are found here, and the
-distinct ones of a batch are encoded together by byte-pair merging with the vocabulary's ranks, the word end
-being a character of its own that no such text has.  Any other text, and one that holds the string of a
-special token, goes to the library itself.
+The vocabulary's normaliser works on characters between white space, its splitting pattern matches no white space,
+and none of its special tokens has any.  So a text's ids are those of its white-space separated words in order, and the
+library encodes each of these as a text of its own.
 """
 
 from __future__ import annotations
 
-import json
+import os
 import re
-import unicodedata
-from functools import cached_property
+from itertools import chain
 
 import numpy as np
-import tiktoken
 
-from recollex.llm._bpe import SPACE, _byte_letters
-
-#: Stands for the word end; unassigned in Unicode.
-END = "͸"
-LATIN = range(0x250)
+#: Python's str.split() also cuts at these, which the vocabulary takes for characters like others.
+NO_SPACE = re.compile("[\x1c-\x1f]").search
+WORDS = re.compile(r"[^ \t\n\v\f\r]+").findall
+#: Bounds of what a worker remembers: so many words, none longer.
+KNOWN_WORDS, LONGEST = 1 << 18, 64
 
 
 class WordEncoder:
     def __init__(self, path: str):
-        self.path = path
-        with open(path, encoding="utf-8") as f:
-            spec = json.load(f)
-        back = {c: b for b, c in _byte_letters().items()}
-        special = [x["content"] for x in spec["added_tokens"]]
-
-        def raw(token: str) -> bytes:
-            end = len(token) > 4 and token.endswith("</w>")
-            return bytes(back[c] for c in (token[:-4] if end else token)) + (END.encode() if end else b"")
-
-        ranks = {raw(t): i + 1 for t, i in spec["model"]["vocab"].items() if t not in special}
-        merged = [ranks[raw(a) + raw(b)] for a, b in (m.split(" ") if isinstance(m, str) else m for m in spec["model"]["merges"])]
-        assert merged == sorted(merged), "merges are not in the order of ids"
-        self.width = 2 if max(spec["model"]["vocab"].values()) < 1 << 16 else 4
-        self.ends = np.zeros(max(spec["model"]["vocab"].values()) + 1, dtype=bool)
-        self.ends[[i for t, i in spec["model"]["vocab"].items() if t.endswith("</w>") and len(t) > 4]] = True
-        self.encoding = tiktoken.Encoding("word-bpe", pat_str=f"[^{END}]+{END}", mergeable_ranks=ranks | {END.encode(): 0}, special_tokens={})
-        letters, numbers = ("".join(c for c in map(chr, LATIN) if unicodedata.category(c)[0] == k) for k in "LN")
-        space = re.escape("".join(c for c in SPACE if ord(c) in LATIN))
-        self.words = re.compile(f"'(?:s|t|re|ve|m|ll|d)|[{letters}]+|[{numbers}]|[^{space}{letters}{numbers}]+").findall
-        self.beyond = re.compile(f"[^\\x00-{chr(LATIN[-1])}]").search
-        self.special = special
-
-    @cached_property
-    def library(self):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # one core a task
         from tokenizers import Tokenizer
 
-        t = Tokenizer.from_file(self.path)
-        t.no_truncation()
-        t.no_padding()
-        return t
-
-    def _fresh(self, words: list[str]) -> dict[str, bytes]:
-        """Every word's ids; a word ends with the one of its tokens that holds a word end."""
-        if not words:
-            return {}
-        ids = self.encoding.encode_to_numpy(END.join(words) + END).astype(np.int64) - 1
-        cuts = [0, *(np.flatnonzero(self.ends[ids]) + 1).tolist()]
-        raw, w = ids.astype(f"<u{self.width}").tobytes(), self.width
-        return {word: raw[a * w : b * w] for word, a, b in zip(words, cuts[:-1], cuts[1:], strict=True)}
+        self.library = Tokenizer.from_file(path)
+        self.library.no_truncation()
+        self.library.no_padding()
+        self.width = 2 if self.library.get_vocab_size(with_added_tokens=True) <= 1 << 16 else 4
+        self.known: dict[str, bytes] = {}
+
+    def _learn(self, words: list[str]) -> dict[str, bytes]:
+        """The ids of every word as little-endian numbers of ``width`` bytes."""
+        found = self.library.encode_batch_fast(words, add_special_tokens=False)
+        ids = [e.ids for e in found]
+        raw, w, at, out = np.fromiter(chain.from_iterable(ids), dtype=f"<u{self.width}").tobytes(), self.width, 0, {}
+        for word, n in zip(words, map(len, ids), strict=True):
+            out[word] = raw[at : (at := at + n * w)]
+        return out
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of each text as little-endian numbers of ``width`` bytes."""
-        plain = [(t.isascii() or not self.beyond(t)) and not any(x in t for x in self.special) for t in texts]
-        split = [self.words(t.lower()) if p else [] for t, p in zip(texts, plain, strict=True)]
-        ids = self._fresh(list(set().union(*split)))
-        return [b"".join(map(ids.__getitem__, s)) if p else self._by_library(t) for t, s, p in zip(texts, split, plain, strict=True)]
-
-    def _by_library(self, text: str) -> bytes:
-        return np.array(self.library.encode(text, add_special_tokens=False).ids, dtype=f"<u{self.width}").tobytes()
+        split = [WORDS(t) if NO_SPACE(t) else t.split() for t in texts]
+        ids = self.known | self._learn([w for w in set().union(*split) if w not in self.known])
+        kept = ids if len(ids) <= KNOWN_WORDS else {}
+        self.known = {w: v for w, v in kept.items() if len(w) <= LONGEST}
+        return [b"".join(map(ids.__getitem__, s)) for s in split]

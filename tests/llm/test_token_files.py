@@ -3,6 +3,7 @@ import random
 import zlib
 
 import numpy as np
+import pyarrow.parquet as pq
 import pytest
 from tokenizers import Tokenizer
 
@@ -36,12 +37,39 @@ def test_round_trip(bits, width, top, n):
 
 def test_words_equal_library():
     library, e, r = Tokenizer.from_file(PATH), WordEncoder(PATH), random.Random(5)
-    letters = ["\x01", "<|endoftext|>", "'ll", "\x1c", "​", "﻿", "é", "ﬁ", "İ", "͸", *SPACE, *"ab'SDLL éÉÀ̈ßΣσ12.!<|>漢ªº²½ŉ"]
+    letters = ["\x01", "<|endoftext|>", "'ll", "\x1c", "​", "﻿", "é", "ﬁ", "İ", "͸", *SPACE, "\u0301", "Ɓ", "Ə", "Ⱥ", "Ʒ", *"ab'SDLL éÉÀ̈ßΣσ12.!<|>漢ªº²½ŉ"]
     for _ in range(1500):
         x = "".join(r.choice(letters) for _ in range(r.randint(0, 40)))
         assert np.frombuffer(e.encode([x])[0], "<u2").tolist() == list(library.encode(x, add_special_tokens=False).ids), x
 
 
+def test_every_character_equals_library():
+    library, e = Tokenizer.from_file(PATH), WordEncoder(PATH)
+    texts = [x for c in map(chr, range(0x10000)) if not 0xD800 <= ord(c) < 0xE000 for x in (f"ab{c}cd", f"x {c} Y")]
+    texts += [f"ab{chr(c)}cd" for c in range(0x10000, 0x20000)]
+    want = [x.ids for x in library.encode_batch(texts, add_special_tokens=False)]
+    wrong = [t for t, got, ids in zip(texts, e.encode(texts), want, strict=True) if np.frombuffer(got, "<u2").tolist() != ids]
+    assert wrong == []
+
+
+def test_documents_equal_library():
+    library, e = Tokenizer.from_file(PATH), WordEncoder(PATH)
+    texts = [t or "" for t in pq.read_table("/root/testdata/sf0.01/documents.parquet")["text"].to_pylist()]
+    got = [raw for i in range(0, len(texts), 64) for raw in e.encode(texts[i : i + 64])]
+    for raw, want in zip(got, library.encode_batch(texts, add_special_tokens=False), strict=True):
+        assert np.frombuffer(raw, "<u2").tolist() == want.ids
+
+
+def test_remembered_words_are_bounded(monkeypatch):
+    from recollex.llm import _words
+
+    monkeypatch.setattr(_words, "KNOWN_WORDS", 5)
+    library, e = Tokenizer.from_file(PATH), WordEncoder(PATH)
+    for t in ("a b c", "b c d e", "e f g h i j k", "x" * 100 + " a", "a b"):
+        assert np.frombuffer(e.encode([t])[0], "<u2").tolist() == library.encode(t, add_special_tokens=False).ids
+        assert len(e.known) <= 5 and all(len(w) <= _words.LONGEST for w in e.known)
+
+
 def test_files(spark):
     folder, library = new_path(spark, "t"), Tokenizer.from_file(PATH)
     files = write_token_files(table(spark), folder, PATH, pieces=3)
