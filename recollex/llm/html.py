@@ -2,10 +2,12 @@
 
 The page is cut into blocks at block-level tags.  Pass one decides blocks by where they stand (inside scripts,
 menus, footers, forms, adverts, reader comments and the like), by link density, by length in words and by
-stop-word density.  What is too short or too unlike prose to be decided waits for pass two, which gives it the
+stop-word density.  Where text stands is looked at as it is read: a button or a marked span inside a paragraph goes
+alone.  What is too short or too unlike prose to be decided waits for pass two, which gives it the
 label of the nearest decided neighbour; between two at the same distance content wins.  On a page that marks
 its article (article, main, role=main), blocks outside of it are furniture, and those in it that nothing decides
-count as content.
+count as content.  A class or id of DOUBTFUL words (promotion, related, social) makes furniture too, but in a marked
+article long prose without links stays.
 
 Cases: a null or empty page gives the empty text; unclosed and misnested tags close at the next tag that implies
 it; a page that is cut off ends its open blocks; a script or style that nothing closes ends the page, of other
@@ -27,7 +29,7 @@ from pyspark.sql import types as T
 
 from recollex.session import small_batches, table
 
-#: Common words of the four languages of the pages.
+#: Common words of the four languages of the pages.
 STOP_WORDS = frozenset(
     """
     a an and are as at be by for from has have he in is it not of on or she that the they this to was were which will with you
@@ -36,21 +38,25 @@ STOP_WORDS = frozenset(
     al como con del el ella ellos en era es esta este fue ha hay las lo los más no para pero por que se si sin su sus un una y ya
     """.split()
 )
-#: Elements that begin and end blocks.
+#: Elements that begin and end blocks.
 BLOCKS = frozenset("address article aside blockquote body caption center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hr html legend li main menu nav ol optgroup option p pre search section select summary table tbody td tfoot th thead title tr ul".split())
-#: Elements whose content is no text of the page.
+#: Elements whose content is no text of the page.
 RAW = frozenset("script style template noscript iframe object textarea svg math canvas video audio title".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 FURNITURE = frozenset("nav footer aside form head header button select menu dialog search".split())
 ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar toolbar".split())
 HINTS = frozenset(
     """
-    ad ads adsense advert adverts advertisement advertising sponsor sponsored promo promotion banner sidebar aside menu submenu nav navbar navigation
-    breadcrumb breadcrumbs footer masthead topbar cookie cookies consent gdpr notice notices notification popup modal overlay newsletter
-    subscribe subscription signup signin login share sharing social related recommended recommendations comment comments commentlist respond reply
-    replies disqus discussion widget toolbar pagination pager copyright disclaimer hidden form search
+    ad ads adsense advert adverts advertisement advertising sponsor sponsored promo sidebar aside menu submenu nav navbar navigation
+    breadcrumb breadcrumbs footer masthead topbar cookie cookies consent gdpr notice notices notification popup modal newsletter
+    subscribe signup signin login share sharing comment comments commentlist respond reply
+    replies disqus toolbar pagination pager hidden
     """.split()
 )
+#: As likely the subject of an article as the name of a box beside it.
+DOUBTFUL = frozenset("promotion banner overlay subscription social related recommended recommendations discussion widget copyright disclaimer form search".split())
+#: Where text stands: in the page, in a box of doubtful name, in furniture.
+OPEN, DOUBT, CLOSED = range(3)
 #: A tag of these closes open elements of those, up to the nearest list, table or block that holds them.
 CLOSES = {"p": {"p"}, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}, "body": {"head"}}
 CONTAINERS = frozenset("table ul ol dl menu body article main section nav aside footer header div form blockquote".split())
@@ -66,7 +72,7 @@ _WORD = re.compile(r"[^\W\d_]+")
 @dataclass
 class Block:
     text: str
-    furniture: bool
+    place: int
     main: bool
     heading: bool
     linked: int
@@ -94,46 +100,55 @@ def _self_closed(attributes: str) -> bool:
     return bool(last) and last[0].endswith("/") and ("=" not in last[0] or last[0].endswith(("\"/", "'/")))
 
 
-def _is_furniture(name: str, attributes: str, in_main: bool) -> bool:
+def _attributes(raw: str) -> dict[str, str]:
+    return {k.lower(): (v or "").strip("\"'").lower() for k, v in _ATTRIBUTE.findall(raw)} if raw.strip() else {}
+
+
+def _place(name: str, found: dict[str, str], in_main: bool) -> int:
+    """Where the text of an element stands by its name and attributes."""
     if name == "header" and in_main:
-        return False
+        return OPEN
     if name in FURNITURE:
-        return True
-    if not attributes.strip() or name in ("body", "html", "article", "main"):
-        return False
-    found = {k.lower(): (v or "").strip("\"'").lower() for k, v in _ATTRIBUTE.findall(attributes)}
+        return CLOSED
+    if not found or name in ("body", "html", "article", "main"):
+        return OPEN
     if "hidden" in found or found.get("aria-hidden") == "true" or found.get("role") in ROLES or re.search(r"display\s*:\s*none", found.get("style", "")):
-        return True
+        return CLOSED
     words = set(re.split(r"[^a-z]+", f"{found.get('class', '')} {found.get('id', '')}"))
-    return bool(words & HINTS) or ("header" in words and not in_main)
+    if words & HINTS or ("header" in words and not in_main):
+        return CLOSED
+    return DOUBT if words & DOUBTFUL else OPEN
 
 
 def blocks(page: str) -> list[Block]:
     """The page's blocks of text in order, white space folded, references decoded."""
     out: list[Block] = []
-    stack: list[tuple[str, bool, bool, bool]] = []  # name; furniture, main, link: its own or of what holds it
-    parts: list[str] = []
-    state = [False, False, False]  # of the top of the stack
+    stack: list[tuple[str, int, bool, bool]] = []  # name; place, main, link: its own or of what holds it
+    parts: list[tuple[str, int]] = []
+    state = [OPEN, False, False]  # of the top of the stack
     heading, linked, at, n = False, 0, 0, len(page)
     endless: set[str] = set()  # names that nothing closes in the rest of the page
 
     def flush() -> None:
         nonlocal heading, linked
-        text = " ".join("".join(parts).split())
-        if text:
-            out.append(Block(text, state[0], state[1], heading, linked))
+        # furniture inside a block goes; a block with nothing else is furniture, and keeps its place among the others
+        shown = " ".join("".join(t if where != CLOSED else " " for t, where in parts).split())
+        if shown:
+            out.append(Block(shown, max(where for t, where in parts if where != CLOSED and t.strip()), state[1], heading, linked))
+        elif text := " ".join("".join(t for t, _ in parts).split()):
+            out.append(Block(text, CLOSED, state[1], heading, linked))
         parts.clear()
         heading, linked = False, 0
 
     def look() -> None:
-        state[:] = stack[-1][1:] if stack else (False, False, False)
+        state[:] = stack[-1][1:] if stack else (OPEN, False, False)
 
     def words(raw: str) -> None:
         nonlocal linked
         text = entities.unescape(raw) if "&" in raw else raw
-        if state[2]:
+        if state[2] and state[0] != CLOSED:
             linked += len(text.strip())
-        parts.append(text)
+        parts.append((text, state[0]))
 
     while at < n:
         open_ = page.find("<", at)
@@ -153,12 +168,12 @@ def blocks(page: str) -> list[Block]:
         closing = page.startswith("</", open_)
         m = _NAME.match(page, open_ + 1 + closing)
         if m is None:
-            parts.append("<")
+            parts.append(("<", state[0]))
             at = open_ + 1
             continue
         name, at = m[0].lower(), _tag_end(page, m.end())
         if name == "br":
-            parts.append(" ")
+            parts.append((" ", state[0]))
             continue
         if name in BLOCKS:
             flush()
@@ -188,9 +203,9 @@ def blocks(page: str) -> list[Block]:
                     break
                 if stack[k][0] in CONTAINERS:
                     break
-            attributes = page[m.end() : at - 1]
-            is_main = name in ("article", "main") or "role=\"main\"" in attributes.lower()
-            stack.append((name, state[0] or _is_furniture(name, attributes, state[1]), state[1] or is_main, state[2] or name == "a"))
+            attributes = _attributes(page[m.end() : at - 1])
+            is_main = name in ("article", "main") or attributes.get("role") == "main"
+            stack.append((name, max(state[0], _place(name, attributes, state[1])), state[1] or is_main, state[2] or name == "a"))
             look()
             heading = heading or bool(re.fullmatch("h[1-6]", name))
     flush()
@@ -199,13 +214,15 @@ def blocks(page: str) -> list[Block]:
 
 def label(found: list[Block]) -> None:
     """Both passes; afterwards every label is True (content) or False."""
-    marked = any(b.main and not b.furniture for b in found)
+    marked = any(b.main and b.place != CLOSED for b in found)
     for b in found:
         w = _WORD.findall(b.text.lower())
         prose = sum(x in STOP_WORDS for x in w) / max(len(w), 1)
         links = b.linked / max(len(b.text), 1)
-        if b.furniture or (marked and not b.main):
+        if b.place == CLOSED or (marked and not b.main):
             b.label = False
+        elif b.place == DOUBT:
+            b.label = marked and links == 0 and len(w) >= LONG_WORDS and prose >= PROSE
         elif links > LINKED:
             b.label = None if marked else False
         elif len(w) >= LONG_WORDS or (len(w) >= SHORT_WORDS and prose >= PROSE):
@@ -213,7 +230,7 @@ def label(found: list[Block]) -> None:
     scope = [b for b in found if b.main] if marked else found
     undecided = [i for i, b in enumerate(scope) if b.label is None]
     before, after, last = {}, {}, None
-    decided = [i for i, b in enumerate(scope) if b.label is not None and not b.furniture]
+    decided = [i for i, b in enumerate(scope) if b.label is not None and b.place == OPEN]
     for seq, to in ((range(len(scope)), before), (range(len(scope) - 1, -1, -1), after)):
         last, known = None, set(decided)
         for i in seq:

@@ -30,6 +30,15 @@ PROSE = "This is the first paragraph of the story and it has quite a few words i
         (f"<script>var t = '</p>'; if (a < b) x()</script><style>p{{}}</style><p>{PROSE}</p><!-- no --><form><p>Your name</p></form>", PROSE),
         (f"<article><p>{PROSE} <a href='a>b'>link</a> end<p>cut off", f"{PROSE} link end\ncut off"),
         (f"<p>{PROSE}</p><p><a href=1>Related one</a> <a href=2>Related two</a></p>", PROSE),
+        (f"<article><p>{PROSE} <button>Share this now</button> tail</p></article>", f"{PROSE} tail"),
+        (f"<article><p>{PROSE} <span class='ad'>Buy now</span></p><p>And on.</p></article>", f"{PROSE}\nAnd on."),
+        (f"<article><p>{PROSE} <span class='share'>Tweet</p><p>{PROSE}</p></article>", f"{PROSE}\n{PROSE}"),
+        (f"<article><p>{PROSE} <span class='share'>Tweet<p>{PROSE}</article>", f"{PROSE}\n{PROSE}"),
+        (f"<div role='main'><p>Short.</p></div><p>{PROSE}</p>", "Short."),
+        (f"<div ROLE=main><p>Short.</p></div><p>{PROSE}</p>", "Short."),
+        (f"<article><div class='promotion'><p>{PROSE} {PROSE}</p><p>To the shop</p></div><p>{PROSE}</p></article>", f"{PROSE} {PROSE}\n{PROSE}"),
+        (f"<article><p>{PROSE}</p><div class='comments'><p>{PROSE}</p></div><div class='related'><a href=x>{PROSE}</a></div></article>", PROSE),
+        (f"<article><p>1 < 2 <select><option>One<option>Two</select> {PROSE}</p></article>", f"1 < 2\n{PROSE}"),
         (f"<div role=navigation>Go</div><div hidden>Gone</div><div style='display: none'>Gone</div><p>{PROSE}</p>", PROSE),
     ],
 )
