@@ -20,6 +20,7 @@ from __future__ import annotations
 
 import html as entities
 import re
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -127,6 +128,7 @@ def blocks(page: str) -> list[Block]:
     parts: list[tuple[str, int]] = []
     state = [OPEN, False, False]  # of the top of the stack
     heading, linked, at, n = False, 0, 0, len(page)
+    opened: Counter[str] = Counter()  # how often each name is on the stack, which is searched only for what is there
     endless: set[str] = set()  # names that nothing closes in the rest of the page
 
     def flush() -> None:
@@ -140,6 +142,12 @@ def blocks(page: str) -> list[Block]:
         parts.clear()
         heading, linked = False, 0
 
+    def cut(k: int) -> None:
+        """Ends the elements from place ``k`` of the stack on."""
+        opened.subtract(x[0] for x in stack[k:])
+        del stack[k:]
+        look()
+
     def look() -> None:
         state[:] = stack[-1][1:] if stack else (OPEN, False, False)
 
@@ -178,10 +186,9 @@ def blocks(page: str) -> list[Block]:
         if name in BLOCKS:
             flush()
         if closing:
-            for k in range(len(stack) - 1, -1, -1):
+            for k in range(len(stack) - 1, -1, -1) if opened[name] else ():
                 if stack[k][0] == name:
-                    del stack[k:]
-                    look()
+                    cut(k)
                     break
                 if name not in BLOCKS and stack[k][0] in BLOCKS:
                     break
@@ -196,16 +203,17 @@ def blocks(page: str) -> list[Block]:
             else:
                 endless.add(name)
         elif name not in VOID:
-            for k in range(len(stack) - 1, -1, -1):
-                if stack[k][0] in CLOSES.get(name, ()):
-                    del stack[k:]
-                    look()
+            ends = CLOSES.get(name, ())
+            for k in range(len(stack) - 1, -1, -1) if any(opened[x] for x in ends) else ():
+                if stack[k][0] in ends:
+                    cut(k)
                     break
                 if stack[k][0] in CONTAINERS:
                     break
             attributes = _attributes(page[m.end() : at - 1])
             is_main = name in ("article", "main") or attributes.get("role") == "main"
             stack.append((name, max(state[0], _place(name, attributes, state[1])), state[1] or is_main, state[2] or name == "a"))
+            opened[name] += 1
             look()
             heading = heading or bool(re.fullmatch("h[1-6]", name))
     flush()

@@ -48,6 +48,7 @@ def test_rules(page, want):
 
 def test_long_and_broken_pages_are_linear():
     assert extract("<b>" * 50_000 + "x") == "x"
+    assert extract("<b>" * 50_000 + "</p>" * 50_000 + "x") == "x"
     assert len(extract(f"<article>{'<p>' + PROSE + '</p>'}" * 3000).split("\n")) == 3000
     assert extract("<a href=\"" * 20_000).count("x") == 0
 
