@@ -6,13 +6,17 @@
     first, then the others by hash.  Two sets that reach the threshold share a token among the first
     ``n - ceil(t n) + 1`` of either (the prefix).  Counting only the sample makes the count of tokens cheap, and
     as unique tokens come first, a set with as many unique sampled tokens as its prefix is long has no partner.
-3.  Sets of one size and one prefix are a *group*.  Groups that share a prefix token and lie in the same or the
-    next band of sizes are joined to blocks (connected components over token-to-smallest-group edges, so that a
-    token that m groups share makes m edges, never m * m pairs).
-4.  The sets of a block's groups are read again from their documents, and every pair is verified exactly by counts
-    over an inverted index inside the block.  A block of more than BLOCK_TOKENS tokens is dealt out in parts, and
-    each two parts meet in one task, so that memory stays bounded whatever the size of a block.
-5.  Links become components.
+3.  Sets of one size and one prefix are a *group*.  Groups are posted under each token of their prefix and their band of
+    sizes; what shares a posting may be linked.
+4.  Rounds of stars: the groups of a posting are compared with one of them, members with the first of their group, and
+    verified links join sets to components.  A posting all in one component needs no more; so thousands of near copies of
+    one text cost some pairs each and never all pairs among them.
+5.  What is left open is joined exactly: pairs of groups under one posting and of different components, filtered by size
+    and by the places of the token in both prefixes, are expanded to their members, and every pair is verified.
+6.  Links become components.
+
+A pair is verified by the common tokens of both whole sets, read again from their documents.  Nothing chains groups
+together before their links are verified, so the work grows with the pairs that pass the filters.
 
 Words are runs of other than ASCII white space, A-Z lower-cased; a text with fewer words than a shingle has one
 shingle of all its words.
@@ -25,12 +29,13 @@ documents are ignored by ``components`` and kept by ``keep_one``.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql import Window as W
@@ -39,7 +44,9 @@ from recollex.llm._shingles import shingle_hashes
 from recollex.operators.components import connected_components
 from recollex.session import small_batches, table, written
 
-BLOCK_TOKENS = 1 << 21
+#: Rounds of stars go on, at most MOST_ROUNDS of them, while the pairs left open are more than so many for each posted group
+#: and each round at least halves them.
+OPEN_PAIRS, MOST_ROUNDS = 4, 8
 #: The sample is so large that a set of SURE_FROM tokens has, but for three standard deviations, as many tokens in
 #: it as its prefix is long: sets without partners then fill their prefix with unique tokens and drop out.
 SURE_FROM = 100
@@ -103,7 +110,8 @@ def sets_of(docs: DataFrame, size: int, num: int, den: int) -> DataFrame:
 
 
 def _prefixes(distinct: DataFrame, num: int, den: int) -> DataFrame:
-    """(name, n, prefix, unique): the shared tokens in the prefix of each set that may have a partner, and how many unique ones precede them."""
+    """(name, n, prefix, unique, before): the shared tokens in the prefix of each set that may have a partner, how many tokens
+    of the prefix are unique, and how many tokens precede the first shared one at least."""
     limit = int(signed(np.array([_limit(num, den)], dtype=np.uint64))[0])
     each = distinct.select("name", F.explode("tokens").alias("token"))
     shared = each.withColumn("df", F.count("*").over(W.partitionBy("token"))).filter("df > 1")
@@ -115,111 +123,115 @@ def _prefixes(distinct: DataFrame, num: int, den: int) -> DataFrame:
     # unique sampled tokens fill the prefix first, then shared sampled ones, then (if there is room) the later ones
     room = F.col("p") - (F.col("sampled") - early)
     chosen = F.when(F.col("sampled") >= F.col("p"), F.slice("shared", F.lit(1), F.greatest(room, F.lit(0)))).otherwise(F.col("shared"))
-    met = lists.join(sizes, "name").select("name", "n", F.transform(chosen, lambda t: t["token"]).alias("prefix"), (F.col("p") - F.size(chosen)).alias("unique"))
+    met = lists.join(sizes, "name").select("name", "n", F.transform(chosen, lambda t: t["token"]).alias("prefix"), (F.col("p") - F.size(chosen)).alias("unique"), (F.col("sampled") - early).alias("before"))
     return met.filter(F.size("prefix") > 0)
 
 
-def _blocks(prefixes: DataFrame, num: int, den: int) -> DataFrame:
-    """(name, block): sets that may be linked share a block, which is named for the smallest group in it."""
+def _posted(prefixes: DataFrame, num: int, den: int) -> tuple[DataFrame, DataFrame]:
+    """members(name, group) and posted(key, group, n, at): each group under the tokens of its prefix, where others are too."""
     whole = F.col("unique") == 0  # a unique token makes a prefix that no other set has
-    keyed = prefixes.select("name", "n", "prefix", F.when(whole, F.xxhash64("prefix")).otherwise(F.col("name")).alias("key"), whole.alias("whole"))
-    groups = keyed.groupBy("n", "key", "whole").agg(F.min("name").alias("group"), F.min("prefix").alias("prefix"))
+    keyed = prefixes.select("name", "n", "prefix", "before", F.when(whole, F.xxhash64("prefix")).otherwise(F.col("name")).alias("key"), whole.alias("whole"))
+    groups = keyed.groupBy("n", "key", "whole").agg(F.min("name").alias("group"), F.max("name").alias("last"), F.first("prefix").alias("prefix"), F.min("before").alias("before"))
     band = F.col("n").cast("long") if num == den else F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(den / num)) + 1e-9)
-    posted = groups.select("group", band.alias("b"), F.explode("prefix").alias("token")).select("group", "token", F.explode(F.array(F.col("b"), F.col("b") - 1)).alias("band"))
-    lowest = posted.groupBy("token", "band").agg(F.min("group").alias("low"), F.max("group").alias("high")).filter("low < high")
-    edges = posted.join(lowest, ["token", "band"]).filter("group > low").select(F.col("group").alias("src"), F.col("low").alias("dst"))
-    joined = connected_components(edges)
+    each = groups.select("group", "last", F.col("n").cast("long").alias("n"), band.alias("b"), "before", F.posexplode("prefix").alias("j", "token"))
+    each = each.select("group", "last", "n", (F.col("before") + F.col("j")).alias("at"), "token", F.explode(F.array(F.col("b"), F.col("b") - 1)).alias("band"))
+    each = written(each.select(F.xxhash64("token", "band").alias("key"), "group", "last", "n", "at"), "posted")
+    met = each.groupBy("key").agg(F.min("group").alias("_low"), F.max("last").alias("_high")).filter("_low < _high").select("key")
+    posted = written(each.join(met, "key", "left_semi").drop("last"), "posted-together")
     members = keyed.join(groups.select("n", "key", "whole", "group"), ["n", "key", "whole"]).select("name", "group")
-    return members.join(joined, members["group"] == joined["node"], "left").select("name", F.coalesce("component", "group").alias("block"))
-
-
-def _links(units: Iterator[tuple[list[int], list[np.ndarray]]], num: int, den: int) -> Iterator[list[tuple[int, int]]]:
-    """For each unit a spanning forest of the links between its sets, found by exact counts of common tokens."""
-    for names, sets in units:
-        sizes = np.array([len(s) for s in sets], dtype=np.int64)
-        owners = np.repeat(np.arange(len(sets)), sizes)
-        tokens, place = np.unique(np.concatenate(sets), return_inverse=True)
-        order = np.argsort(place, kind="stable")
-        owners_by_token = owners[order]
-        starts = np.searchsorted(place[order], np.arange(len(tokens) + 1))
-        lengths = np.diff(starts)
-        ends = np.cumsum(sizes)
-        root = list(range(len(sets)))
-
-        def find(x: int, root: list[int] = root) -> int:
-            while root[x] != x:
-                root[x] = root[root[x]]
-                x = root[x]
-            return x
-
-        links, left = [], len(sets) - 1
-        for i in range(len(sets)):
-            if left == 0:
-                break
-            mine = place[ends[i] - sizes[i] : ends[i]]
-            mine = mine[lengths[mine] > 1]
-            if not len(mine):
-                continue
-            spans = lengths[mine]
-            at = np.repeat(starts[mine] - np.concatenate(([0], np.cumsum(spans)[:-1])), spans) + np.arange(spans.sum())
-            common = np.bincount(owners_by_token[at], minlength=len(sets))
-            near = np.flatnonzero(den * common >= num * (sizes + sizes[i] - common))
-            for j in near.tolist():
-                a, b = find(i), find(j)
-                if a != b:
-                    root[max(a, b)] = min(a, b)
-                    links.append((names[i], names[j]))
-                    left -= 1
-        yield links
-
-
-def _verified(docs: DataFrame, placed: DataFrame, size: int, num: int, den: int) -> DataFrame:
-    """(src, dst): links between sets, by name, that connect all linked ones; placed(name, rep, s1, s2, n, block)."""
-    totals = placed.groupBy("block").agg(F.sum("n").alias("all"), F.count("*").alias("sets")).filter("sets > 1")
-    parts = F.ceil(F.col("all") / F.lit(BLOCK_TOKENS)).cast("int").alias("parts")
-    todo = written(placed.join(totals.select("block", parts), "block").select("rep", "name", "s1", "s2", "block", "parts"), "to-verify")
+    return written(members.join(posted.select("group").distinct(), "group", "left_semi").select("name", "group"), "members"), posted
+
+
+def _token_sets(docs: DataFrame, named: DataFrame, members: DataFrame, size: int) -> DataFrame:
+    """(name, tokens): the whole sets of the members, read again from their documents."""
+    todo = written(named.select("rep", "name", "s1", "s2").join(members.select("name"), "name", "left_semi"), "to-verify", few=True)
     todo = F.broadcast(todo) if todo.count() <= BROADCAST_SETS else todo
-    texts = docs.select(F.col("doc_id").cast("long").alias("rep"), "text").join(todo, "rep").select("name", "s1", "s2", "block", "parts", "text")
+    texts = docs.select(F.col("doc_id").cast("long").alias("rep"), "text").join(todo, "rep").select("name", "s1", "s2", "text")
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keep, lists = [], []
-            for i, (a, b, v) in enumerate(zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), batch.column(5), strict=True)):
+            for i, (a, b, v) in enumerate(zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), batch.column(3), strict=True)):
                 s = token_set(v.as_py(), size)
                 if signature(s) == (a, b):  # else another row with this doc_id
                     keep.append(i)
                     lists.append(signed(s))
-            few = batch.take(pa.array(keep, pa.int32()))
-            yield pa.RecordBatch.from_arrays([few.column(0), few.column(3), few.column(4), _lists(lists)], names=["name", "block", "parts", "tokens"])
-
-    sets = texts.mapInArrow(read, "name long, block long, parts int, tokens array<long>")
-    own = F.pmod(F.xxhash64("name"), F.col("parts")).cast("int")
-    meet = F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda k: F.struct(F.least(own, k).alias("a"), F.greatest(own, k).alias("b")))
-    dealt = sets.withColumn("meet", F.explode(meet)).select("block", F.col("meet.a").alias("a"), F.col("meet.b").alias("b"), "name", "tokens")
-    dealt = dealt.repartition("block", "a", "b").sortWithinPartitions("block", "a", "b", "name")
-
-    def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for links in _links(_units(batches), num, den):
-            yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in links], pa.int64()), pa.array([x[1] for x in links], pa.int64())], names=["src", "dst"])
-
-    return dealt.mapInArrow(verify, "src long, dst long")
-
-
-def _units(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list[int], list[np.ndarray]]]:
-    """Rows of one block and pair of parts at a time, each set once."""
-    now, names, sets = None, [], []
-    for batch in batches:
-        keys = list(zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True))
-        for k, name, tokens in zip(keys, batch.column(3).to_pylist(), batch.column(4), strict=True):
-            if k != now:
-                if len(names) > 1:
-                    yield names, sets
-                now, names, sets = k, [], []
-            if not names or names[-1] != name:
-                names.append(name)
-                sets.append(tokens.values.to_numpy(zero_copy_only=False))
-    if len(names) > 1:
-        yield names, sets
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(keep, pa.int32())), _lists(lists)], names=["name", "tokens"])
+
+    # rows with the same doc_id and text are read more than once
+    return written(texts.mapInArrow(read, "name long, tokens array<long>").dropDuplicates(["name"]), "token-sets")
+
+
+def _linked(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
+    """(src, dst): the pairs(a, b) whose whole sets reach the threshold."""
+    both = pairs.join(sets.select(F.col("name").alias("a"), F.col("tokens").alias("ta")), "a").join(sets.select(F.col("name").alias("b"), F.col("tokens").alias("tb")), "b")
+    common = F.size(F.array_intersect("ta", "tb")).cast("long")
+    return both.filter(common * (num + den) >= (F.size("ta").cast("long") + F.size("tb")) * num).select(F.col("a").alias("src"), F.col("b").alias("dst"))
+
+
+def _pair(a: str, b: str) -> list[Column]:
+    return [F.least(a, b).alias("a"), F.greatest(a, b).alias("b")]
+
+
+def _units(members: DataFrame, links: DataFrame) -> DataFrame:
+    """(name, group, comp, unit): the component of each member by the links so far; the members of a group in one component are a unit, named by its first."""
+    found = connected_components(links, "src", "dst")
+    placed = members.join(found, F.col("name") == F.col("node"), "left").select("name", "group", F.coalesce("component", "name").alias("comp"))
+    first = placed.groupBy("group", "comp").agg(F.min("name").alias("unit"))
+    return written(placed.join(first, ["group", "comp"]).select("name", "group", "comp", "unit"), "units", few=True)
+
+
+def _open(posted: DataFrame, units: DataFrame) -> tuple[DataFrame, int]:
+    """(key, unit, comp, n, at) of the postings with more than one component, and how many pairs of units they leave open."""
+    heads = units.filter("name = unit").select("group", "unit", "comp")
+    lists = posted.join(heads, "group").select("key", "unit", "comp", "n", "at")
+    counts = lists.groupBy("key", "comp").count().groupBy("key").agg(F.sum("count").alias("m"), F.sum(F.col("count") * F.col("count")).alias("own"), F.count("*").alias("comps"))
+    left = written(counts.filter("comps > 1").select("key", "m", "own"), "open-keys", few=True)
+    total = left.agg(F.sum((F.col("m").cast("double") * F.col("m") - F.col("own")) / 2)).first()[0] or 0
+    return written(lists.join(left.select("key"), "key", "left_semi"), "open-postings", few=True), int(total)
+
+
+def _star(lists: DataFrame, units: DataFrame, turn: int) -> DataFrame:
+    """(a, b): each unit with the first of its posting, another one each turn, if they differ in component."""
+    mixed = F.lit((0x9E3779B97F4A7C15 * turn) % (1 << 63))
+    first = lists.groupBy("key").agg(F.min(F.col("unit").bitwiseXOR(mixed)).alias("h"))
+    met = lists.join(first, "key").select("unit", "comp", F.col("h").bitwiseXOR(mixed).alias("c")).filter("unit <> c").distinct()
+    centres = units.filter("name = unit").select(F.col("unit").alias("c"), F.col("comp").alias("other"))
+    return met.join(centres, "c").filter("comp <> other").select(*_pair("unit", "c")).distinct()
+
+
+def _across(lists: DataFrame, units: DataFrame, num: int, den: int) -> DataFrame:
+    """(a, b): all pairs of members of units that share a posting and differ in component, but for those that sizes and places rule out."""
+    x = lists.select("key", *[F.col(c).alias(f"{c}_a") for c in ("unit", "comp", "n", "at")])
+    y = lists.select("key", *[F.col(c).alias(f"{c}_b") for c in ("unit", "comp", "n", "at")])
+    # the first common token of linked sets leaves room for what they must have in common
+    fits = (F.least("n_a", "n_b") * den >= F.greatest("n_a", "n_b") * num) & (F.least(F.expr("n_a - at_a"), F.expr("n_b - at_b")).cast("long") * (num + den) >= F.expr("n_a + n_b") * num)
+    met = x.join(y, "key").filter("comp_a < comp_b").filter(fits).select("unit_a", "unit_b").distinct()
+    inside = units.select("unit", "name")
+    expanded = met.join(inside.select(F.col("unit").alias("unit_a"), F.col("name").alias("m")), "unit_a").join(inside.select(F.col("unit").alias("unit_b"), F.col("name").alias("k")), "unit_b")
+    return expanded.select(*_pair("m", "k"))
+
+
+def _links(docs: DataFrame, named: DataFrame, prefixes: DataFrame, size: int, num: int, den: int) -> DataFrame:
+    """(src, dst): links between sets, by name, that connect all linked ones."""
+    members, posted = _posted(prefixes, num, den)
+    sets = _token_sets(docs, named, members, size)
+    postings = posted.count()
+    inside = members.filter("name <> group").select(*_pair("name", "group"))
+    lone = members.select("name", "group", F.col("group").alias("comp"), F.col("group").alias("unit"))  # before any link: groups
+    first = _star(posted.select("key", F.col("group").alias("unit"), F.col("group").alias("comp")), lone, 0)
+    links = written(_linked(inside.union(first), sets, num, den), "links", few=True)
+    before = math.inf
+    for turn in range(1, MOST_ROUNDS + 1):
+        units = _units(members, links)
+        lists, left = _open(posted, units)
+        if left == 0:
+            return links
+        if left <= OPEN_PAIRS * postings or 2 * left > before or turn == MOST_ROUNDS:
+            break
+        before = left
+        links = links.union(written(_linked(_star(lists, units, turn), sets, num, den), "links", few=True))
+    return links.union(written(_linked(_across(lists, units, num, den), sets, num, den), "links", few=True))
 
 
 def _named(distinct: DataFrame) -> DataFrame:
@@ -242,8 +254,8 @@ def components(docs: DataFrame, size: int = 5, num: int = 4, den: int = 5) -> Da
     one = counted.groupBy("s1", "s2").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("tokens").alias("tokens"))
     distinct = written(one, "distinct-sets")
     named = _named(distinct)
-    placed = _blocks(_prefixes(named, num, den), num, den).join(named.select("name", "rep", "s1", "s2", "n"), "name")
-    found = connected_components(_verified(docs, placed, size, num, den))
+    prefixes = written(_prefixes(named, num, den), "prefixes")
+    found = connected_components(_links(docs, named, prefixes, size, num, den))
     linked = found.join(named.select("name", "rep", "s1", "s2"), F.col("node") == F.col("name"))
     lowest = linked.groupBy("component").agg(F.min("rep").alias("_low"))  # names are not doc_ids if a doc_id is repeated
     sides = linked.join(lowest, "component").select("s1", "s2", "_low")

@@ -46,9 +46,10 @@ def near_copies(seed, groups):
 
 
 @pytest.mark.parametrize("k,num,den", [(3, 9, 10), (5, 4, 5), (1, 1, 2)])
-@pytest.mark.parametrize("block", [1 << 21, 60])
-def test_equals_brute_force(spark, monkeypatch, k, num, den, block):
-    monkeypatch.setattr(jj, "BLOCK_TOKENS", block)
+@pytest.mark.parametrize("pairs,rounds", [(4, 8), (0, 3), (1 << 40, 1)])
+def test_equals_brute_force(spark, monkeypatch, k, num, den, pairs, rounds):
+    monkeypatch.setattr(jj, "OPEN_PAIRS", pairs)
+    monkeypatch.setattr(jj, "MOST_ROUNDS", rounds)
     rows = near_copies(k, 25)
     got = jj.components(spark.createDataFrame(rows, SCHEMA), k, num, den).select("doc_id", "n", "component").collect()
     assert sorted(map(tuple, got)) == brute(rows, k, num, den)
