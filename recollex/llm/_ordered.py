@@ -1,7 +1,8 @@
 """Each row beside the one that follows it in descending key order, without a task that sees all rows.
 
 Keys are cut into ranges at quantiles; each range is one sorted stream in one task, and the row that heads a
-range is also sent to the range before it.  Only the ranges' bounds and head keys come to the driver: two
+range is also sent to the range before it.  Rows without a key are one range of their own, sorted in one task: a corpus
+that lacks keys for a large share of its rows should be given some first.  Only the ranges' bounds and head keys come to the driver: two
 numbers a range.
 """
 

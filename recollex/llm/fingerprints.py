@@ -7,6 +7,9 @@ estimates containment even between a page and a book.
 Words are runs of other than ASCII white space, A-Z lower-cased; shingles have SHINGLE words, a text of fewer has
 one of all its words.
 
+The likeness of short texts is coarse: a text of n shingles keeps n / SCALE of them on average, none with a chance of
+(1 - 1 / SCALE) ** n, and with m kept the estimate errs by about sqrt(p (1 - p) / m).  Below some twenty shingles compare texts.
+
 Cases: a null text is the empty one; a text with nothing below the threshold has an empty sketch, and two of
 those are alike (1) if their texts have the same shingles, else not (0), as is one of those and any other;
 equal texts have equal fingerprints; very long texts have long fingerprints, one hash in ``scale`` shingles;

@@ -7,7 +7,8 @@ left to explain get tables of two dimensions in the same way.  A document is sco
 Training takes at most ``per_class`` labelled rows of each class (their features come to the driver, never
 their texts); scoring reads whole texts in one pass without a shuffle.
 
-Cases: a null text is scored as the empty one; equal texts have equal scores; with no labelled rows every score
+Cases: a null text is scored as the empty one, a very long one whole, its features being counts and shares; labelled rows of
+equal md5 order by doc_id, and a doc_id with several labels counts with the highest; equal texts have equal scores; with no labelled rows every score
 is 0.5, with one class only it is that class's smoothed share; an empty table gives no rows; other columns are
 kept by ``score_documents``, but for those that it adds, which replace columns of the same name.
 """

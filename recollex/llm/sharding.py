@@ -7,7 +7,7 @@ from.  ``grown`` adds shards as subtrees of their own at the root: a larger tree
 the new shard and moves none among the old ones.
 
 Cases: a null key is a key like any other (all its rows share a shard); equal keys share a shard whatever
-their texts; a null text counts 0 bytes and has the crc32 of nothing, 0; an empty table gives no rows; other
+their texts; a very long text counts all its bytes and stays out of the shuffle; a null text counts 0 bytes and has the crc32 of nothing, 0; an empty table gives no rows; other
 columns of the input are kept, but for those that this adds, which replace columns of the same name.
 """
 

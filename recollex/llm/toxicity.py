@@ -8,10 +8,12 @@ around the toxic ones (the README gives figures).  A document is cut into window
 words; each is compressed with both; the differences in bytes, summed up by window thresholds, are calibrated
 to a score by logistic regression on the training documents.
 
-Training takes at most ``per_class`` labelled documents of each class to the driver (whole texts); scoring
-reads whole texts in one pass without a shuffle.
+Training takes at most ``per_class`` labelled documents of each class to the driver (whole texts, none of more than
+LONGEST characters, so that their bytes are bounded too); scoring reads whole texts, however long, in one pass without a
+shuffle.
 
-Cases: a null text is scored as the empty one, which has no window and gets the score of a document in which
+Cases: labelled rows of equal md5 order by doc_id, and a doc_id with several labels counts with the highest; a null text is
+scored as the empty one, which has no window and gets the score of a document in which
 nothing was found; equal texts have equal scores; with no labelled rows every score is 0.5, with one class only
 it is that class's smoothed share; an empty table gives no rows; other columns are kept by ``score_documents``,
 but for those that it adds, which replace columns of the same name.
@@ -35,6 +37,7 @@ from recollex.llm._labels import fold, labelled_sample
 from recollex.session import small_batches, table
 
 PER_CLASS = 2500
+LONGEST = 20_000
 WINDOW_WORDS = 12
 DICTIONARY_BYTES = 4096
 THRESHOLDS = (1, 2, 4)
@@ -121,9 +124,12 @@ def train_dictionaries(texts: list[str], toxic: np.ndarray) -> tuple[bytes, byte
         ratio = n * np.log(n / n1 / pooled) + (c * np.log(c / n0 / pooled) if c else 0.0)
         if ratio >= least and n / n1 >= LEAST_RATE * (c + 0.5) / n0:
             telling[f] = ratio
-    kept = []
+    kept, longest = [], Counter()  # of each beginning: how many toxic documents have the commonest telling fragment that goes on from it
+    for g in telling:
+        for k in range(2, len(g)):
+            longest[g[:k]] = max(longest[g[:k]], tox[g])
     for f in telling:
-        longer = any(g in telling and tox[g] >= 0.9 * tox[f] for g in _longer(f, telling))
+        longer = longest[f] >= 0.9 * tox[f]
         shorter = any(f[:k] in telling and tox[f] < 0.9 * tox[f[:k]] for k in range(4, len(f)))
         if not longer and not shorter:
             kept.append((telling[f], f))
@@ -131,10 +137,6 @@ def train_dictionaries(texts: list[str], toxic: np.ndarray) -> tuple[bytes, byte
     return common + b"\0" * (len(lead) + 1), common + b"\0" + lead
 
 
-def _longer(f: str, among: dict[str, float]) -> list[str]:
-    return [g for g in among if len(g) > len(f) and g.startswith(f)]
-
-
 def _trained(samples: list[bytes]) -> bytes:
     """Content that zstandard's trainer picks from ordinary windows (its entropy tables are left off)."""
     try:
@@ -190,7 +192,7 @@ def fit(texts: list[str], y: np.ndarray, rounds: int = 60) -> Model:
 
 def train(docs: DataFrame, labels: DataFrame, keep: Column, label: str = "toxic", per_class: int = PER_CLASS) -> Model:
     sample = labelled_sample(labels, label, keep, per_class)  # at most 2 * per_class rows of two numbers: broadcast
-    rows = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id").orderBy("doc_id").select("label", F.coalesce("text", F.lit("")).alias("text")).toArrow()
+    rows = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id").filter(F.length(F.coalesce("text", F.lit(""))) <= LONGEST).orderBy("doc_id", "text").select("label", F.coalesce("text", F.lit("")).alias("text")).toArrow()
     return fit(rows["text"].to_pylist(), rows["label"].to_numpy().astype(np.float64))
 
 

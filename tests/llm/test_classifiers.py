@@ -1,7 +1,9 @@
+import math
 import zlib
 
 import numpy as np
 import pytest
+import zstandard
 from pyspark.sql import functions as F
 
 from recollex.llm import quality, toxicity
@@ -90,3 +92,45 @@ def test_trainer_gets_all_windows(monkeypatch):
     monkeypatch.setattr(toxicity.zstandard, "train_dictionary", lambda size, samples, level: seen.extend(samples) or toxicity.zstandard.ZstdCompressionDict(b"x" * 10))
     toxicity._trained([b"w"] * 200_001)
     assert len(seen) == 200_001
+
+
+def test_score_by_brute_force_from_stored_dictionaries(spark):
+    docs, labels = load(spark, "/root/testdata/sf0.001", "documents"), load(spark, "/root/testdata/sf0.001", "labels")
+    m = toxicity.train(docs, labels, F.lit(True))
+    params = zstandard.ZstdCompressionParameters.from_level(
+        3, strategy=zstandard.STRATEGY_BTLAZY2, min_match=3, window_log=16, hash_log=15, chain_log=15, search_log=8, write_checksum=False, write_content_size=False, write_dict_id=False
+    )
+
+    def size(window, content):
+        d = zstandard.ZstdCompressionDict(content, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+        return len(zstandard.ZstdCompressor(dict_data=d, compression_params=params).compress(window))
+
+    for r in toxicity.score_documents(docs.limit(40), m).collect():
+        words = (r["text"] or "").lower().split()
+        cut = [(" " + " ".join(words[i : i + 12]) + " ").encode() for i in range(0, len(words), 12)]
+        d = [size(w, m.ordinary) - size(w, m.toxic) for w in cut]
+        x = [min(max(d), 12), sum(max(v, 0) for v in d) / len(d), math.log(1 + len(d)), *(sum(v >= t for v in d) ** 0.5 for t in (1, 2, 4))] if d else [0.0] * 6
+        z = m.weights[0] + sum(w * (v - a) / b for w, v, a, b in zip(m.weights[1:], x, m.mean, m.scale, strict=True))
+        assert math.isclose(r["score"], 1 / (1 + math.exp(-z)), rel_tol=1e-9)
+
+
+def test_training_bytes_are_bounded(spark):
+    rows = [(1, "vile words here"), (2, "kind words here"), (3, "x " * toxicity.LONGEST)]
+    labels = spark.createDataFrame([(1, 1), (2, 0), (3, 1)], "doc_id long, toxic int")
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    seen = toxicity.train(docs, labels, F.lit(True))
+    assert (seen.weights == toxicity.train(docs.filter("doc_id < 3"), labels, F.lit(True)).weights).all()
+    assert len(toxicity.score_documents(docs, seen).collect()) == 3
+
+
+def test_quality_by_brute_force_from_stored_tables(spark):
+    docs, labels = load(spark, "/root/testdata/sf0.001", "documents"), load(spark, "/root/testdata/sf0.001", "labels")
+    m = quality.train(docs, labels, F.lit(True))
+    assert m.pairs
+    for r in quality.score_documents(docs, m).collect():
+        x = quality.features(r["text"] or "")
+        b = [sum(e <= v for e in edges) for v, edges in zip(x, m.edges, strict=True)]
+        z = m.bias + sum(m.mains[j][k] for j, k in enumerate(b)) + sum(cells[b[i]][b[j]] for i, j, cells in m.pairs)
+        assert math.isclose(r["score"], 1 / (1 + math.exp(-z)), rel_tol=1e-9) and r["predicted"] == (r["score"] >= 0.5)
+    kept = {r["doc_id"] for r in quality.keep_good(docs, m).collect()}
+    assert kept == {r["doc_id"] for r in quality.score_documents(docs, m).filter("score >= 0.5").collect()}
