@@ -12,7 +12,9 @@
     verified links join sets to components.  A posting all in one component needs no more; so thousands of near copies of
     one text cost some pairs each and never all pairs among them.
 5.  What is left open is joined exactly: pairs of groups under one posting and of different components, filtered by size
-    and by the places of the token in both prefixes, are expanded to their members, and every pair is verified.
+    and by the places of the token in both prefixes, are expanded to their members.  A bitmap of each set (a bit for about
+    every token, turned over by each token that falls on it) differs in no more bits than the sets differ in tokens, which
+    rules out nearly all pairs of members that are not linked; every other pair is verified.
 6.  Links become components.
 
 A pair is verified by the common tokens of both whole sets, read again from their documents.  Nothing chains groups
@@ -135,31 +137,47 @@ def _posted(prefixes: DataFrame, num: int, den: int) -> tuple[DataFrame, DataFra
     band = F.col("n").cast("long") if num == den else F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(den / num)) + 1e-9)
     each = groups.select("group", "last", F.col("n").cast("long").alias("n"), band.alias("b"), "before", F.posexplode("prefix").alias("j", "token"))
     each = each.select("group", "last", "n", (F.col("before") + F.col("j")).alias("at"), "token", F.explode(F.array(F.col("b"), F.col("b") - 1)).alias("band"))
-    each = written(each.select(F.xxhash64("token", "band").alias("key"), "group", "last", "n", "at"), "posted")
-    met = each.groupBy("key").agg(F.min("group").alias("_low"), F.max("last").alias("_high")).filter("_low < _high").select("key")
-    posted = written(each.join(met, "key", "left_semi").drop("last"), "posted-together")
+    each = written(each.select(F.xxhash64("token", "band").alias("token"), "group", "last", "n", "at"), "posted")
+    # tokens that the same groups have are one posting, in which a group stands at its earliest place
+    mark = F.xxhash64("group")
+    alike = each.groupBy("token").agg(F.min("group").alias("_low"), F.max("last").alias("_high"), F.bit_xor(mark).alias("_x"), F.sum(F.shiftright(mark, 20)).alias("_s")).filter("_low < _high")
+    keyed_tokens = each.join(alike.select("token", F.xxhash64("_low", "_high", "_x", "_s").alias("key")), "token")
+    posted = written(keyed_tokens.groupBy("key", "group").agg(F.min("n").alias("n"), F.min("at").alias("at")), "posted-together")
     members = keyed.join(groups.select("n", "key", "whole", "group"), ["n", "key", "whole"]).select("name", "group")
     return written(members.join(posted.select("group").distinct(), "group", "left_semi").select("name", "group"), "members"), posted
 
 
+def _bitmap(tokens: np.ndarray, words: int) -> np.ndarray:
+    """Bits turned over by the tokens that fall on them, in ``words`` (a power of two) 64-bit numbers; halves folded by exclusive or are the bitmap of half as many."""
+    odd = np.bincount((tokens & np.uint64(64 * words - 1)).astype(np.int64), minlength=64 * words).astype(np.uint8) & 1
+    return np.packbits(odd).view(np.int64)
+
+
 def _token_sets(docs: DataFrame, named: DataFrame, members: DataFrame, size: int) -> DataFrame:
-    """(name, tokens): the whole sets of the members, read again from their documents."""
+    """(name, tokens, n, own, wide): the whole sets of the members, read again from their documents, with their bitmaps.
+
+    own has the least power of two of 64-bit words that gives each token a bit, wide twice as many: sets of a similar size
+    have bitmaps of one length in common.
+    """
     todo = written(named.select("rep", "name", "s1", "s2").join(members.select("name"), "name", "left_semi"), "to-verify", few=True)
     todo = F.broadcast(todo) if todo.count() <= BROADCAST_SETS else todo
     texts = docs.select(F.col("doc_id").cast("long").alias("rep"), "text").join(todo, "rep").select("name", "s1", "s2", "text")
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keep, lists = [], []
+            keep, lists, own, wide = [], [], [], []
             for i, (a, b, v) in enumerate(zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), batch.column(3), strict=True)):
                 s = token_set(v.as_py(), size)
                 if signature(s) == (a, b):  # else another row with this doc_id
                     keep.append(i)
                     lists.append(signed(s))
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(keep, pa.int32())), _lists(lists)], names=["name", "tokens"])
+                    wide.append(_bitmap(s, 2 << max(0, (len(s) - 1).bit_length() - 6)))
+                    own.append(wide[-1][: len(wide[-1]) // 2] ^ wide[-1][len(wide[-1]) // 2 :])
+            names = batch.column(0).take(pa.array(keep, pa.int32()))
+            yield pa.RecordBatch.from_arrays([names, _lists(lists), pa.array(map(len, lists), pa.int64()), _lists(own), _lists(wide)], names=["name", "tokens", "n", "own", "wide"])
 
     # rows with the same doc_id and text are read more than once
-    return written(texts.mapInArrow(read, "name long, tokens array<long>").dropDuplicates(["name"]), "token-sets")
+    return written(texts.mapInArrow(read, "name long, tokens array<long>, n long, own array<long>, wide array<long>").dropDuplicates(["name"]), "token-sets")
 
 
 def _linked(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
@@ -177,14 +195,14 @@ def _units(members: DataFrame, links: DataFrame) -> DataFrame:
     """(name, group, comp, unit): the component of each member by the links so far; the members of a group in one component are a unit, named by its first."""
     found = connected_components(links, "src", "dst")
     placed = members.join(found, F.col("name") == F.col("node"), "left").select("name", "group", F.coalesce("component", "name").alias("comp"))
-    first = placed.groupBy("group", "comp").agg(F.min("name").alias("unit"))
-    return written(placed.join(first, ["group", "comp"]).select("name", "group", "comp", "unit"), "units", few=True)
+    first = placed.groupBy("group", "comp").agg(F.min("name").alias("unit"), F.count("*").alias("size"))
+    return written(placed.join(first, ["group", "comp"]).select("name", "group", "comp", "unit", "size"), "units", few=True)
 
 
 def _open(posted: DataFrame, units: DataFrame) -> tuple[DataFrame, int]:
-    """(key, unit, comp, n, at) of the postings with more than one component, and how many pairs of units they leave open."""
-    heads = units.filter("name = unit").select("group", "unit", "comp")
-    lists = posted.join(heads, "group").select("key", "unit", "comp", "n", "at")
+    """(key, unit, comp, size, n, at) of the postings with more than one component, and how many pairs of units they leave open."""
+    heads = units.filter("name = unit").select("group", "unit", "comp", "size")
+    lists = posted.join(heads, "group").select("key", "unit", "comp", "size", "n", "at")
     counts = lists.groupBy("key", "comp").count().groupBy("key").agg(F.sum("count").alias("m"), F.sum(F.col("count") * F.col("count")).alias("own"), F.count("*").alias("comps"))
     left = written(counts.filter("comps > 1").select("key", "m", "own"), "open-keys", few=True)
     total = left.agg(F.sum((F.col("m").cast("double") * F.col("m") - F.col("own")) / 2)).first()[0] or 0
@@ -200,16 +218,31 @@ def _star(lists: DataFrame, units: DataFrame, turn: int) -> DataFrame:
     return met.join(centres, "c").filter("comp <> other").select(*_pair("unit", "c")).distinct()
 
 
-def _across(lists: DataFrame, units: DataFrame, num: int, den: int) -> DataFrame:
-    """(a, b): all pairs of members of units that share a posting and differ in component, but for those that sizes and places rule out."""
-    x = lists.select("key", *[F.col(c).alias(f"{c}_a") for c in ("unit", "comp", "n", "at")])
-    y = lists.select("key", *[F.col(c).alias(f"{c}_b") for c in ("unit", "comp", "n", "at")])
+def _alike(num: int, den: int) -> Column:
+    """Whether the bitmaps of a and b differ in no more bits than linked sets of their sizes n do in tokens; so if they have no length in common."""
+    same, longer = F.size("own_a") == F.size("own_b"), F.size("own_a") > F.size("own_b")
+    left, right = F.when(same | longer, F.col("own_a")).otherwise(F.col("wide_a")), F.when(same | ~longer, F.col("own_b")).otherwise(F.col("wide_b"))
+    differ = F.aggregate(F.zip_with(left, right, lambda p, q: F.bit_count(p.bitwiseXOR(q))), F.lit(0), lambda t, z: t + z)
+    return F.coalesce(differ, F.lit(0)).cast("long") * (num + den) <= (F.col("n_a") + F.col("n_b")) * (den - num)
+
+
+def _side(df: DataFrame, side: str, *same: str) -> DataFrame:
+    return df.select(*same, *[F.col(c).alias(f"{c}_{side}") for c in df.columns if c not in same])
+
+
+def _across(lists: DataFrame, units: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
+    """(a, b): the pairs of members of units that share a posting and differ in component, but for those that sizes, places and bitmaps rule out."""
+    maps = sets.select("name", "n", "own", "wide")
+    lists = lists.join(maps.select(F.col("name").alias("unit"), "own", "wide"), "unit")
     # the first common token of linked sets leaves room for what they must have in common
     fits = (F.least("n_a", "n_b") * den >= F.greatest("n_a", "n_b") * num) & (F.least(F.expr("n_a - at_a"), F.expr("n_b - at_b")).cast("long") * (num + den) >= F.expr("n_a + n_b") * num)
-    met = x.join(y, "key").filter("comp_a < comp_b").filter(fits).select("unit_a", "unit_b").distinct()
-    inside = units.select("unit", "name")
-    expanded = met.join(inside.select(F.col("unit").alias("unit_a"), F.col("name").alias("m")), "unit_a").join(inside.select(F.col("unit").alias("unit_b"), F.col("name").alias("k")), "unit_b")
-    return expanded.select(*_pair("m", "k"))
+    met = _side(lists, "a", "key").join(_side(lists, "b", "key"), "key").filter((F.col("comp_a") < F.col("comp_b")) & fits & ((F.col("size_a") > 1) | (F.col("size_b") > 1) | _alike(num, den)))
+    fewer = F.col("size_a") <= F.col("size_b")
+    pairs = met.select(F.when(fewer, F.col("unit_a")).otherwise(F.col("unit_b")).alias("unit_a"), F.when(fewer, F.col("unit_b")).otherwise(F.col("unit_a")).alias("unit_b")).distinct()
+    # the smaller unit is expanded first, so that the members of the larger meet the bitmaps where they are joined
+    members = units.select("unit", "name").join(maps, "name")
+    both = pairs.join(_side(members, "a"), "unit_a").join(_side(members, "b"), "unit_b").filter(_alike(num, den))
+    return both.select(*_pair("name_a", "name_b"))
 
 
 def _links(docs: DataFrame, named: DataFrame, prefixes: DataFrame, size: int, num: int, den: int) -> DataFrame:
@@ -231,7 +264,7 @@ def _links(docs: DataFrame, named: DataFrame, prefixes: DataFrame, size: int, nu
             break
         before = left
         links = links.union(written(_linked(_star(lists, units, turn), sets, num, den), "links", few=True))
-    return links.union(written(_linked(_across(lists, units, num, den), sets, num, den), "links", few=True))
+    return links.union(written(_linked(_across(lists, units, sets, num, den), sets, num, den), "links", few=True))
 
 
 def _named(distinct: DataFrame) -> DataFrame:
