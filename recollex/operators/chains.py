@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
@@ -104,12 +106,16 @@ def broken_links(df: DataFrame, chain: str, position: str) -> DataFrame:
 
 
 def neighbour_links(df: DataFrame, keys: list[str], reach: int = 4, strength: float = 0.3) -> DataFrame:
-    """(src, dst, kind, strength): each row with the next ``reach`` of the same key, for each of ``keys``, in order of ord."""
-    out = None
+    """(src, dst, kind, strength): each row with the next ``reach`` of the same key, for each of ``keys``, in order of ord.
+
+    Rows are ranked in ranges of (key, ord) and meet the next ranks by an equi-join, so a key that a third of all rows have
+    is spread over many tasks.
+    """
+    parts = []
     for k in keys:
-        kept = df.filter(F.coalesce(F.col(k).cast("string"), F.lit("")) != "")
-        w = _over([k], "ord")
-        following = F.array_compact(F.array(*[F.lead("memory_id", i).over(w) for i in range(1, reach + 1)]))
-        part = kept.select(F.col("memory_id").alias("src"), following.alias("f")).select("src", F.explode("f").alias("dst"), F.lit(k).alias("kind"), F.lit(strength).alias("strength"))
-        out = part if out is None else out.union(part)
-    return out
+        kept = df.filter(F.coalesce(F.col(k).cast("string"), F.lit("")) != "").select(F.col(k).alias("_k"), "ord", "memory_id")
+        placed = indexed(kept, ["_k", "ord"], "_i").select("_k", "_i", "memory_id")
+        asks = placed.select(F.col("_k").alias("_key"), F.col("memory_id").alias("src"), F.explode(F.sequence(F.col("_i") + 1, F.col("_i") + reach)).alias("_next"))
+        met = asks.join(placed, (F.col("_next") == F.col("_i")) & (F.col("_key") == F.col("_k")))
+        parts.append(met.select("src", F.col("memory_id").alias("dst"), F.lit(k).alias("kind"), F.lit(strength).alias("strength")))
+    return reduce(DataFrame.union, parts)

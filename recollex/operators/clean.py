@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from recollex.operators.evaluate import text_of
+from recollex.operators.evaluate import own_text
 from recollex.operators.mining import deduplicate
 
 QUESTIONS_PER_PERSON = 10
@@ -45,7 +45,7 @@ def cap_questions(queries: DataFrame, cap: int = QUESTIONS_PER_PERSON, varied: b
 def clean(mems: DataFrame, queries: DataFrame, keep_negatives: bool = False) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(memories, queries, statistics) after deduplication, pruning and capping."""
     slim = mems.select(
-        "ord", text_of(mems).alias("content"), F.coalesce("person.name", F.lit(UNKNOWN)).alias("person"), F.coalesce(F.col("attrs")["event_type"], F.col("event.product"), F.lit("")).alias("event_type"),
+        "ord", own_text(mems).alias("content"), F.coalesce("person.name", F.lit(UNKNOWN)).alias("person"), F.coalesce(F.col("attrs")["event_type"], F.col("event.product"), F.lit("")).alias("event_type"),
         F.coalesce(F.col("attrs")["book"], F.lit("")).alias("book"),
     )
     kept, stats = deduplicate(slim)

@@ -30,6 +30,11 @@ def text_of(mems: DataFrame) -> Column:
     return F.coalesce(first, F.col("content"), F.lit(""))
 
 
+def own_text(mems: DataFrame) -> Column:
+    """The record's content, else that of its first version: what cleaning compares."""
+    return F.coalesce(F.col("content"), F.when(F.size("versions") > 0, F.get("versions", F.lit(0))["content"]), F.lit(""))
+
+
 def entity_index(stored: DataFrame) -> DataFrame:
     """(entity, memory_id): distinct names found in the contents that the store ends up with."""
     return stored.select("memory_id", F.explode(entities(F.col("content"))).alias("entity")).distinct().select("entity", "memory_id")

@@ -21,7 +21,10 @@ def keep_first(df: DataFrame, key: Column | str, order: str = "ord") -> DataFram
 
 
 def exact_dedup(df: DataFrame, content: str = "content", order: str = "ord") -> DataFrame:
-    return keep_first(df, fold(F.coalesce(F.col(content), F.lit(""))), order)
+    """The first row of each folded text; ``order`` tells all rows apart.  Only hashes of texts are grouped, so a text that a third of all rows have is one number a task."""
+    text = fold(F.coalesce(F.col(content), F.lit("")))
+    firsts = df.select(F.xxhash64(text).alias("_h"), F.xxhash64(F.lit(1), text).alias("_g"), F.col(order)).groupBy("_h", "_g").agg(F.min(order).alias(order)).select(order)
+    return df.join(firsts, order, "left_semi").select(*df.columns)
 
 
 def similar_pairs(df: DataFrame, block: str = "block", person: str = "person", content: str = "content", threshold: float = SIMILARITY) -> DataFrame:
@@ -64,16 +67,17 @@ def key_threshold(df: DataFrame, person: str = "person", share: float = KEY_SHAR
 def diverse(df: DataFrame, by: str, cap: Column | str, strata: list[str], seed: int = 42, order: str = "ord") -> DataFrame:
     """At most ``cap`` rows of each ``by``: the first of each stratum, small strata first, then the others in hash order."""
     inside = W.partitionBy(by, *strata)
-    ranked = df.withColumns({"_in": F.row_number().over(inside.orderBy(order)), "_size": F.count("*").over(inside), "_first": F.min(order).over(inside), "_all": F.count("*").over(W.partitionBy(by))})
+    ranked = df.withColumns({"_in": F.row_number().over(inside.orderBy(order)), "_size": F.count("*").over(inside), "_first": F.min(order).over(inside)})
     hashed = F.md5(F.concat(F.lit(f"{seed}:"), F.col(order).cast("string")))
     turn = W.partitionBy(by).orderBy(F.col("_in") > 1, F.when(F.col("_in") == 1, F.col("_size")), F.when(F.col("_in") == 1, F.col("_first")), hashed, order)
     cap = F.col(cap) if isinstance(cap, str) else cap
-    return ranked.withColumn("_turn", F.row_number().over(turn)).filter((F.col("_all") <= cap) | (F.col("_turn") <= cap)).drop("_in", "_size", "_first", "_all", "_turn")
+    return ranked.withColumn("_turn", F.row_number().over(turn)).filter(F.col("_turn") <= cap).drop("_in", "_size", "_first", "_turn")
 
 
 def balance(df: DataFrame, strata: list[str], person: str = "person", cap_key: int = CAP_KEY, cap_other: int = CAP_OTHER) -> DataFrame:
     """Caps the rows of each person: the many-rowed ones at ``cap_key``, the others at ``cap_other``."""
-    marked = df.withColumn("_n", F.count("*").over(W.partitionBy(person))).crossJoin(key_threshold(df, person))  # one row
+    counts = df.groupBy(person).agg(F.count("*").alias("_n")).withColumnRenamed(person, "_p")
+    marked = df.join(counts, F.col(person).eqNullSafe(F.col("_p"))).drop("_p").crossJoin(key_threshold(df, person))  # one row
     capped = marked.withColumn("_cap", F.when(F.col("_n") >= F.col("threshold"), cap_key).otherwise(cap_other))
     return diverse(capped, person, "_cap", strata).drop("_n", "_cap", "threshold")
 

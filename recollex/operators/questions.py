@@ -58,7 +58,8 @@ def allocate(mems: DataFrame, count: int, seed: int = 42) -> DataFrame:
     """Records of each dimension, as many as its quota, in hash order; a record may serve several dimensions."""
     each = mems.withColumn("dimension", F.explode(dimensions(mems))).join(F.broadcast(quotas(mems.sparkSession, count)), "dimension")
     order = W.partitionBy("dimension").orderBy(F.md5(F.concat(F.lit(f"{seed}:"), "dimension", F.lit(":"), "memory_id")), "memory_id")
-    return each.withColumn("turn", F.row_number().over(order)).filter(F.col("turn") <= F.col("quota")).drop("quota")
+    most = max(1, *(int(count * r) for r in RATIOS.values()))  # a number in the plan, by which tasks cut their rows before the shuffle
+    return each.withColumn("turn", F.row_number().over(order)).filter(F.col("turn") <= most).filter(F.col("turn") <= F.col("quota")).drop("quota")
 
 
 def answer_json() -> Column:
@@ -157,9 +158,9 @@ def negatives(mems: DataFrame, n: int, seed: int = 42, subtle: int | None = SUBT
     acts = acts if subtle is None else acts.orderBy("p", "c", "a").limit(subtle)
     buys = some.withColumn("f", F.explode(F.array(*map(F.lit, NO_CITIES)))).crossJoin(products if contrary is None else products.limit(contrary))
     buys = buys if contrary is None else buys.orderBy("p", "f", "x").limit(contrary)
-    spare = [f"关于未知事件{i}的记录" for i in range(len(fixed), max(len(fixed), n))]
+    spare = spark.range(len(fixed), max(len(fixed), n)).select(_say("关于未知事件", F.col("id").cast("string"), "的记录"))
     every = _literal(spark, fixed).union(acts.select(_say(F.col("p"), "在", F.col("c"), F.col("a")))).union(buys.select(_say(F.col("p"), "在", F.col("f"), "购买了", F.col("x"))))
-    full = every if every.limit(n).count() >= n else every.union(_literal(spark, spare))
+    full = every if every.limit(n).count() >= n else every.union(spare)
     order = F.md5(F.concat(F.lit(f"{seed}:"), "query_text"))
     chosen = full.select("query_text").distinct().orderBy(order, "query_text").limit(n)
     return chosen.select(

@@ -48,14 +48,7 @@ _EXPECTED = "expected as (select item_id, doc_id from benchmark join documents o
 
 
 def _expected(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents that hold an item whole: they hold all its words, so the search index finds them, and their text is looked at only then."""
-    docs, items = _documents(spark, sf_dir), _items(spark, sf_dir)
-    asked_ = items.select("probe", F.explode(keywords(F.col("text"))).alias("word"))
-    pairs = se.matched_pairs(docs, asked_.select("word"))
-    full = pairs.join(asked_, "word").groupBy("probe", "memory_id").agg(F.count("*").alias("hits"))
-    sizes = items.select("probe", F.size(keywords(F.col("text"))).alias("n"), F.col("text").alias("item"))
-    met = full.join(se.small(sizes), "probe").filter("hits = n").join(docs.select("memory_id", "content"), "memory_id")
-    return met.filter(F.contains("content", F.col("item"))).select("probe", "memory_id")
+    return se.holding(_documents(spark, sf_dir), _items(spark, sf_dir))
 
 
 @query(f"with {_EXPECTED} select * from expected")

@@ -80,19 +80,20 @@ def chain_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select(F.col("reasoning_chain").alias("chain"), "n", F.array_join("members", ",").alias("members"), "summary")
 
 
-_HOLES = "(conv_id + turn) % 7 <> 0"
+#: Places of all turns; every third conversation has a hole before its third turn, every seventh lacks a first place.
+_PLACE = "turn + 1 + case when conv_id % 3 = 0 and turn >= 2 then 1 else 0 end + case when conv_id % 7 = 0 then 2 else 0 end"
 
 
 def _holed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "conversations").filter(_HOLES).select(F.format_string("h%d", "conv_id").alias("chain"), (F.col("turn") + 1).alias("pos"))
+    return table(spark, sf_dir, "conversations").select(F.format_string("h%d", "conv_id").alias("chain"), F.expr(_PLACE).alias("pos"))
 
 
-@query(f"select 'h' || conv_id as chain, count(*) as n, min(turn) = 0 and max(turn) + 1 = count(*) and count(distinct turn) = count(*) as contiguous from conversations where {_HOLES} group by conv_id")
+@query(f"select 'h' || conv_id as chain, count(*) as n, min(pos) = 1 and max(pos) = count(*) and count(distinct pos) = count(*) as contiguous from (select conv_id, {_PLACE} as pos from conversations) group by conv_id")
 def chain_contiguity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ch.contiguity(_holed(spark, sf_dir), "chain", "pos")
 
 
-@query(f"select 'h' || conv_id as chain, count(*) as gaps from (select conv_id, turn - lag(turn) over (partition by conv_id order by turn) as step from conversations where {_HOLES}) where step > 1 group by conv_id")
+@query(f"select 'h' || conv_id as chain, count(*) as gaps from (select conv_id, pos - lag(pos) over (partition by conv_id order by pos) as step from (select conv_id, {_PLACE} as pos from conversations)) where step > 1 group by conv_id")
 def chain_gaps(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ch.gaps(_holed(spark, sf_dir), "chain", "pos")
 
@@ -114,7 +115,9 @@ def dangling_references(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"""with {ASKED}, v as (select ord, query_id, list_filter(ids, lambda x: split_part(x, '-', 2)::int % 3 <> 0) as ids from asked)
 select query_id, len(ids)::bigint as n, array_to_string(ids, ',') as ids from v where len(ids) > 0""")
 def valid_id_prune(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = cl.prune_ids(asked(spark, sf_dir), records(spark, sf_dir).filter("(chain_position - 1) % 3 <> 0"))
+    # every third turn is asked for by an id that no record has
+    lost = F.transform("expected_memory_ids", lambda x: F.when(F.split_part(x, F.lit("-"), F.lit(2)).cast("int") % 3 == 0, F.concat(F.lit("gone-"), x)).otherwise(x))
+    out = cl.prune_ids(asked(spark, sf_dir).withColumn("expected_memory_ids", lost), records(spark, sf_dir))
     return out.select("query_id", F.size("expected_memory_ids").cast("long").alias("n"), F.array_join("expected_memory_ids", ",").alias("ids"))
 
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -22,9 +23,21 @@ def checked_folder(path: str, blocked: tuple[str, ...] = ("/etc", "/proc", "/sys
     return real
 
 
+def _leaving(root: str) -> list[str]:
+    """Links under ``root`` to files and folders that are not under it; few, as a corpus has few links."""
+    found = [os.path.join(at, name) for at, folders, files in os.walk(root) for name in (*folders, *files)]
+    return [x for x in found if os.path.islink(x) and not os.path.realpath(x).startswith(root + os.sep)]
+
+
 def scan(spark: SparkSession, path: str, glob: str = "*.md") -> DataFrame:
-    """(file, folder, name, text) of every file under ``path``; links that leave it are not followed by Spark's listing."""
-    raw = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", glob).text(checked_folder(path), wholetext=True)
+    """(file, folder, name, text) of every file under ``path``; what links lead out of a local folder is left out.  Nothing found gives no rows."""
+    root = checked_folder(path)
+    reader = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", glob)
+    out = _leaving(root) if "://" not in root else []
+    raw = reader.text(root, wholetext=True)
+    if out:  # names of files and folders that Spark's listing would follow
+        at = F.regexp_replace(F.url_decode(F.replace(F.col("_metadata.file_path"), F.lit("+"), F.lit("%2B"))), "^file:/*", "/")
+        raw = raw.filter(~reduce(lambda a, b: a | b, [(at == x) | at.startswith(x + "/") for x in out]))
     parts = F.split(F.col("file"), "/")
     return raw.select(F.col("_metadata.file_path").alias("file"), F.col("value").alias("text")).select("file", F.element_at(parts, -2).alias("folder"), F.element_at(parts, -1).alias("name"), "text")
 
