@@ -47,8 +47,10 @@ from recollex.operators.components import connected_components
 from recollex.session import small_batches, table, written
 
 #: Rounds of stars go on, at most MOST_ROUNDS of them, while the pairs left open are more than so many for each posted group
-#: and each round at least halves them.
-OPEN_PAIRS, MOST_ROUNDS = 4, 8
+#: and each round takes a tenth of them or more.
+OPEN_PAIRS, MOST_ROUNDS, HELPFUL = 4, 12, 0.9
+#: Postings of a unit that are known to its later ones; a pair whose first common posting is not among them is made more than once.
+KNOWN = 64
 #: The sample is so large that a set of SURE_FROM tokens has, but for three standard deviations, as many tokens in
 #: it as its prefix is long: sets without partners then fill their prefix with unique tokens and drop out.
 SURE_FROM = 100
@@ -233,10 +235,13 @@ def _side(df: DataFrame, side: str, *same: str) -> DataFrame:
 def _across(lists: DataFrame, units: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
     """(a, b): the pairs of members of units that share a posting and differ in component, but for those that sizes, places and bitmaps rule out."""
     maps = sets.select("name", "n", "own", "wide")
-    lists = lists.join(maps.select(F.col("name").alias("unit"), "own", "wide"), "unit")
+    # a pair is made at its first common posting: each posting of a unit has those before it (the first KNOWN of them)
+    postings = lists.groupBy("unit", "comp", "size", "n").agg(F.sort_array(F.collect_list(F.struct("at", "key"))).alias("p"))  # at most a prefix
+    each = postings.select("*", F.explode("p").alias("x")).withColumn("before", F.transform(F.filter(F.slice("p", 1, KNOWN), lambda y: y["at"] < F.col("x.at")), lambda y: y["key"]))
+    lists = each.select("unit", "comp", "size", "n", "x.at", "x.key", "before").join(maps.select(F.col("name").alias("unit"), "own", "wide"), "unit")
     # the first common token of linked sets leaves room for what they must have in common
     fits = (F.least("n_a", "n_b") * den >= F.greatest("n_a", "n_b") * num) & (F.least(F.expr("n_a - at_a"), F.expr("n_b - at_b")).cast("long") * (num + den) >= F.expr("n_a + n_b") * num)
-    met = _side(lists, "a", "key").join(_side(lists, "b", "key"), "key").filter((F.col("comp_a") < F.col("comp_b")) & fits & ((F.col("size_a") > 1) | (F.col("size_b") > 1) | _alike(num, den)))
+    met = _side(lists, "a", "key").join(_side(lists, "b", "key"), "key").filter((F.col("comp_a") < F.col("comp_b")) & fits & ~F.arrays_overlap("before_a", "before_b") & ((F.col("size_a") > 1) | (F.col("size_b") > 1) | _alike(num, den)))
     fewer = F.col("size_a") <= F.col("size_b")
     pairs = met.select(F.when(fewer, F.col("unit_a")).otherwise(F.col("unit_b")).alias("unit_a"), F.when(fewer, F.col("unit_b")).otherwise(F.col("unit_a")).alias("unit_b")).distinct()
     # the smaller unit is expanded first, so that the members of the larger meet the bitmaps where they are joined
@@ -260,7 +265,7 @@ def _links(docs: DataFrame, named: DataFrame, prefixes: DataFrame, size: int, nu
         lists, left = _open(posted, units)
         if left == 0:
             return links
-        if left <= OPEN_PAIRS * postings or 2 * left > before or turn == MOST_ROUNDS:
+        if left <= OPEN_PAIRS * postings or left > HELPFUL * before or turn == MOST_ROUNDS:
             break
         before = left
         links = links.union(written(_linked(_star(lists, units, turn), sets, num, den), "links", few=True))

@@ -46,8 +46,9 @@ def near_copies(seed, groups):
 
 
 @pytest.mark.parametrize("k,num,den", [(3, 9, 10), (5, 4, 5), (1, 1, 2)])
-@pytest.mark.parametrize("pairs,rounds", [(4, 8), (0, 3), (1 << 40, 1)])
-def test_equals_brute_force(spark, monkeypatch, k, num, den, pairs, rounds):
+@pytest.mark.parametrize("pairs,rounds,known", [(4, 8, 64), (0, 3, 2), (1 << 40, 1, 64)])
+def test_equals_brute_force(spark, monkeypatch, k, num, den, pairs, rounds, known):
+    monkeypatch.setattr(jj, "KNOWN", known)
     monkeypatch.setattr(jj, "OPEN_PAIRS", pairs)
     monkeypatch.setattr(jj, "MOST_ROUNDS", rounds)
     rows = near_copies(k, 25)
