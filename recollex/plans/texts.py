@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -9,8 +11,11 @@ from recollex.functions import json as js
 from recollex.functions import text as tx
 from recollex.functions import times as ti
 from recollex.operators import facts as fa
+from recollex.operators import extract as ex
 from recollex.plans.catalogue import query
+from recollex.plans.roles import ASKED, asked
 from recollex.session import table
+from recollex.sources.models import Mock
 from recollex.sources import corpus
 
 _DAYS = "date_diff('day', ts::date, date '2024-02-01')"
@@ -104,6 +109,25 @@ def corpus_prepare(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus.prepare(files).select("page_id", F.length("text").cast("long").alias("n"), F.md5("text").alias("digest"))
 
 
+_FACTS = [{"content": "first", "person": "Ann"}, {"content": "second", "time": "2024", "chain_position": 2}]
+
+
+@query("""with p as (select page_id, url, regexp_replace(html, '^---[\\s\\S]*?---', '') as h from pages), asked as (select * from p where length(regexp_replace(h, '^\\s+|\\s+$', '', 'g')) >= 500),
+f as (select * from (values ('first', 'Ann', null, null), ('second', null, '2024', 2)) as t(content, person, time, chain_position))
+select 'pages/' || page_id as source, content, person, time, chain_position from asked, f""")
+def corpus_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages as files, and a model that tells two facts of each."""
+    files = table(spark, sf_dir, "pages").select(F.col("page_id").cast("string").alias("file"), F.lit("pages").alias("folder"), F.col("page_id").cast("string").alias("name"), F.col("html").alias("text"))
+    none = spark.createDataFrame([], f"{ex.FACT}, _source string")
+    facts, _, _ = ex.extract(files, files.select("file").limit(0), none, Mock("```json\n" + json.dumps(_FACTS) + "\n```"))
+    return facts.select(F.col("_source").alias("source"), "content", "person", "time", "chain_position")
+
+
+@query(f"with {ASKED} select query_type, count(*) as n from asked group by query_type")
+def question_types(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ex.type_counts(asked(spark, sf_dir))
+
+
 @query("select doc_id from documents where doc_id not in (select doc_id from labels)")
 def corpus_pending(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents as files, labelled ones as done."""

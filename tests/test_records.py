@@ -3,7 +3,7 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
-from recollex.operators import chains, clean, evaluate, facts, generate, mining, quality, questions, search
+from recollex.operators import chains, clean, evaluate, extract, facts, generate, mining, quality, questions, search
 from recollex.operators.components import connected_components
 from recollex.session import written
 from recollex.sources import corpus, database, models
@@ -237,3 +237,21 @@ def test_models(spark):
     assert models.Retrying(flaky, pause=0).batch(["x"]) == ["ok"] and len(calls) == 3
     with pytest.raises(ValueError):
         models.create("none")
+
+
+def test_extraction(spark):
+    class Model:
+        def batch(self, prompts):
+            if len(prompts) > 1 or "broken" in prompts[0]:
+                raise OSError
+            return ['[{"content": "a", "person": "p", "extra": {"x": 1}}, 5]' if "array" in prompts[0].split("\n\n")[1] else 'facts:\n{"content": "b"},\nno {json\n{"content": "c", "chain_position": 3}']
+
+    pad = " w" * 300
+    files = spark.createDataFrame([("1", "f", "one.md", "array" + pad), ("2", "f", "two.md", "lines" + pad), ("3", "f", "bad.md", "broken" + pad), ("4", "f", "short.md", "x"), ("5", "f", "old.md", "array" + pad)], "file string, folder string, name string, text string").coalesce(1)
+    old = spark.createDataFrame([("kept", "f/old.md")], "content string, _source string")
+    facts_, done, counts = extract.extract(files, files.filter("file = '5'").select("file"), old, Model())
+    got = sorted((r["_source"], r["content"], r["person"], r["chain_position"]) for r in facts_.collect())
+    assert got == [("f/old.md", "kept", None, None), ("f/one.md", "a", "p", None), ("f/two.md", "b", None, None), ("f/two.md", "c", None, 3)]
+    assert sorted(r["file"] for r in done.collect()) == ["1", "2", "5"] and tuple(counts.first()) == (2, 1)
+    again, _, none = extract.extract(files.filter("file = '1'"), done, facts_, Model())
+    assert again.count() == 4 and tuple(none.first()) == (0, 0)
