@@ -255,3 +255,25 @@ def test_extraction(spark):
     assert sorted(r["file"] for r in done.collect()) == ["1", "2", "5"] and tuple(counts.first()) == (2, 1)
     again, _, none = extract.extract(files.filter("file = '1'"), done, facts_, Model())
     assert again.count() == 4 and tuple(none.first()) == (0, 0)
+
+
+def test_every_rule_of_the_detailed_checks_can_fire(spark):
+    def m(i, name, action, city="北京", product="书", chain="", pos=0, relation=None, cluster=None):
+        return (f"m{i}", {"name": name}, {"action": action, "product": product}, {"city": city}, chain, pos, relation, cluster)
+
+    mems = spark.createDataFrame(
+        [m(1, "甲", "之后", chain="C", pos=1, relation="时序"), m(2, "乙", "买", chain="C", pos=3, relation="时序"), m(3, "丙", "卖", chain="D", pos=1, relation="因果", cluster="k1"), m(4, "丁", "卖", cluster="k2")],
+        "memory_id string, person struct<name:string>, event struct<action:string,product:string>, location struct<city:string>, reasoning_chain string, chain_position int, chain_relation string, cluster_id string",
+    )
+    rows = [
+        ("q1", "从别处出发，能推导出什么", "推导推理链", ["m2", "m1"], "甲", False, None), ("q2", "后续事件依次是什么", "时序推理链", ["m1", "m3"], "甲丙", False, None), ("q3", "单", "因果推理链", ["m1"], "甲", False, None),
+        ("q4", "聚", "聚类检索", ["m3", "m4"], "", False, None), ("q5", "聚一", "聚类检索", ["m3"], "", False, None), ("q6", "甲做了什么", "人物检索", ["m1"], "乙", False, None), ("q7", "在上海发生过什么", "地点检索", ["m1"], "北京", False, None),
+        ("q8", "跨", "跨版本", ["m1"], "", False, ["a"]), ("q9", "之后了 chain_id", "组合检索", ["m1"], "", False, None), ("q9", "之后了 chain_id", "组合检索", ["m1"], "", False, None), *[(f"n{i}", f"同 {i}", "负样本", ["m1"] if i == 0 else [], "", True, None) for i in range(4)],
+    ]
+    queries = spark.createDataFrame(rows, "query_id string, query_text string, query_type string, expected_memory_ids array<string>, expected_answer_text string, is_negative boolean, acceptable_answers array<string>")
+    got = {}
+    for r in quality.detailed(mems, queries).collect():
+        got.setdefault(r["rule"], set()).add((r["subject"], r["detail"]))
+    assert got.pop("answer_member") == {("q1", "乙")} and got.pop("premise") == {("q1", "别处")} and got.pop("chain_gap") == {("C", "1")}
+    assert got.pop("chain_first_verb") == {("q2", "之后"), ("q3", "之后")} and got.pop("answer_versions") == {("q8", "1")} and got.pop("several_chains") == {("q2", "2")}
+    assert set(got) == {"repeated_text", "negative_with_ids", "chain_too_short", "chain_start", "cluster_too_small", "several_clusters", "answer_person", "answer_place", "grammar", "leaked_name", "negative_person", "negative_kinds"}
