@@ -2,22 +2,26 @@
 
 The vocabulary's normaliser works on characters between white space, its splitting pattern matches no white space,
 and none of its special tokens has any.  So a text's ids are those of its white-space separated words in order, and the
-library encodes each of these as a text of its own.
+library encodes each of these as a text of its own.  So that fewer of them differ, ASCII texts are folded to small letters first
+(as the normaliser does) and a comma or full stop at a word's end is a word of its own (as the pattern has it).
 """
 
 from __future__ import annotations
 
 import os
 import re
-from itertools import chain
+from collections import ChainMap
+from itertools import islice
 
 import numpy as np
 
 #: Python's str.split() also cuts at these, which the vocabulary takes for characters like others.
 NO_SPACE = re.compile("[\x1c-\x1f]").search
 WORDS = re.compile(r"[^ \t\n\v\f\r]+").findall
+#: A mark after an ASCII letter and before white space is a token sequence of its own, by the splitting pattern.
+MARK, END = re.compile(r"[,.]").search, re.compile(r"(?<=[a-zA-Z])([,.])(?=[ \n])").sub
 #: Bounds of what a worker remembers: so many words, none longer.
-KNOWN_WORDS, LONGEST = 1 << 18, 64
+KNOWN_WORDS, LONGEST = 1 << 19, 64
 
 
 class WordEncoder:
@@ -29,21 +33,47 @@ class WordEncoder:
         self.library.no_truncation()
         self.library.no_padding()
         self.width = 2 if self.library.get_vocab_size(with_added_tokens=True) <= 1 << 16 else 4
+        self.between = "<|endoftext|>"
+        self.cut = self.library.token_to_id(self.between)
         self.known: dict[str, bytes] = {}
 
     def _learn(self, words: list[str]) -> dict[str, bytes]:
-        """The ids of every word as little-endian numbers of ``width`` bytes."""
-        found = self.library.encode_batch_fast(words, add_special_tokens=False)
-        ids = [e.ids for e in found]
-        raw, w, at, out = np.fromiter(chain.from_iterable(ids), dtype=f"<u{self.width}").tobytes(), self.width, 0, {}
-        for word, n in zip(words, map(len, ids), strict=True):
-            out[word] = raw[at : (at := at + n * w)]
+        """The ids of every word as little-endian numbers of ``width`` bytes.
+
+        The library cuts a text at its special tokens before all else and encodes what is between them by itself, so many
+        words are encoded in one call with a special token between each two.
+        """
+        dtype, w, out = f"<u{self.width}", self.width, {}
+        for word in words:
+            if "<|" in word:
+                out[word] = np.array(self.library.encode(word, add_special_tokens=False).ids, dtype=dtype).tobytes()
+        plain = [x for x in words if "<|" not in x]
+        for i in range(0, len(plain), 1000):
+            part = plain[i : i + 1000]
+            ids = np.array(self.library.encode_batch_fast([self.between.join(part)], add_special_tokens=False)[0].ids, dtype=dtype)
+            cuts, raw = np.flatnonzero(ids == self.cut).tolist(), ids.tobytes()
+            for word, start, end in zip(part, [0, *[c + 1 for c in cuts]], [*cuts, len(ids)], strict=True):
+                out[word] = raw[start * w : end * w]
         return out
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of each text as little-endian numbers of ``width`` bytes."""
-        split = [WORDS(t) if NO_SPACE(t) else t.split() for t in texts]
-        ids = self.known | self._learn([w for w in set().union(*split) if w not in self.known])
-        kept = ids if len(ids) <= KNOWN_WORDS else {}
-        self.known = {w: v for w, v in kept.items() if len(w) <= LONGEST}
-        return [b"".join(map(ids.__getitem__, s)) for s in split]
+        split = [self._split(t) for t in texts]
+        words = set().union(*split)
+        fresh = self._learn([w for w in words if w not in self.known])
+        ids = ChainMap(fresh, self.known) if any(len(w) > LONGEST for w in fresh) else None
+        self.known.update((w, v) for w, v in fresh.items() if len(w) <= LONGEST)
+        get = self.known.__getitem__ if ids is None else ids.__getitem__
+        out = [b"".join(map(get, s)) for s in split]
+        if len(self.known) > KNOWN_WORDS:  # what this batch has is what others are likely to have
+            self.known = {w: v for w in islice(words, KNOWN_WORDS) if (v := self.known.get(w)) is not None}
+        return out
+
+    @staticmethod
+    def _split(text: str) -> list[str]:
+        """White-space separated words that the library encodes to the text's ids; fewer different ones than stand in the text."""
+        if MARK(text):
+            text = END(r" \1", text)
+        if "<|" not in text and text.isascii():  # no special token, whose letters must stay as they are
+            text = text.lower()
+        return WORDS(text) if NO_SPACE(text) else text.split()

@@ -37,7 +37,7 @@ def test_round_trip(bits, width, top, n):
 
 def test_words_equal_library():
     library, e, r = Tokenizer.from_file(PATH), WordEncoder(PATH), random.Random(5)
-    letters = ["\x01", "<|endoftext|>", "'ll", "\x1c", "​", "﻿", "é", "ﬁ", "İ", "͸", *SPACE, "\u0301", "Ɓ", "Ə", "Ⱥ", "Ʒ", *"ab'SDLL éÉÀ̈ßΣσ12.!<|>漢ªº²½ŉ"]
+    letters = ["\x01", "<|endoftext|>", "'ll", "\x1c", "​", "﻿", "é", "ﬁ", "İ", "͸", *SPACE, "\u0301", "Ɓ", "Ə", "Ⱥ", "Ʒ", ". ", ", ", ".\n", "., ", "'. ", "<|ENDOFTEXT|>", *"ab'SDLL éÉÀ̈ßΣσ12.!<|>漢ªº²½ŉ"]
     for _ in range(1500):
         x = "".join(r.choice(letters) for _ in range(r.randint(0, 40)))
         assert np.frombuffer(e.encode([x])[0], "<u2").tolist() == list(library.encode(x, add_special_tokens=False).ids), x
@@ -45,7 +45,7 @@ def test_words_equal_library():
 
 def test_every_character_equals_library():
     library, e = Tokenizer.from_file(PATH), WordEncoder(PATH)
-    texts = [x for c in map(chr, range(0x10000)) if not 0xD800 <= ord(c) < 0xE000 for x in (f"ab{c}cd", f"x {c} Y")]
+    texts = [x for c in map(chr, range(0x10000)) if not 0xD800 <= ord(c) < 0xE000 for x in (f"ab{c}cd", f"x {c} Y", f"a{c}. b{c}, ")]
     texts += [f"ab{chr(c)}cd" for c in range(0x10000, 0x20000)]
     want = [x.ids for x in library.encode_batch(texts, add_special_tokens=False)]
     wrong = [t for t, got, ids in zip(texts, e.encode(texts), want, strict=True) if np.frombuffer(got, "<u2").tolist() != ids]
