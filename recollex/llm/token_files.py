@@ -58,9 +58,9 @@ def write_token_files(docs: DataFrame, folder: str, path: str | None = None, end
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         e = word_encoder(path)
         for batch in batches:
-            ids = e.encode([v.as_py() or "" for v in batch.column("text")])
+            ids = e.encode_array(batch.column("text"))
             file = len(bounds) + 1 - _range_of(bounds, batch.column("doc_id"))
-            yield pa.RecordBatch.from_arrays([pa.array(file, pa.int32()), batch.column("doc_id"), batch.column("_tie"), pa.array(ids, pa.binary())], names=["file", "doc_id", "_tie", "ids"])
+            yield pa.RecordBatch.from_arrays([pa.array(file, pa.int32()), batch.column("doc_id"), batch.column("_tie"), ids], names=["file", "doc_id", "_tie", "ids"])
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         width, made = word_encoder(path).width, []

@@ -3,6 +3,7 @@ import random
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pyarrow.parquet as pq
 import pytest
 from tokenizers import Tokenizer
@@ -52,6 +53,24 @@ def test_every_character_equals_library():
     assert wrong == []
 
 
+def test_capitals_and_marks_equal_library():
+    """Capitals before and after every character, and every two ASCII characters beside a letter and a digit."""
+    library, e = Tokenizer.from_file(PATH), WordEncoder(PATH)
+    texts = [f"AB{chr(c)}CD W{chr(c)}" for c in range(0x20000) if not 0xD800 <= c < 0xE000]
+    texts += [f"ab{chr(a)}{chr(b)}c X1{chr(b)}{chr(a)} é{chr(a)}{chr(b)}" for a in range(128) for b in range(128)]
+    want = [x.ids for x in library.encode_batch(texts, add_special_tokens=False)]
+    wrong = [t for t, got, ids in zip(texts, e.encode(texts), want, strict=True) if np.frombuffer(got, "<u2").tolist() != ids]
+    assert wrong == []
+
+
+def test_array_with_nulls_and_slices():
+    library, e = Tokenizer.from_file(PATH), WordEncoder(PATH)
+    texts = [None, "", "  ", " A b\n", None, "<|endoftext|>x", "Ḧ H\u0331 y'all've", "tail  "]
+    for array in (pa.array(texts), pa.array(["before", *texts, "after"]).slice(1, len(texts)), pa.array([], pa.string()), pa.array([None, " "])):
+        got = e.encode_array(array).to_pylist()
+        assert [np.frombuffer(x, "<u2").tolist() for x in got] == [list(library.encode(t or "", add_special_tokens=False).ids) for t in array.to_pylist()]
+
+
 def test_documents_equal_library():
     library, e = Tokenizer.from_file(PATH), WordEncoder(PATH)
     texts = [t or "" for t in pq.read_table("/root/testdata/sf0.01/documents.parquet")["text"].to_pylist()]
