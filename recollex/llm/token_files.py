@@ -28,7 +28,7 @@ from recollex.llm._ordered import _range_of, _ranges
 from recollex.llm._planes import Reader, Writer
 from recollex.llm._words import WordEncoder
 from recollex.llm.bpe import default_path
-from recollex.session import new_path, small_batches, table, written
+from recollex.session import importable, new_path, settings, table, written
 
 END_ID = 2
 
@@ -134,7 +134,9 @@ def _rows(out: list[tuple], ids: bool) -> pa.RecordBatch:
 
 
 def op4_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    small_batches(spark, 2048)  # the more texts, the more of their words are the same
+    importable(spark)
     folder = new_path(spark, "tokens")
-    files = write_token_files(table(spark, sf_dir, "documents"), folder)
+    # the more texts a batch has, the more of their words are the same; its bytes are bounded, for these jobs alone
+    with settings(spark, spark__sql__execution__arrow__maxRecordsPerBatch="2048", spark__sql__execution__arrow__maxBytesPerBatch=str(16 << 20)):
+        files = write_token_files(table(spark, sf_dir, "documents"), folder)
     return read_token_files(spark, folder, files, ids=False)
