@@ -7,8 +7,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from recollex.functions.json import json_lines, unfenced
-from recollex.session import written
+from recollex.functions.json import indexed_lines, json_lines, unfenced
+from recollex.session import indexed, written
 from recollex.sources.corpus import merged, pending, prepare
 from recollex.sources.models import Model, generate
 
@@ -18,6 +18,13 @@ event_type, chain_id, chain_position and chain_relation; leave out what the text
 
 """
 
+PARSE = """Below are questions, one a line with its number.  Answer with one line for each, its number, a colon and a JSON object with
+those of the keys person_name, location_city, event_product, time_start and dynasty_era that the question tells.
+
+"""
+#: Questions of one prompt.
+ASKED = 15
+
 
 @dataclass
 class Salvaging:
@@ -63,6 +70,21 @@ def extract(files: DataFrame, done: DataFrame, facts: DataFrame, model: Model, p
     return merged(facts, new), ledger, outcomes(answered)
 
 
+def parse_queries(queries: DataFrame, model: Model, prompt: str = PARSE, size: int = ASKED) -> DataFrame:
+    """(query_text, parsed): the JSON object that a model gives for each of queries(ord, query_text), asked by ``size`` in a prompt.
+
+    Questions of prompts that fail, and those without an object in the answer, are absent; of equal questions the last
+    answer counts.  White space inside a question is one blank in its line; null texts are not asked about.
+    """
+    placed = indexed(queries.select("ord", "query_text").filter("query_text is not null"), ["ord", "query_text"], "_i")
+    line = F.regexp_replace("query_text", r"(?U)\s+", " ")
+    listed = placed.groupBy(F.floor(F.col("_i") / size).alias("_b")).agg(F.array_sort(F.collect_list(F.struct((F.col("_i") % size).alias("i"), "query_text", line.alias("line")))).alias("x"))  # ``size`` rows a group
+    asked = listed.select("_b", "x", F.concat(F.lit(prompt), F.array_join(F.transform("x", lambda q: F.concat(q["i"].cast("string"), F.lit(": "), q["line"])), "\n")).alias("prompt"))
+    answered = written(generate(asked, "prompt", Salvaging(model)).select("_b", "x", "answer"), "parsed")
+    each = answered.select("_b", "x", F.explode(indexed_lines(F.col("answer"), F.size("x"))).alias("o"))
+    return each.groupBy(F.get(F.col("x"), F.col("o.index"))["query_text"].alias("query_text")).agg(F.max_by("o.object", F.struct("_b", "o.index")).alias("parsed"))
+
+
 def type_counts(queries: DataFrame) -> DataFrame:
     """(query_type, n)."""
     return queries.groupBy("query_type").agg(F.count("*").alias("n"))
