@@ -5,7 +5,7 @@ import json
 import pytest
 
 from recollex.__main__ import main
-from recollex.operators import extract, prompts, search
+from recollex.operators import extract, prompts, search, seeds
 from recollex.sources import database, models
 
 
@@ -93,3 +93,25 @@ def test_extract_goes_on(spark, tmp_path, capsys):
     (folder / "b.md").write_text("another long enough text " * 100)
     assert main(["extract", str(folder), out, "--model", "one-fact"], spark) == 0 and "1 answers, 0 failed" in capsys.readouterr().out
     assert spark.read.json(f"{out}/facts-2").count() == 2
+
+
+SEED = "ord long, id string, person string, identity string, partner string, partner_identity string, relation string, city string, place string, landmark string, event_type string, action string, product string, quantity long, price long, ts string, days long, tags array<string>, cluster_id string, cluster_kind string, chain_id string, chain_pos int, chain_total int, asks array<string>"
+
+
+def test_seeds(spark):
+    def seed(i, **values):
+        row = {"ord": i, "id": f"S{i}", "person": "甲", "city": "乙城", "place": "馆", "action": "买", "product": "书", "event_type": "购物", "quantity": 2, "ts": "2020-01-01 00:00:00", "days": 800, "tags": ["推理测试", "困难", "因果"], "asks": []}
+        return tuple({**row, **values}.get(f.split()[0]) for f in SEED.split(", "))
+
+    rows = [seed(1, chain_id="H", chain_pos=2, chain_total=2, person="丙"), seed(2, chain_id="H", chain_pos=1, chain_total=2), seed(3, cluster_id="C", cluster_kind="地点"), seed(4, asks=["跨版本", "人物检索"], days=None, ts=None), seed(5, person=None, tags=None)]
+    df = spark.createDataFrame(rows, SEED)
+    mems = {r["memory_id"]: r for r in seeds.seed_memories(df).collect()}
+    assert (mems["S2"]["chain_prev"], mems["S2"]["chain_next"], mems["S1"]["chain_prev"]) == ("", "S1", "S2") and mems["S1"]["logic"]["type"] == "因果" and mems["S3"]["chain_prev"] is None
+    assert mems["S1"]["category"] == "推理测试测试集" and mems["S1"]["weight"] == 1.5 and mems["S1"]["versions"][0]["content"] == "丙在乙城馆买了书，数量2" and mems["S5"]["category"] is None
+    assert mems["S4"]["retrieval_keywords"] == ["甲", "乙城", "购物", "买", "书"] and mems["S3"]["retrieval_keywords"] is None and mems["S4"]["time"]["timestamp"] is None
+    got = sorted((r["query_text"], r["query_type"], r["expected_memory_ids"], r["expected_answer_text"]) for r in seeds.seed_questions(df).collect())
+    assert got == sorted([
+        ("因为甲在乙城买了书，后续导致了哪些事件？", "因果推理链", ["S2", "S1"], "甲在乙城买了书 → 丙在乙城买了书"), ("在乙城发生的事件有哪些", "聚类检索", ["S3"], "甲在乙城买了书"),
+        ("关于甲在乙城买了书的详情，多说点", "跨版本", ["S4"], "甲在乙城买了书，数量2"), ("甲做了什么", "人物检索", ["S4"], "甲在乙城买了书，数量2"),
+    ])
+    assert seeds.seed_memories(df.limit(0)).count() == seeds.seed_questions(df.limit(0)).count() == 0
