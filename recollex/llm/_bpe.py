@@ -175,6 +175,10 @@ class ByteBPE:
                 out.extend(self._tree(part))
         return out
 
+    def encode_plain(self, text: str) -> list[int]:
+        """Ids of a text in which the strings of special tokens are text like any other."""
+        return self._tree(text)
+
     def decode(self, ids: list[int]) -> str:
         """Bytes of all ids joined; what is no UTF-8 becomes replacement characters."""
         return b"".join(map(self.bytes_of.__getitem__, ids)).decode("utf-8", errors="replace")

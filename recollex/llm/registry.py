@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from recollex.llm.alignment import op12_alignment
 from recollex.llm.bpe import op3_bpe
 from recollex.llm.decontaminate import OP7_SQL, op7_decontamination
 from recollex.llm.filter_audit import OP13_SQL, op13_filter_audit
@@ -20,7 +21,7 @@ from recollex.llm.token_files import op4_token_files
 from recollex.llm.toxicity import op1_toxicity
 
 
-_ALL = (op1_toxicity, op2_sharding, op3_bpe, op4_token_files, op5_line_dedup, op6_fingerprints, op7_decontamination, op8_quality, op9_jaccard_join, op10_html, op11_packing, op13_filter_audit)
+_ALL = (op1_toxicity, op2_sharding, op3_bpe, op4_token_files, op5_line_dedup, op6_fingerprints, op7_decontamination, op8_quality, op9_jaccard_join, op10_html, op11_packing, op12_alignment, op13_filter_audit)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
