@@ -4,9 +4,9 @@ Units.  A is a byte-level BPE whose splitting pattern cuts before a space that f
 B has a space after another character.  So both tokenizers cut a text there, and what lies between two such places, a
 unit, has the same tokens, groups and links in every text.  Units repeat as words do: every different one is aligned once.
 
-Alignment is relational: token lists are exploded with their positions, a window adds up byte lengths, a full equi-join on unit and end
-finds the ends that both sides share, a running count of these is the group of every token, and the tokens of a unit and group
-are linked.
+Alignment is relational: token lists are exploded with their positions, a window adds up byte lengths, an equi-join on unit and end
+finds the ends that both sides share, a running count of these cuts is the group of every token, and a join on unit and group links
+the tokens of both sides.  All of it happens where a unit's rows are: they are shuffled once, as lists.
 
 Documents.  Texts are cut into units where they are read.  A block, which is one Arrow batch of documents, keeps its different units and, a
 document, the numbers of its units in order.  Only a block's units are joined to their alignments, so that a word has at most a row a block,
@@ -130,10 +130,15 @@ def align(encoded: DataFrame) -> DataFrame:
         so_far = W.partitionBy("u").orderBy("pos").rowsBetween(W.unboundedPreceding, W.currentRow)
         return rows.select("u", F.sum("t.size").over(so_far).alias("end"), F.col("t.id").alias(side))
 
-    both = tokens("a").join(tokens("b"), ["u", "end"], "full_outer")
+    ends = {s: tokens(s) for s in "ab"}
     before = W.partitionBy("u").orderBy("end").rowsBetween(W.unboundedPreceding, -1)
-    grouped = both.withColumn("g", F.coalesce(F.count_if(F.col("a").isNotNull() & F.col("b").isNotNull()).over(before), F.lit(0)))
-    lists = grouped.groupBy("u", "g").agg(*[F.array_sort(F.collect_list(F.when(F.col(s).isNotNull(), F.struct("end", F.col(s).alias("id"))))).getField("id").alias(s) for s in "ab"])
+
+    def groups(side: str, other: str) -> DataFrame:
+        shared = ends[other].select("u", "end", F.lit(1).alias("cut"))
+        numbered = ends[side].join(shared, ["u", "end"], "left").withColumn("g", F.count("cut").over(before))
+        return numbered.groupBy("u", "g").agg(F.array_sort(F.collect_list(F.struct("end", F.col(side).alias("id")))).getField("id").alias(side))
+
+    lists = groups("a", "b").join(groups("b", "a"), ["u", "g"])  # each group has tokens of both sides, as it ends at a shared end
     linked = lists.select(
         "u", "g", F.size("a").alias("n_a"), F.size("b").alias("n_b"), F.concat(F.concat_ws(",", F.col("a").cast("array<string>")), F.lit("|"), F.concat_ws(",", F.col("b").cast("array<string>"))).alias("text"),
         F.flatten(F.transform("a", lambda x: F.transform("b", lambda y: x.cast("long") * PAIR + y))).alias("pairs"),
@@ -216,7 +221,10 @@ def link_documents(docs: DataFrame, path_a: str | None = None, path_b: str | Non
         coded = written(docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(_coded, CODED), "coded")
     texts, units = coded.filter("codes is not null").select("block", "n", "doc_id", "codes"), coded.filter("unit is not null").select("block", "n", "unit")
     encoded = written(encode_units(units.select("unit").distinct(), path_a, path_b).withColumn("u", F.monotonically_increasing_id()), "units")
-    known = written(encoded.select("u", "unit", "whole").join(align(encoded), "u"), "aligned-units")
+    with settings(spark, spark__sql__requireAllClusterKeysForCoPartition="false"):  # a unit's rows are together: joins on more than u need no other shuffle
+        zeros = {c: F.coalesce(c, F.lit(0)) for c in ("n_a", "n_b", "n_groups", "n_links")} | {"groups": F.coalesce("groups", F.lit("")), "pairs": F.coalesce("pairs", F.array().cast("array<bigint>"))}
+        # a unit that is not whole may have no group
+        known = written(encoded.select("u", "unit", "whole").join(align(encoded), "u", "left").withColumns(zeros), "aligned-units")
     rows = written(_per_block(texts, units.join(known.drop("u"), "unit").drop("unit"), _together, MADE), "aligned")
     # a pair's A id has at most as many pairs as B has pieces
     counts = rows.filter("pair is not null").groupBy("pair").agg(F.sum("docs").alias("n")).withColumn("best", F.max("n").over(W.partitionBy(F.floor(F.col("pair") / PAIR))) == F.col("n"))

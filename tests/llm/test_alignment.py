@@ -85,7 +85,7 @@ def test_units_make_the_text():
 
 def test_awkward_rows_and_noise(spark, both):
     r = random.Random(4)
-    rows = [*AWKWARD, *[(1000 + i, noise(r)) for i in range(300)]]
+    rows = [*AWKWARD, (20, "▁"), (21, "a ▁ b"), (22, "▁▁ x"), *[(1000 + i, noise(r)) for i in range(300)]]
     got, pairs = link_documents(table(spark, rows, extra="lang n block unit"), block_rows=40)
     want, count = brute(rows, both)
     assert rows_of(got) == want
