@@ -9,6 +9,7 @@ from pyspark.sql import Window as W
 from recollex.functions.text import keywords
 from recollex.operators import evaluate as ev
 from recollex.operators import search as se
+from recollex.operators import vectors as ve
 from recollex.plans.catalogue import query
 from recollex.plans.roles import ASKED, RECORDS, asked, records
 from recollex.session import table
@@ -89,16 +90,33 @@ def bm25_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("probe").cast("long").alias("item_id"), F.col("rank").cast("long").alias("rank"), F.col("memory_id").cast("long").alias("doc_id"), F.round("score", 6).alias("score"))
 
 
-@query("""with v as (select vec_id, embedding::double[] as e from embeddings), m as (select vec_id, e, sqrt(list_sum(list_transform(e, lambda x: x * x))) as n from v),
+_COSINE = """with v as (select vec_id, embedding::double[] as e from embeddings), m as (select vec_id, e, sqrt(list_sum(list_transform(e, lambda x: x * x))) as n from v),
 s as (select q.vec_id as probe, m.vec_id, round(list_sum(list_transform(list_zip(m.e, q.e), lambda p: p[1] * p[2])) / (m.n * q.n), 9) as score from m, m q where q.vec_id % 50 = 0 and m.n > 0 and q.n > 0)
-select probe, row_number() over (partition by probe order by score desc, vec_id) as rank, vec_id, round(score, 6) as score from s qualify rank <= 10""")
-def cosine_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+select probe, row_number() over (partition by probe order by score desc, vec_id) as rank, vec_id, round(score, 6) as score from s qualify rank <= 10"""
+
+
+def _vectors(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """All vectors, and the stated query set: every fiftieth."""
     v = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("memory_id"), F.col("vec_id").alias("ord"), F.col("embedding").alias("vector"))
-    queries = v.filter("memory_id % 50 = 0").select(F.col("memory_id").alias("probe"), "vector")  # the stated query set, against every vector
-    found = se.cosine_search(v, queries, 10)
+    return v, v.filter("memory_id % 50 = 0").select(F.col("memory_id").alias("probe"), "vector")
+
+
+def _hits(found: DataFrame) -> DataFrame:
     return found.select("probe", F.col("rank").cast("long").alias("rank"), F.col("memory_id").alias("vec_id"), F.round("score", 6).alias("score"))
 
 
+@query(_COSINE)
+def cosine_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _hits(se.cosine_search(*_vectors(spark, sf_dir), 10))
+
+
+@query(_COSINE)
+def vector_index_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same through an inverted file, exactly."""
+    vectors, queries = _vectors(spark, sf_dir)
+    return _hits(ve.exact_search(ve.build(vectors), queries, 10))
+
+
 @query("""with a as (select source, doc_id, row_number() over (partition by source order by n_chars desc, doc_id) as r from documents), b as (select source, doc_id, row_number() over (partition by source order by doc_id) as r from documents),
 s as (select source, doc_id, round(sum(1.0 / (60 + r)), 9) as score from (select * from a union all select * from b) group by source, doc_id)
 select source, row_number() over (partition by source order by score desc, doc_id::varchar) as rank, doc_id, score from s qualify rank <= 5""")
