@@ -93,15 +93,21 @@ def storage(mems: DataFrame) -> DataFrame:
 
 
 def retrieval(queries: DataFrame, expected: DataFrame, ranked: DataFrame) -> DataFrame:
-    """ranked(ord, rank, memory_id): by type over the queries that expect something; overall precision counts all queries."""
-    wanted = expected.groupBy("ord").agg(F.count("*").alias("expected"))
-    correct = ranked.join(expected, ["ord", "memory_id"], "left_semi").groupBy("ord").agg(F.count("*").alias("correct"))
-    each = queries.select("ord", F.coalesce("query_type", F.lit("unknown")).alias("type")).join(wanted, "ord").join(correct, "ord", "left").fillna(0, ["correct"])
-    by = each.groupBy("type").agg(F.sum("correct").alias("c"), F.sum("expected").alias("e"), F.count("*").alias("n"))
-    metrics = {"precision": _share(F.col("c"), F.col("n") * K), "recall": _share(F.col("c"), F.col("e")), "count": F.col("n")}
-    total = each.agg(F.coalesce(F.sum("correct"), F.lit(0)).alias("c"), F.coalesce(F.sum("expected"), F.lit(0)).alias("e")).crossJoin(queries.agg(F.count("*").alias("n")))
-    overall = {"overall_precision": _share(F.col("c"), F.col("n") * K), "overall_recall": _share(F.col("c"), F.col("e"))}
-    return _rows(by, "retrieval", metrics, F.col("type")).union(_rows(total, "retrieval", overall))
+    """ranked(ord, rank, memory_id): by type over the queries that expect something; overall precision counts all queries.
+
+    One pass: each query is a row with what it expects and what of it was found, and grouping sets make the types and the whole of it.
+    """
+    hits = ranked.select("ord", "memory_id").distinct().withColumn("hit", F.lit(1))
+    wanted = expected.join(hits, ["ord", "memory_id"], "left").groupBy("ord").agg(F.count("*").alias("expected"), F.count("hit").alias("correct"))
+    each = queries.select("ord", F.coalesce("query_type", F.lit("unknown")).alias("type")).join(wanted, "ord", "left")
+    nothing = each.sparkSession.range(1).select(*[F.lit(None).cast(f.dataType).alias(f.name) for f in each.schema])
+    each = each.unionByName(nothing)  # counts nothing, but without queries there is a total too
+    sums = each.groupingSets([[F.col("type")], []], "type").agg(F.grouping_id().alias("whole"), F.count("ord").alias("all"), F.count("expected").alias("n"), F.coalesce(F.sum("correct"), F.lit(0)).alias("c"), F.coalesce(F.sum("expected"), F.lit(0)).alias("e"))
+    recall = _share(F.col("c"), F.col("e"))
+    values = {0: {"precision": _share(F.col("c"), F.col("n") * K), "recall": recall, "count": F.col("n")}, 1: {"overall_precision": _share(F.col("c"), F.col("all") * K), "overall_recall": recall}}
+    by, total = (F.array(*[F.struct(F.lit(m).alias("metric"), v.cast("double").alias("value")) for m, v in values[i].items()]) for i in (0, 1))
+    made = sums.filter("whole = 1 or n > 0").select(F.coalesce("type", F.lit("")).alias("key"), F.explode(F.when(F.col("whole") == 1, total).otherwise(by)).alias("x"))
+    return made.select(F.lit("retrieval").alias("dimension"), F.col("x.metric").alias("metric"), "key", F.col("x.value").alias("value"))
 
 
 def organization(mems: DataFrame, found: DataFrame) -> DataFrame:

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from recollex.session import new_path
+from recollex.sources.bucketed import BUCKETS, BucketedStore
 
 
 def files(spark: SparkSession, path: str, schema: StructType) -> DataFrame:
@@ -47,41 +48,16 @@ def sessions(stream: DataFrame, time: str, by: str, gap: str = "1 day", late: st
     return spark.read.schema(out.schema).parquet(f"{folder}/out")
 
 
-def _folder(spark: SparkSession, path: str) -> tuple:
-    """(filesystem, path) as Hadoop has them: the folder may be in any store that Spark writes."""
-    found = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return found.getFileSystem(spark._jsc.hadoopConfiguration()), found
+def upsert(stream: DataFrame, key: str, content: str, order: list[str], folder: str | None = None, buckets: int = BUCKETS) -> DataFrame:
+    """(key, content, first): the last content of each key and the place of its first, kept in a BucketedStore.
 
-
-def _stores(spark: SparkSession, folder: str) -> list[int]:
-    """The numbers of the stores that were written whole, ascending."""
-    store, path = _folder(spark, folder)
-    names = [x.getPath().getName() for x in store.listStatus(path)] if store.exists(path) else []
-    return sorted(int(n.removeprefix("store-")) for n in names if n.startswith("store-") and store.exists(_folder(spark, f"{folder}/{n}/_SUCCESS")[1]))
-
-
-def upsert(stream: DataFrame, key: str, content: str, order: list[str], folder: str | None = None) -> DataFrame:
-    """(key, content, first): the last content of each key and the place of its first.
-
-    Each batch writes the whole store anew under the batch's number, from the last one with a lower number, so a batch that
-    is repeated after a failure writes the same again.  The two last stores stay.  A run with nothing new returns the last.
+    A batch writes its own rows, and only buckets with a deep log are written anew, so its cost follows the batch, not the store.
+    A batch that is repeated after a failure writes the same again.  A run with nothing new returns what there is.
     """
     spark, folder = stream.sparkSession, folder or new_path(stream.sparkSession, "upsert")
-
-    def merge(batch: DataFrame, number: int) -> None:
-        seq = F.struct(*order)
-        fresh = batch.filter(F.col(key).isNotNull()).groupBy(key).agg(F.max_by(content, seq).alias("content"), F.max(seq).alias("last"), F.min(seq).alias("first"))
-        before = [n for n in _stores(batch.sparkSession, folder) if n < number]
-        if before:
-            old = batch.sparkSession.read.parquet(f"{folder}/store-{before[-1]}")
-            fresh = old.unionByName(fresh).groupBy(key).agg(F.max_by("content", "last").alias("content"), F.max("last").alias("last"), F.min("first").alias("first"))
-        fresh.write.mode("overwrite").parquet(f"{folder}/store-{number}")
-        for n in before[:-1]:
-            _folder(batch.sparkSession, f"{folder}/store-{n}")[0].delete(_folder(batch.sparkSession, f"{folder}/store-{n}")[1], True)
-
-    q = stream.writeStream.foreachBatch(merge).option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start()
+    rows = stream.select(F.col(key).alias("key"), F.col(content).alias("content"), F.struct(*order).alias("sequence"))
+    kinds = tuple(f.dataType.simpleString() for f in rows.schema)
+    merge = lambda batch, number: BucketedStore(batch.sparkSession, kinds, f"{folder}/store", buckets).upsert(batch, number)
+    q = rows.writeStream.foreachBatch(merge).option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start()
     q.awaitTermination()
-    done = _stores(spark, folder)
-    if not done:
-        merge(spark.createDataFrame([], stream.schema), 0)  # a stream without rows
-    return spark.read.parquet(f"{folder}/store-{done[-1] if done else 0}").drop("last")
+    return BucketedStore(spark, kinds, f"{folder}/store", buckets).read().select(F.col("key").alias(key), "content", "first")

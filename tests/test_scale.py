@@ -89,7 +89,9 @@ def test_upsert_runs_again(spark, tmp_path):
     assert held() == {"a": "2", "b": "1", "c": "1"} and held() == {"a": "2", "b": "1", "c": "1"}
     add([("c", "9", 5)])
     assert held() == {"a": "2", "b": "1", "c": "9"}
-    assert len([x for x in os.listdir(folder) if x.startswith("store-")]) <= 2
+    log = os.path.join(folder, "store", "log")
+    assert sorted(os.listdir(log)) == ["batch=0", "batch=1", "batch=2"]
+    assert len([x for x in os.listdir(os.path.join(log, "batch=2")) if x.startswith("bucket=")]) == 1  # one key, one bucket
 
 
 def test_links_that_leave_a_corpus(spark, tmp_path):
