@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
+from typing import TYPE_CHECKING
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -12,6 +13,9 @@ from recollex.session import indexed, written
 from recollex.sources.corpus import merged, pending, prepare
 from recollex.sources.models import Model, generate
 
+if TYPE_CHECKING:
+    from recollex.sources.answers import AnswerStore
+
 FACT = "content string, person string, location string, time string, dynasty string, event_type string, chain_id string, chain_position int, chain_relation string"
 PROMPT = """List the facts of the text below as a JSON array of objects with the keys content, person, location, time, dynasty,
 event_type, chain_id, chain_position and chain_relation; leave out what the text does not say.
@@ -56,21 +60,26 @@ def outcomes(answered: DataFrame, answer: str = "answer") -> DataFrame:
     return answered.agg(F.count(answer).alias("success"), F.count(F.when(F.col(answer).isNull(), 1)).alias("fail"))
 
 
-def extract(files: DataFrame, done: DataFrame, facts: DataFrame, model: Model, prompt: str = PROMPT) -> tuple[DataFrame, DataFrame, DataFrame]:
+def _answered(asked: DataFrame, model: Model, answers: AnswerStore | None, label: str) -> DataFrame:
+    """``asked`` with the column answer, from the store of answers if there is one; the model is asked once."""
+    return written(generate(asked, "prompt", Salvaging(model)).drop("prompt") if answers is None else answers.ask(asked, model).drop("prompt"), label)
+
+
+def extract(files: DataFrame, done: DataFrame, facts: DataFrame, model: Model, prompt: str = PROMPT, answers: AnswerStore | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(facts, done, outcomes) after the pending files(file, folder, name, text) were asked about.
 
     Too short files are not asked about and stay pending, as do those without an answer.  A fact's _source is folder/name.
-    The answers are written, so the model is asked once.
+    The answers are written, so the model is asked once; with a store of ``answers`` not again by later runs, and a lost run's are kept.
     """
     asked = prepare(pending(files, done)).select("file", F.concat_ws("/", "folder", "name").alias("_source"), F.concat(F.lit(prompt), "text").alias("prompt"))
-    answered = written(generate(asked, "prompt", Salvaging(model)).select("file", "_source", "answer"), "answers")
+    answered = _answered(asked, model, answers, "answers")
     each = answered.select("_source", F.explode(objects(F.col("answer"))).alias("x")).select(F.from_json("x", FACT).alias("f"), "_source")
     new = each.filter("f is not null").select("f.*", "_source")
     ledger = done.select("file").union(answered.filter("answer is not null").select("file")).distinct()
     return merged(facts, new), ledger, outcomes(answered)
 
 
-def parse_queries(queries: DataFrame, model: Model, prompt: str = PARSE, size: int = ASKED) -> DataFrame:
+def parse_queries(queries: DataFrame, model: Model, prompt: str = PARSE, size: int = ASKED, answers: AnswerStore | None = None) -> DataFrame:
     """(query_text, parsed): the JSON object that a model gives for each of queries(ord, query_text), asked by ``size`` in a prompt.
 
     Questions of prompts that fail, and those without an object in the answer, are absent; of equal questions the last
@@ -80,7 +89,7 @@ def parse_queries(queries: DataFrame, model: Model, prompt: str = PARSE, size: i
     line = F.regexp_replace("query_text", r"(?U)\s+", " ")
     listed = placed.groupBy(F.floor(F.col("_i") / size).alias("_b")).agg(F.array_sort(F.collect_list(F.struct((F.col("_i") % size).alias("i"), "query_text", line.alias("line")))).alias("x"))  # ``size`` rows a group
     asked = listed.select("_b", "x", F.concat(F.lit(prompt), F.array_join(F.transform("x", lambda q: F.concat(q["i"].cast("string"), F.lit(": "), q["line"])), "\n")).alias("prompt"))
-    answered = written(generate(asked, "prompt", Salvaging(model)).select("_b", "x", "answer"), "parsed")
+    answered = _answered(asked, model, answers, "parsed")
     each = answered.select("_b", "x", F.explode(indexed_lines(F.col("answer"), F.size("x"))).alias("o"))
     return each.groupBy(F.get(F.col("x"), F.col("o.index"))["query_text"].alias("query_text")).agg(F.max_by("o.object", F.struct("_b", "o.index")).alias("parsed"))
 

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from recollex.functions.text import GENERIC_CJK, GENERIC_LATIN
 from recollex.operators import mining as mi
 from recollex.operators import questions as qu
+from recollex.operators import statistics as st
 from recollex.operators.incremental import NearDuplicates
 from recollex.plans.catalogue import query
 from recollex.session import table, written
@@ -152,6 +153,44 @@ def stream_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("user_id", stamp("start"), stamp("finish"), "n")
 
 
+@query("""with w as (select unnest(range(date_trunc('day', ts) - interval 1 day, date_trunc('day', ts) + interval 1 day, interval 6 hour)) as start, ts, event_type, value from events),
+z as (select start, event_type, count(*) as n, sum(value) as total from w where start <= ts and ts < start + interval 1 day group by all), m as (select max(ts) - interval 10 minute as mark from events)
+select strftime(start, '%Y-%m-%d %H') as start, event_type, n, round(total, 4) as total from z, m where start + interval 1 day <= mark""")
+def stream_sliding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Days that begin every six hours."""
+    batch = table(spark, sf_dir, "events").select("ts", "event_type", "value")
+    out = flows.windows(flows.files(spark, f"{sf_dir}/events.parque[t]", batch.schema), "ts", "event_type", "value", slide="6 hours")
+    return out.select(F.date_format("start", "yyyy-MM-dd HH").alias("start"), "event_type", "n", F.round("total", 4).alias("total"))
+
+
+@query("select distinct user_id, event_type from events")
+def stream_distinct(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One batch, in which every key comes once."""
+    batch = table(spark, sf_dir, "events").select("ts", "user_id", "event_type")
+    return flows.without_repeats(flows.files(spark, f"{sf_dir}/events.parque[t]", batch.schema), "ts", ["user_id", "event_type"]).select("user_id", "event_type")
+
+
+@query("select p.event_id, v.event_id as view_id from events p join events v on p.user_id = v.user_id and v.ts <= p.ts and v.ts >= p.ts - interval 6 hour where p.event_type = 'purchase' and v.event_type = 'view'")
+def stream_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Purchases and the views of their users in the six hours before."""
+    batch = table(spark, sf_dir, "events").select("event_id", "ts", "user_id", "event_type")
+    of = lambda kind: flows.files(spark, f"{sf_dir}/events.parque[t]", batch.schema).filter(F.col("event_type") == kind).drop("event_type")
+    return flows.joined(of("purchase"), of("view"), "user_id", "ts", "6 hours").select("event_id", F.col("other_event_id").alias("view_id"))
+
+
+@query("""with e as (select floor((epoch(ts)::bigint - epoch(timestamp '2024-01-01')::bigint) / 864000)::int as span, * from events) select span, count(*) as n, true as users_close, true as median_close from e group by span""")
+def statistics_by_range(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sketches kept by day, merged for spans of ten days, against exact counts: users within 5 %, the median's rank within 2 %."""
+    events = table(spark, sf_dir, "events")
+    kept = written(st.parts(events, F.to_date("ts"), ["user_id"], ["value"]), "daily", few=True)
+    span = lambda day: F.floor(F.datediff(day, F.lit("2024-01-01")) / 10).cast("int").alias("span")
+    told = st.merged(kept.withColumn("span", span(F.col("part"))), (0.5,), ["span"])
+    each = events.select(span(F.to_date("ts")), "user_id", "value").join(F.broadcast(told.select("span", F.get("quantiles_value", F.lit(0)).alias("median"))), "span")  # a row a span
+    exact = each.groupBy("span").agg(F.countDistinct("user_id").alias("users"), F.count("value").alias("m"), F.count_if(F.col("value") <= F.col("median")).alias("below"), F.count_if(F.col("value") < F.col("median")).alias("under"))
+    both = told.join(exact, "span")
+    return both.select("span", "n", (F.abs(F.col("distinct_user_id") - F.col("users")) <= 0.05 * F.col("users")).alias("users_close"), ((F.col("below") >= 0.48 * F.col("m")) & (F.col("under") <= 0.52 * F.col("m"))).alias("median_close"))
+
+
 @query("select user_id, arg_max(event_type, (ts, event_id)) as content from events group by user_id")
 def stream_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
     batch = table(spark, sf_dir, "events").select("user_id", "event_type", "ts", "event_id")

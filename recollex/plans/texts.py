@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import re
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -15,8 +16,9 @@ from recollex.operators import extract as ex
 from recollex.plans.catalogue import query
 from recollex.plans.roles import ASKED, asked
 from recollex.session import table
-from recollex.sources.models import Mock
 from recollex.sources import corpus
+from recollex.sources.answers import AnswerStore
+from recollex.sources.models import Mock
 
 _DAYS = "date_diff('day', ts::date, date '2024-02-01')"
 _STEPS = " ".join(f"when days >= {d} then '{w}'" for d, w in ti.FUZZY)
@@ -109,18 +111,43 @@ def corpus_prepare(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus.prepare(files).select("page_id", F.length("text").cast("long").alias("n"), F.md5("text").alias("digest"))
 
 
-_FACTS = [{"content": "first", "person": "Ann"}, {"content": "second", "time": "2024", "chain_position": 2}]
+class Reader:
+    """A model that answers from what it is shown: the title of the page and its first words, as a fenced list before prose."""
+
+    def batch(self, prompts: list[str]) -> list[str]:
+        return ["```json\n" + json.dumps(self._facts(p[len(ex.PROMPT) :])) + "\n```\nThat is all." for p in prompts]
+
+    @staticmethod
+    def _facts(page: str) -> list[dict]:
+        title = re.search(r"<title>([^<]*)", page)
+        facts = [{"content": page[:40], "chain_position": len(page)}]
+        return facts if title is None else [{"content": title[1], "person": title[1][:12]}, *facts]
+
+
+_READ = """p as (select page_id, url, regexp_replace(regexp_replace(html, '^---[\\s\\S]*?---', ''), '^\\s+|\\s+$', '', 'g') as h from pages), asked as (select page_id, left(h, 3000) as h from p where length(h) >= 500),
+told as (select page_id, regexp_extract(h, '<title>([^<]*)', 1) as content, left(regexp_extract(h, '<title>([^<]*)', 1), 12) as person, null::int as chain_position from asked where contains(h, '<title>')
+  union all select page_id, left(h, 40), null, length(h)::int from asked)"""
+
+
+def _pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "pages").select(F.col("page_id").cast("string").alias("file"), F.lit("pages").alias("folder"), F.col("page_id").cast("string").alias("name"), F.col("html").alias("text"))
 
 
-@query("""with p as (select page_id, url, regexp_replace(html, '^---[\\s\\S]*?---', '') as h from pages), asked as (select * from p where length(regexp_replace(h, '^\\s+|\\s+$', '', 'g')) >= 500),
-f as (select * from (values ('first', 'Ann', null, null), ('second', null, '2024', 2)) as t(content, person, time, chain_position))
-select 'pages/' || page_id as source, content, person, time, chain_position from asked, f""")
+@query(f"with {_READ} select 'pages/' || page_id as source, content, person, chain_position from told")
 def corpus_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Pages as files, and a model that tells two facts of each."""
-    files = table(spark, sf_dir, "pages").select(F.col("page_id").cast("string").alias("file"), F.lit("pages").alias("folder"), F.col("page_id").cast("string").alias("name"), F.col("html").alias("text"))
-    none = spark.createDataFrame([], f"{ex.FACT}, _source string")
-    facts, _, _ = ex.extract(files, files.select("file").limit(0), none, Mock("```json\n" + json.dumps(_FACTS) + "\n```"))
-    return facts.select(F.col("_source").alias("source"), "content", "person", "time", "chain_position")
+    """Pages as files, and a model that tells what stands in each."""
+    files, none = _pages(spark, sf_dir), spark.createDataFrame([], f"{ex.FACT}, _source string")
+    facts, _, _ = ex.extract(files, files.select("file").limit(0), none, Reader())
+    return facts.select(F.col("_source").alias("source"), "content", "person", "chain_position")
+
+
+@query(f"with {_READ} select 'pages/' || page_id as source, content, person, chain_position from told")
+def answers_reused(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same by a store of answers that a first run has filled; the second has a model that knows nothing."""
+    files, none, answers = _pages(spark, sf_dir), spark.createDataFrame([], f"{ex.FACT}, _source string"), AnswerStore(spark, "reader")
+    for model in (Reader(), Mock("")):
+        facts, _, _ = ex.extract(files, files.select("file").limit(0), none, model, answers=answers)
+    return facts.select(F.col("_source").alias("source"), "content", "person", "chain_position")
 
 
 @query(f"with {ASKED} select query_type, count(*) as n from asked group by query_type")
