@@ -67,7 +67,7 @@ def marked(docs: DataFrame, facts: dict[str, Column] | None = None, digest: Call
     few = classes.limit(BROADCAST_CLASSES + 1).count() <= BROADCAST_CLASSES
     texts = docs.select(F.col("doc_id"), body.alias("_text"), *[c.alias(k) for k, c in keys.items()]).join(F.broadcast(classes) if few else classes, list(keys), "left_semi")
     firsts = written(texts.groupBy(*keys, "_text").agg(F.min("doc_id").alias("_first")).withColumn("_n", F.lit(1)), "audit-firsts", few=True)
-    by_class = firsts.groupBy(*keys).agg(F.min("_first").alias("_first"), F.sum("_n").alias("_n"))
+    by_class = written(firsts.groupBy(*keys).agg(F.min("_first").alias("_first"), F.sum("_n").alias("_n")), "audit-by-class", few=True)
     clashes = by_class.filter("_n > 1").select(*keys)
     told = rows.join(by_class, list(keys), "left")
     out = told.filter("coalesce(_n, 1) = 1").select("doc_id", *facts, F.coalesce(F.col("doc_id") > F.col("_first"), F.lit(False)).alias("duplicate"))
