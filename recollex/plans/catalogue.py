@@ -22,6 +22,6 @@ def query(sql: str | None = None) -> Callable[[Query], Query]:
 
 
 def load() -> tuple[dict[str, Query], dict[str, str]]:
-    from recollex.plans import mining, prompts, retrieval, seeds, structure, texts, timelines  # noqa: F401  (they fill the tables)
+    from recollex.plans import mining, prompts, retrieval, seeds, statements, structure, texts, timelines  # noqa: F401  (they fill the tables)
 
     return QUERIES, ORACLES
