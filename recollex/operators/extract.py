@@ -8,7 +8,7 @@ from typing import TYPE_CHECKING
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from recollex.functions.json import indexed_lines, json_lines, unfenced
+from recollex.functions.json import bounded, indexed_lines, json_lines, unfenced
 from recollex.session import indexed, written
 from recollex.sources.corpus import merged, pending, prepare
 from recollex.sources.models import Model, generate
@@ -50,7 +50,8 @@ class Salvaging:
 
 
 def objects(answer: Column) -> Column:
-    """The JSON objects of an answer: of its array, else one a line; none of a null answer."""
+    """The JSON objects of an answer: of its array, else one a line; none of a null answer or one that is too long to be one."""
+    answer = bounded(answer)
     listed = F.from_json(unfenced(answer), "array<string>")
     return F.filter(F.coalesce(listed, json_lines(answer)), lambda x: F.startswith(x, F.lit("{")))
 

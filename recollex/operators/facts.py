@@ -6,7 +6,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from recollex.operators.chains import UNKNOWN, build_chains
-from recollex.operators.mining import exact_dedup  # noqa: F401  (facts are deduplicated as records)
 
 FIRST_ID = 10000
 KNOWN = "ord content person location time dynasty event_type chain_id chain_position chain_relation _source".split()

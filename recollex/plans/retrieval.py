@@ -11,7 +11,7 @@ from recollex.operators import evaluate as ev
 from recollex.operators import search as se
 from recollex.operators import vectors as ve
 from recollex.plans.catalogue import query
-from recollex.plans.roles import ASKED, RECORDS, asked, records
+from recollex.plans.roles import ASKED, RECORDS, RICH, asked, records, rich
 from recollex.session import table
 from recollex.sources import database as db
 from recollex.sources.models import relevance_prompts
@@ -177,10 +177,10 @@ def retrieval_by_type(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ev.retrieval(questions, ev.expected_ids(questions, stored), ranked).select("metric", "key", "value")
 
 
-@query(f"with {RECORDS} select memory_id, category, absolute as time_absolute, role as event_type, cluster_id, reasoning_chain, chain_position::bigint as chain_position, decay_level, '' as person_name, '' as event_product from records")
+@query(f"""with {RICH} select memory_id, category, difficulty, coalesce(weight, 1.0)::double as weight, absolute as time_absolute, relative as time_relative, city as location_city, place as location_place, coalesce(person, '') as person_name, role as person_identity,
+role as event_type, action as event_action, coalesce(product, '') as event_product, array_to_string(tags, '|') as tags, cluster_id, reasoning_chain, chain_position::bigint as chain_position, decay_level from records""")
 def flat_meta(spark: SparkSession, sf_dir: str) -> DataFrame:
-    flat = db.flat_meta(records(spark, sf_dir))
-    return flat.select("memory_id", "category", "time_absolute", "event_type", "cluster_id", "reasoning_chain", F.col("chain_position").cast("long").alias("chain_position"), "decay_level", "person_name", "event_product")
+    return db.flat_meta(rich(spark, sf_dir)).withColumns({"tags": F.array_join("tags", "|"), "chain_position": F.col("chain_position").cast("long")})
 
 
 def _orders(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -45,6 +45,21 @@ records as (
 )"""
 
 
+def rich(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The records with every field filled: words of the text are names and things, every third conversation has two versions, every fourth chain has gaps."""
+    c, t = F.floor(F.col("ord") / 1000), F.col("ord") % 1000
+    word = lambda i: F.get(F.regexp_extract_all("content", F.lit("([A-Za-z]+)"), 1), F.lit(i))
+    version = lambda i, style, text: F.struct(F.lit(i).alias("version_id"), F.lit(style).alias("style"), text.alias("content"))
+    role = F.col("event.type")
+    return records(spark, sf_dir).withColumns({
+        "weight": F.when(t != 3, t / 4.0), "time": F.col("time").withField("relative", F.concat(t.cast("string"), F.lit("天前"))),
+        "location": F.struct(F.coalesce(word(1), F.lit("")).alias("city"), F.coalesce(word(2), F.lit("")).alias("place")), "person": F.struct(F.when(t % 2 == 0, "甲").otherwise(word(0)).alias("name"), role.alias("identity")),
+        "event": F.struct(role.alias("type"), F.when(c % 7 == 2, "然后").otherwise(F.coalesce(word(4), F.lit("做"))).alias("action"), word(3).alias("product")),
+        "versions": F.when(c % 3 == 0, F.array(version("v1", "标准", F.col("content")), version("v2", "口语", F.substring("content", 1, 25)))), "tags": F.when(t != 1, F.array(role, F.concat(F.lit("x"), (c % 3).cast("string")))),
+        "chain_position": F.when(c % 4 == 1, 2 * t + 1).otherwise(t + 1).cast("int"),
+    })
+
+
 def asked(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = F.col("conv_id")
     turns = table(spark, sf_dir, "conversations")
@@ -64,3 +79,14 @@ asked as (
     case when conv_id % 10 = 3 then nullif(regexp_extract(arg_min(text, turn), '[A-Z][a-z]+'), '') end as target
   from conversations group by conv_id
 )"""
+
+
+#: The CTE records with all fields, as ``rich`` has them.
+RICH = RECORDS.replace("records as (", "plain as (").rstrip() + """,
+words as (select *, regexp_extract_all(content, '[A-Za-z]+') as w from plain),
+records as (
+  select * exclude (w, chain_position), ['简单', '中等', '困难'][turn % 3 + 1] as difficulty, case when turn <> 3 then turn / 4 end as weight, turn || '天前' as relative, coalesce(w[2], '') as city, coalesce(w[3], '') as place,
+    case when turn % 2 = 0 then '甲' else w[1] end as person, case when conv_id % 7 = 2 then '然后' else coalesce(w[5], '做') end as action, w[4] as product,
+    case when conv_id % 3 = 0 then [content, left(content, 25)] else [] end as versions, case when turn <> 1 then [role, 'x' || conv_id % 3] else [] end as tags, case when conv_id % 4 = 1 then 2 * turn + 1 else turn + 1 end as chain_position
+  from words
+)"""

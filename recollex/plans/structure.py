@@ -12,7 +12,7 @@ from recollex.operators import facts as fa
 from recollex.operators import quality as qc
 from recollex.operators import questions as qu
 from recollex.plans.catalogue import query
-from recollex.plans.roles import ASKED, RECORDS, asked, records
+from recollex.plans.roles import ASKED, RECORDS, RICH, asked, records, rich
 from recollex.session import table
 
 
@@ -153,7 +153,7 @@ def dimension_quota(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _CHECKS = f"""
-{RECORDS}, {ASKED},
+{RICH}, {ASKED}, told as (select unnest(versions) as v from records),
 dang as (select unnest(ids) as id from asked), m as (select count(*) filter (is_negative) as neg, count(*) filter (is_negative and len(ids) > 0) as bn, count(*) filter (not is_negative and len(ids) = 0) as bp, count(*) as n from asked),
 cat as (select category, count(*) as n from records group by category), c as (select count(*) as kinds, min(n) as low, max(n) as high from cat),
 chain as (select reasoning_chain, count(*) as n, min(chain_position) = 1 and max(chain_position) = count(*) and count(distinct chain_position) = count(*) as ok from records group by all), clu as (select cluster_id, count(*) as n from records group by all)
@@ -165,13 +165,14 @@ union all select 'negative_share', case when neg / n between 0.15 and 0.25 then
 union all select 'categories', case when kinds < 6 then 'WARN' else 'PASS' end, '', kinds, kinds::double from c union all select 'category_balance', case when low > 0 and high > 2 * low then 'WARN' else 'PASS' end, '', high, high / low from c
 union all select 'chains', case when count(*) = 0 then 'WARN' else 'PASS' end, '', count(*), count(*)::double from chain union all select 'chain_positions', 'WARN', reasoning_chain, n, n::double from chain where not ok
 union all select 'clusters', case when count(*) = 0 then 'WARN' else 'PASS' end, '', count(*), count(*)::double from clu union all select 'cluster_size', 'WARN', cluster_id, n, n::double from clu where n < 3
-union all select unnest(['cities', 'names', 'products']), 'WARN', '', unnest([1, 0, 0])::bigint, unnest([1.0, 0.0, 0.0])::double
+union all select 'version_length', case when avg(length(v)) between 20 and 120 then 'PASS' else 'WARN' end, '', count(*), avg(length(v)) from told having count(*) > 0
+union all select k, case when n < 10 then 'WARN' else 'PASS' end, '', n, n::double from (select unnest(['cities', 'names', 'products']) as k, unnest([count(distinct city), count(distinct person), count(distinct product)]) as n from records)
 union all select 'query_texts', case when count(*) > count(distinct query_text) then 'WARN' else 'PASS' end, '', count(*) - count(distinct query_text), (count(*) - count(distinct query_text))::double from asked"""
 
 
 @query(f"with {_CHECKS}")
 def quality_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return qc.check(records(spark, sf_dir), asked(spark, sf_dir))
+    return qc.check(rich(spark, sf_dir), asked(spark, sf_dir))
 
 
 def _flawed(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -184,11 +185,12 @@ def _flawed(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _FLAWED = f"""
-{RECORDS}, {ASKED},
+{RICH}, {ASKED},
 fq as (select query_id, ord as c, is_negative, {[*qc.CHAIN_TYPES, "聚类检索", "人物检索", "地点检索", "跨版本"]}[ord % 9 + 1] as t,
   case ord % 7 when 0 then '在火星随后了 location ' when 1 then '甲做了什么 ' when 2 then '在乙发生过 后续事件 ' when 3 then '从丙出发 ' else '' end || case when ord % 11 = 0 then '同一个' else query_text end as x,
   case when ord % 10 = 0 then ['c0-1'] when ord % 4 = 0 then ids[1:1] when ord % 4 = 1 then list_append(ids, 'c0-0') else ids end as ids from asked),
-ex as (select query_id, t, unnest(ids) as id from fq), el as (select query_id, t, reasoning_chain as chain, cluster_id as cluster from ex join records on id = memory_id),
+ex as (select query_id, t, x, unnest(ids) as id, generate_subscripts(ids, 1) as p from fq), el as (select query_id, t, x, p, reasoning_chain as chain, cluster_id as cluster, action, person, person || '在' || city || action || '了' || product as told from ex join records on id = memory_id),
+verbs as (select query_id, arg_min(action, p) as action from el where t like '%推理链' group by query_id), steps as (select reasoning_chain, chain_position - lag(chain_position) over (partition by reasoning_chain order by chain_position) as step from records where chain_relation = '时序'),
 is_chain as (select query_id from fq where t like '%推理链'),
 issues as (
   select 'repeated_text' as rule, '🔴' as status, x as subject, count(*)::varchar as detail from fq group by x having count(*) > 1
@@ -196,6 +198,10 @@ issues as (
   union all select 'chain_too_short', '🔴', query_id, len(ids)::varchar from fq where t like '%推理链' and len(ids) < 2
   union all select 'several_chains', '🔴', query_id, count(distinct chain)::varchar from el where t like '%推理链' and query_id in (select query_id from fq where len(ids) >= 2) group by query_id having count(distinct chain) > 1
   union all select 'chain_start', '🟡', query_id, x from fq where t like '%推理链' and regexp_matches(x, '后续事件|导致了哪些事件') and not regexp_matches(x, '在\\S+了\\S+')
+  union all select 'chain_first_verb', '🔴', query_id, action from verbs where action in ('之后', '然后', '接着', '随后')
+  union all select 'chain_gap', '🟡', reasoning_chain, count(*)::varchar from steps where step > 1 group by reasoning_chain
+  union all select 'answer_member', '🟡', query_id, person from el where t like '%推理链' and not contains('甲', person)
+  union all select 'premise', '🟡', query_id, w from (select *, trim(regexp_extract(x, '从(.+?)出发', 1)) as w from el where t = '推导推理链' and p = 1) where w <> '' and w <> told
   union all select 'cluster_too_small', '🟡', query_id, len(ids)::varchar from fq where t = '聚类检索' and len(ids) < 2
   union all select 'several_clusters', '🔴', query_id, count(distinct cluster)::varchar from el where t = '聚类检索' and query_id in (select query_id from fq where len(ids) >= 2) group by query_id having count(distinct cluster) > 1
   union all select 'answer_person', '🟡', query_id, p from (select *, regexp_extract(x, '^(.+?)做了什么', 1) as p from fq) where t = '人物检索' and p <> '' and not contains('甲', p)
@@ -210,9 +216,9 @@ issues as (
 
 @query(f"with {_FLAWED} select rule, status, subject, detail from issues")
 def quality_issues(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return qc.detailed(records(spark, sf_dir).withColumn("chain_relation", F.lit("关联")), _flawed(spark, sf_dir))
+    return qc.detailed(rich(spark, sf_dir), _flawed(spark, sf_dir))
 
 
 @query(f"with {_FLAWED} select status, count(*) as n from issues group by status")
 def issue_severity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return qc.severity(qc.detailed(records(spark, sf_dir).withColumn("chain_relation", F.lit("关联")), _flawed(spark, sf_dir)))
+    return qc.severity(qc.detailed(rich(spark, sf_dir), _flawed(spark, sf_dir)))

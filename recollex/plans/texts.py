@@ -176,3 +176,25 @@ def place_suffix(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("select o_orderkey, o_orderstatus || ' of ' || o_custkey || ' at {place}' as text from orders")
 def template_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "orders").select("o_orderkey", tx.fill("{state} of {who} at {place}", state=F.col("o_orderstatus"), who=F.col("o_custkey")).alias("text"))
+
+
+_HEAD = "'张伟在' || role || '和李 b 北京大学历史系的档案馆里，见到 of ' || text"
+_HAN = "[一-鿿]"
+
+
+@query(f"""with c as (select conv_id, turn, {_HEAD} as t from conversations),
+k as (select *, list_distinct(flatten(list_transform(string_split_regex(translate(t, '，？。', '   '), '\\s+'), lambda x: case when regexp_matches(x, '{_HAN}') then regexp_extract_all(x, '{_HAN}') when length(x) >= 2 then [x] else [] end))) as k,
+  list_concat(regexp_extract_all(t, '{_HAN}{{2,6}}'), regexp_extract_all(t, '[A-Z][a-z]+(?:\\s+[A-Z][a-z]+)*')) as e,
+  list_concat(list_filter(list_distinct(regexp_extract_all(lower(t), '[a-z]{{4,}}')), lambda w: not list_contains([{", ".join(f"'{w}'" for w in tx.GENERIC_LATIN)}], w)), list_filter(list_distinct(regexp_extract_all(t, '{_HAN}{{2,6}}')), lambda w: not list_contains([{", ".join(f"'{w}'" for w in tx.GENERIC_CJK)}], w))) as w from c)
+select conv_id, turn, array_to_string(list_sort(k), '|') as keywords, array_to_string(e, '|') as entities, array_to_string(list_sort(w), '|') as words from k""")
+def mixed_scripts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Turns with a head of Chinese text: keywords, names and words that both scripts give."""
+    head = F.concat(F.lit("张伟在"), "role", F.lit("和李 b 北京大学历史系的档案馆里，见到 of "), "text")
+    sorted_ = lambda c: F.array_join(F.array_sort(c), "|")
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", head.alias("t"))
+    return turns.select("conv_id", "turn", sorted_(tx.keywords(F.col("t"))).alias("keywords"), F.array_join(tx.entities(F.col("t")), "|").alias("entities"), sorted_(tx.content_words(F.col("t"))).alias("words"))
+
+
+@query("select doc_id from documents where regexp_matches(text, '[，,]')")
+def compound_times(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fa.compound_times(table(spark, sf_dir, "documents").select("doc_id", F.col("text").alias("time"))).select("doc_id")
