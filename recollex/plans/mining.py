@@ -81,31 +81,32 @@ def sample_by_group(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mi.sample(table(spark, sf_dir, "documents"), "doc_id", 3, 7, ["source"]).select("doc_id", "source")
 
 
-_DEDUP = f"""with recursive d as (select doc_id, source, lang, text, length(text) as n, row_number() over (partition by lower(regexp_replace(text, '^\\s+|\\s+$', '', 'g')) order by doc_id) as r from documents),
+_DEDUP = f"""with recursive d as (select doc_id, left(md5(doc_id::varchar), 1) as person, source, lang, text, length(text) as n, row_number() over (partition by lower(regexp_replace(text, '^\\s+|\\s+$', '', 'g')) order by doc_id) as r from documents),
 one as (select * from d where r = 1),
-sets as (select doc_id, source, lang, list_filter(list_distinct(regexp_extract_all(lower(text), '[a-z]{{4,}}')), lambda w: not list_contains({_GENERIC}, w)) as w from one),
-pairs as (select a, b from (select x.doc_id as a, y.doc_id as b, len(list_intersect(x.w, y.w)) as c, len(x.w) as na, len(y.w) as nb from sets x join sets y on x.lang = y.lang and x.source is distinct from y.source and x.doc_id < y.doc_id where len(x.w) > 0 and len(y.w) > 0) where c / (na + nb - c) > 0.6),
+sets as (select doc_id, person, source, lang, list_filter(list_distinct(regexp_extract_all(lower(text), '[a-z]{{4,}}')), lambda w: not list_contains({_GENERIC}, w)) as w from one),
+pairs as (select a, b from (select x.doc_id as a, y.doc_id as b, len(list_intersect(x.w, y.w)) as c, len(x.w) as na, len(y.w) as nb from sets x join sets y on x.lang = y.lang and x.source = y.source and x.person <> y.person and x.doc_id < y.doc_id where len(x.w) > 0 and len(y.w) > 0) where c / (na + nb - c) > 0.6),
 edges as (select a as x, b as y from pairs union all select b, a from pairs), reach(x, y) as (select x, x from edges union select r.x, e.y from reach r join edges e on r.y = e.x), comp as (select x as doc_id, min(y) as c from reach group by x),
-two as (select * from (select o.doc_id, o.source, o.lang, row_number() over (partition by coalesce(c, o.doc_id) order by o.n desc, o.doc_id) as best from one o left join comp using (doc_id)) where best = 1),
-people as (select source, count(*) as n from two group by source), places as (select n, row_number() over (order by n) - 1 as i, count(*) over () as m from people), mark as (select n as threshold from places where i = floor(m * 0.8::double)),
-inside as (select doc_id, source, lang, row_number() over s as k, count(*) over (partition by source, lang) as size, min(doc_id) over (partition by source, lang) as first from two window s as (partition by source, lang order by doc_id)),
-turns as (select *, row_number() over (partition by source order by k > 1, case when k = 1 then size end nulls first, case when k = 1 then first end nulls first, md5('42:' || doc_id), doc_id) as turn from inside),
-three as (select doc_id, source from turns join people using (source), mark where turn <= case when n >= threshold then 60 else 30 end)"""
+two as (select * from (select o.doc_id, o.person, o.source, o.lang, row_number() over (partition by coalesce(c, o.doc_id) order by o.n desc, o.doc_id) as best from one o left join comp using (doc_id)) where best = 1),
+people as (select person, count(*) as n from two group by person), places as (select n, row_number() over (order by n) - 1 as i, count(*) over () as m from people), mark as (select n as threshold from places where i = floor(m * 0.8::double)),
+inside as (select doc_id, person, row_number() over s as k, count(*) over (partition by person, lang, source) as size, min(doc_id) over (partition by person, lang, source) as first from two window s as (partition by person, lang, source order by doc_id)),
+turns as (select *, row_number() over (partition by person order by k > 1, case when k = 1 then size end nulls first, case when k = 1 then first end nulls first, md5('42:' || doc_id), doc_id) as turn from inside),
+three as (select doc_id, person from turns join people using (person), mark where turn <= case when n >= threshold then 60 else 30 end)"""
 
 
-def _records_of_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents as records of their source, one block for each language."""
-    return table(spark, sf_dir, "documents").select(F.col("doc_id").alias("ord"), F.col("text").alias("content"), F.col("source").alias("person"), F.col("lang").alias("event_type"), F.lit("").alias("book"))
+def _records_of_persons(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as records of sixteen persons, one block for each source and language."""
+    person = F.substring(F.md5(F.col("doc_id").cast("string")), 1, 1)
+    return table(spark, sf_dir, "documents").select(F.col("doc_id").alias("ord"), F.col("text").alias("content"), person.alias("person"), F.col("lang").alias("event_type"), F.col("source").alias("book"))
 
 
 @query(f"{_DEDUP} select (select count(*) from documents) as original, (select count(*) from d where r > 1) as exact_dup, (select count(*) from one) - (select count(*) from two) as cross_person_dup, (select count(*) from two) - (select count(*) from three) as person_capped, (select count(*) from three) as final")
 def dedup_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mi.deduplicate(_records_of_sources(spark, sf_dir))[1]
+    return mi.deduplicate(_records_of_persons(spark, sf_dir))[1]
 
 
-@query(f"{_DEDUP} select doc_id, source from three")
+@query(f"{_DEDUP} select doc_id, person from three")
 def dedup_records(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mi.deduplicate(_records_of_sources(spark, sf_dir))[0].select(F.col("ord").alias("doc_id"), F.col("person").alias("source"))
+    return mi.deduplicate(_records_of_persons(spark, sf_dir))[0].select(F.col("ord").alias("doc_id"), "person")
 
 
 @query(_COMPONENTS)

@@ -8,6 +8,7 @@ from pyspark.sql import Window as W
 
 from recollex.functions.text import keywords
 from recollex.operators import evaluate as ev
+from recollex.operators import ranked as ra
 from recollex.operators import search as se
 from recollex.operators import vectors as ve
 from recollex.plans.catalogue import query
@@ -71,23 +72,40 @@ q as (select item_id, t as term, count(*) as tf from (select item_id, unnest({_T
 n as (select count(*) as n from documents)"""
 
 
-@query(f"""with {_STATS}, idf as (select term, ln((1.0 + any_value(n)) / (1.0 + count(*))) + 1 as idf from d, n group by term),
+_TFIDF = f"""with {_STATS}, idf as (select term, ln((1.0 + any_value(n)) / (1.0 + count(*))) + 1 as idf from d, n group by term),
 w as (select doc_id, term, tf * idf as w from d join idf using (term)), norm as (select doc_id, sqrt(sum(w * w)) as norm from w group by doc_id),
 qw as (select item_id, term, tf * idf as w from q join idf using (term)), qn as (select item_id, sqrt(sum(w * w)) as norm from qw group by item_id),
 s as (select item_id, doc_id, round(sum(w.w * qw.w) / (any_value(norm.norm) * any_value(qn.norm)), 9) as score from w join qw using (term) join norm using (doc_id) join qn using (item_id) group by item_id, doc_id)
-select item_id, row_number() over (partition by item_id order by score desc, doc_id) as rank, doc_id, round(score, 6) as score from s qualify rank <= 10""")
-def tfidf_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = se.tfidf_search(_documents(spark, sf_dir), _items(spark, sf_dir), 10)
+select item_id, row_number() over (partition by item_id order by score desc, doc_id) as rank, doc_id, round(score, 6) as score from s qualify rank <= 10"""
+_BM25 = f"""with {_STATS}, len as (select doc_id, sum(tf) as len from d group by doc_id), mean as (select sum(len) / any_value(n) as mean from len, n),
+idf as (select term, ln(1 + (any_value(n) - count(*) + 0.5) / (count(*) + 0.5)) as idf from d, n group by term), a as (select distinct item_id, term from q),
+s as (select item_id, doc_id, round(sum(idf * tf * 2.2 / (tf + 1.2 * (1 - 0.75 + 0.75 * len / mean))), 9) as score from d join a using (term) join idf using (term) join len using (doc_id), mean group by item_id, doc_id)
+select item_id, row_number() over (partition by item_id order by score desc, doc_id) as rank, doc_id, round(score, 6) as score from s qualify rank <= 10"""
+
+
+def _entries(found: DataFrame) -> DataFrame:
     return found.select(F.col("probe").cast("long").alias("item_id"), F.col("rank").cast("long").alias("rank"), F.col("memory_id").cast("long").alias("doc_id"), F.round("score", 6).alias("score"))
 
 
-@query(f"""with {_STATS}, len as (select doc_id, sum(tf) as len from d group by doc_id), mean as (select sum(len) / any_value(n) as mean from len, n),
-idf as (select term, ln(1 + (any_value(n) - count(*) + 0.5) / (count(*) + 0.5)) as idf from d, n group by term), a as (select distinct item_id, term from q),
-s as (select item_id, doc_id, round(sum(idf * tf * 2.2 / (tf + 1.2 * (1 - 0.75 + 0.75 * len / mean))), 9) as score from d join a using (term) join idf using (term) join len using (doc_id), mean group by item_id, doc_id)
-select item_id, row_number() over (partition by item_id order by score desc, doc_id) as rank, doc_id, round(score, 6) as score from s qualify rank <= 10""")
+@query(_TFIDF)
+def tfidf_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _entries(se.tfidf_search(_documents(spark, sf_dir), _items(spark, sf_dir), 10))
+
+
+@query(_BM25)
 def bm25_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = se.bm25_search(_documents(spark, sf_dir), _items(spark, sf_dir), 10)
-    return found.select(F.col("probe").cast("long").alias("item_id"), F.col("rank").cast("long").alias("rank"), F.col("memory_id").cast("long").alias("doc_id"), F.round("score", 6).alias("score"))
+    return _entries(se.bm25_search(_documents(spark, sf_dir), _items(spark, sf_dir), 10))
+
+
+@query(_TFIDF)
+def tfidf_pruned(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same from an index with bounds."""
+    return _entries(ra.search(ra.build(_documents(spark, sf_dir), "tfidf"), _items(spark, sf_dir), 10))
+
+
+@query(_BM25)
+def bm25_pruned(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _entries(ra.search(ra.build(_documents(spark, sf_dir), "bm25"), _items(spark, sf_dir), 10))
 
 
 _COSINE = """with v as (select vec_id, embedding::double[] as e from embeddings), m as (select vec_id, e, sqrt(list_sum(list_transform(e, lambda x: x * x))) as n from v),
