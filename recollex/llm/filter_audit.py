@@ -61,7 +61,7 @@ def marked(docs: DataFrame, facts: dict[str, Column] | None = None, digest: Call
     while depth < len(keys):
         depth += 1
         level = list(keys)[:depth]
-        shared = alive.groupBy(*level).count().filter("count > 1").drop("count")
+        shared = written(alive.groupBy(*level).count().filter("count > 1").drop("count"), "audit-shared", few=True)
         alive = written(alive.join(shared, level, "left_semi"), "audit-alive", few=True)
     classes = written(alive.distinct(), "audit-classes", few=True)
     few = classes.limit(BROADCAST_CLASSES + 1).count() <= BROADCAST_CLASSES
