@@ -141,12 +141,27 @@ def _values(df: DataFrame, col: str, out: str) -> DataFrame:
     return df.select(F.col(col).alias(out)).filter(F.coalesce(out, F.lit("")) != "").distinct().orderBy(out)
 
 
+def _combined(left: DataFrame, right: DataFrame, words: list[str], n: int, seed: int) -> DataFrame:
+    """left(l) with right(r) and a word w: all of these if they are no more than 4 ``n``, else as many drawn by hash.
+
+    Drawn are numbers of combinations, which name a place in each list, and these are joined; the product is never made.
+    """
+    spark, many = left.sparkSession, (left.count(), right.count())
+    total = many[0] * many[1] * len(words)
+    if total <= 4 * n:
+        return left.crossJoin(right).withColumn("w", F.explode(F.array(*map(F.lit, words))))  # no more than 4 n rows
+    k = F.pmod(F.xxhash64(F.lit(seed), "id"), F.lit(total))
+    drawn = spark.range(4 * n).select(k.alias("k")).distinct()
+    places = drawn.select(F.floor(F.col("k") / (many[1] * len(words))).alias("_i"), F.pmod(F.floor(F.col("k") / len(words)), F.lit(many[1])).alias("_j"), F.get(F.array(*map(F.lit, words)), (F.col("k") % len(words)).cast("int")).alias("w"))
+    return places.join(indexed(left, ["l"], "_i"), "_i").join(indexed(right, ["r"], "_j"), "_j").select("l", "r", "w")
+
+
 def negatives(mems: DataFrame, n: int, seed: int = 42, subtle: int | None = SUBTLE, contrary: int | None = CONTRARY, pairs: bool = False) -> DataFrame:
     """``n`` questions without an answer, in hash order from all candidates.
 
     Candidates name persons, places and events that do not exist; real persons in real cities with acts that no record
     has (the first ``subtle`` of them); real persons in places that do not exist buying real things (the first ``contrary``).
-    None takes all of these two kinds.
+    None takes all of these two kinds, or where there are many more than are wanted a draw of them.
     """
     spark = mems.sparkSession
     fixed = [f"{p}最近做了什么" for p in NO_PEOPLE] + [f"在{c}发生了什么" for c in NO_CITIES] + [f"关于{e}的事件有哪些" for e in NO_EVENTS] + ([f"{p}在{c}做了什么" for p in NO_PEOPLE for c in NO_CITIES] if pairs else [])
@@ -154,10 +169,14 @@ def negatives(mems: DataFrame, n: int, seed: int = 42, subtle: int | None = SUBT
     if subtle is not None:  # the first combinations hold no more than so many of either
         people, cities = people.limit(subtle), cities.limit(subtle)
     some = people.filter(F.col("p") != UNKNOWN)
-    acts = some.crossJoin(cities).withColumn("a", F.explode(F.array(*map(F.lit, NO_ACTIONS))))
-    acts = acts if subtle is None else acts.orderBy("p", "c", "a").limit(subtle)
-    buys = some.withColumn("f", F.explode(F.array(*map(F.lit, NO_CITIES)))).crossJoin(products if contrary is None else products.limit(contrary))
-    buys = buys if contrary is None else buys.orderBy("p", "f", "x").limit(contrary)
+    if subtle is None:
+        acts = _combined(some.select(F.col("p").alias("l")), cities.select(F.col("c").alias("r")), NO_ACTIONS, n, seed).select(F.col("l").alias("p"), F.col("r").alias("c"), F.col("w").alias("a"))
+    else:
+        acts = some.crossJoin(cities).withColumn("a", F.explode(F.array(*map(F.lit, NO_ACTIONS)))).orderBy("p", "c", "a").limit(subtle)
+    if contrary is None:
+        buys = _combined(some.select(F.col("p").alias("l")), products.select(F.col("x").alias("r")), NO_CITIES, n, seed + 1).select(F.col("l").alias("p"), F.col("w").alias("f"), F.col("r").alias("x"))
+    else:
+        buys = some.withColumn("f", F.explode(F.array(*map(F.lit, NO_CITIES)))).crossJoin(products.limit(contrary)).orderBy("p", "f", "x").limit(contrary)
     spare = spark.range(len(fixed), max(len(fixed), n)).select(_say("关于未知事件", F.col("id").cast("string"), "的记录"))
     every = _literal(spark, fixed).union(acts.select(_say(F.col("p"), "在", F.col("c"), F.col("a")))).union(buys.select(_say(F.col("p"), "在", F.col("f"), "购买了", F.col("x"))))
     full = every if every.limit(n).count() >= n else every.union(spare)

@@ -42,3 +42,15 @@ def test_bounded_texts_and_answers(spark):
 def test_given_tables_fire_the_rules_on_chains(spark):
     rules = {r.rule for r in quality.detailed(rich(spark, SF), _flawed(spark, SF)).select("rule").distinct().collect()}
     assert {"chain_first_verb", "chain_gap", "answer_member"} <= rules
+
+
+def test_negatives_of_many_names_are_drawn(spark):
+    from recollex.operators import questions as qu
+
+    names = lambda k, n: spark.createDataFrame([(f"{k}{i:04d}",) for i in range(n)], f"{'l' if k == 'p' else 'r'} string")
+    words = ["游泳", "滑雪", "唱歌"]
+    few = qu._combined(names("p", 3), names("c", 4), words, 10, 1).collect()
+    assert sorted((x.l, x.r, x.w) for x in few) == sorted((f"p{i:04d}", f"c{j:04d}", w) for i in range(3) for j in range(4) for w in words)
+    many = [(x.l, x.r, x.w) for x in qu._combined(names("p", 700), names("c", 900), words, 50, 1).collect()]
+    assert 50 <= len(set(many)) == len(many) <= 200 and len({p for p, _, _ in many}) > 100 and {w for _, _, w in many} == set(words)
+    assert qu._combined(names("p", 0), names("c", 9), words, 50, 1).collect() == []
