@@ -38,7 +38,7 @@ _OPEN = "select o_orderkey, o_custkey, o_orderdate as opened, max(l_shipdate) as
 
 
 @query(f"with o as ({_OPEN}) select a.o_orderkey as first, b.o_orderkey as second from o a join o b on a.o_custkey = b.o_custkey and a.o_orderkey < b.o_orderkey and a.opened < b.closed and b.opened < a.closed and a.opened < a.closed and b.opened < b.closed")
-def open_together(spark: SparkSession, sf_dir: str) -> DataFrame:
+def concurrent_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Orders of one customer that were open, from their date to the last shipping, at the same time."""
     shipped = table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.max("l_shipdate").alias("closed"))
     orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", F.col("o_orderdate").alias("opened"))
