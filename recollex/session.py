@@ -59,10 +59,11 @@ def written(df: DataFrame, label: str, few: bool = False) -> DataFrame:
 
     Unlike localCheckpoint, a lost executor costs nothing; unlike checkpoint(), columns stay prunable.  ``few``: the rows
     are cheap to make, so that shuffled partitions are joined up to the advisory size rather than spread over all cores.
+    Shuffle files of the write go as soon as the table is whole: nothing reads them again.
     """
     spark = df.sparkSession
     path = new_path(spark, label)
-    with settings(spark, spark__sql__adaptive__coalescePartitions__parallelismFirst=str(not few).lower()):
+    with settings(spark, spark__sql__adaptive__coalescePartitions__parallelismFirst=str(not few).lower(), spark__sql__classic__shuffleDependency__fileCleanup__enabled="true"):
         df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
