@@ -41,8 +41,10 @@ from recollex.session import importable, settings, table, written
 BLOCK_ROWS, BLOCK_BYTES = 4096, 16 << 20
 #: From a space on to the next one that follows a character other than white space.
 UNIT = re.compile(r" [^ ]*(?:(?<=\s) [^ ]*)*")
-#: An id pair is one number.
-PAIR = 1 << 20
+#: An id pair is one number, of five bytes where it is shuffled; a token is its id and its length in one number.
+PAIR, WIDTH, SIZE_BITS = 1 << 20, 5, 12
+#: Texts of groups are shuffled as half bytes: digits, and these letters for their marks; the last one fills up a byte.
+MARKS, LETTERS, FILL = ",|;", "abc", "d"
 #: Units of documents whose pairs are told apart together.
 AT_ONCE = 1 << 21
 
@@ -100,12 +102,14 @@ def _coded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def encode_units(units: DataFrame, path_a: str, path_b: str) -> DataFrame:
-    """units(unit): unit, whole (the tokens' bytes are the unit's) and the ids and byte lengths of both sides."""
+    """units(unit): unit, whole (the tokens' bytes are the unit's) and the tokens of both sides (id << SIZE_BITS | length in bytes)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe, (sp, raw_b) = encoder(path_a, 4096), _pieces(path_b)
         raw_a, lone = bpe.bytes_of, sp.piece_to_id("▁")
         size_a, size_b = np.array([len(x) for x in raw_a], np.int32), np.array([len(x) for x in raw_b], np.int32)
+        if max(size_a.max(), size_b.max()) >> SIZE_BITS or max(len(size_a), len(size_b)) > PAIR >> 1:
+            raise ValueError("a vocabulary with more ids or longer tokens than fit in one number")
         for batch in batches:
             texts = batch.column(0).to_pylist()
             a = [bpe.encode_plain(x) for x in texts]
@@ -115,20 +119,20 @@ def encode_units(units: DataFrame, path_a: str, path_b: str) -> DataFrame:
             for ids, size in ((a, size_a), (b, size_b)):
                 flat = np.array([i for x in ids for i in x], np.int32)
                 at = pa.array(np.cumsum([0, *map(len, ids)]).astype(np.int32))
-                columns += [pa.ListArray.from_arrays(at, pa.array(flat)), pa.ListArray.from_arrays(at, pa.array(size[flat]))]
-            yield pa.RecordBatch.from_arrays(columns, names=["unit", "whole", "a", "a_size", "b", "b_size"])
+                columns.append(pa.ListArray.from_arrays(at, pa.array(flat << SIZE_BITS | size[flat])))
+            yield pa.RecordBatch.from_arrays(columns, names=["unit", "whole", "a", "b"])
 
-    return units.mapInArrow(run, "unit string, whole boolean, a array<int>, a_size array<int>, b array<int>, b_size array<int>")
+    return units.mapInArrow(run, "unit string, whole boolean, a array<int>, b array<int>")
 
 
 def align(encoded: DataFrame) -> DataFrame:
-    """encoded(u, a, a_size, b, b_size), u unique: u, n_a, n_b, n_groups, n_links, groups, pairs (a number a link)."""
-    dealt = lambda side: encoded.select("u", side, f"{side}_size").repartition("u")
+    """encoded(u, a, b), u unique: u, n_a, groups, pairs (a number a link)."""
+    dealt = lambda side: encoded.select("u", side).repartition("u")
 
     def tokens(side: str) -> DataFrame:
-        rows = dealt(side).select("u", F.posexplode(F.arrays_zip(F.col(side).alias("id"), F.col(f"{side}_size").alias("size"))).alias("pos", "t"))
+        rows = dealt(side).select("u", F.posexplode(side).alias("pos", "t"))
         so_far = W.partitionBy("u").orderBy("pos").rowsBetween(W.unboundedPreceding, W.currentRow)
-        return rows.select("u", F.sum("t.size").over(so_far).alias("end"), F.col("t.id").alias(side))
+        return rows.select("u", F.sum(F.col("t").bitwiseAND((1 << SIZE_BITS) - 1)).over(so_far).alias("end"), F.shiftright("t", SIZE_BITS).alias(side))
 
     ends = {s: tokens(s) for s in "ab"}
     before = W.partitionBy("u").orderBy("end").rowsBetween(W.unboundedPreceding, -1)
@@ -140,15 +144,48 @@ def align(encoded: DataFrame) -> DataFrame:
 
     lists = groups("a", "b").join(groups("b", "a"), ["u", "g"])  # each group has tokens of both sides, as it ends at a shared end
     linked = lists.select(
-        "u", "g", F.size("a").alias("n_a"), F.size("b").alias("n_b"), F.concat(F.concat_ws(",", F.col("a").cast("array<string>")), F.lit("|"), F.concat_ws(",", F.col("b").cast("array<string>"))).alias("text"),
+        "u", "g", F.size("a").alias("n_a"), F.concat(F.concat_ws(",", F.col("a").cast("array<string>")), F.lit("|"), F.concat_ws(",", F.col("b").cast("array<string>"))).alias("text"),
         F.flatten(F.transform("a", lambda x: F.transform("b", lambda y: x.cast("long") * PAIR + y))).alias("pairs"),
     )
     return linked.groupBy("u").agg(
-        F.sum("n_a").alias("n_a"), F.sum("n_b").alias("n_b"), F.count("*").alias("n_groups"), F.sum(F.col("n_a") * F.col("n_b")).alias("n_links"),
-        F.concat_ws(";", F.array_sort(F.collect_list(F.struct("g", "text"))).getField("text")).alias("groups"), F.flatten(F.collect_list("pairs")).alias("pairs"),
+        F.sum("n_a").alias("n_a"), F.concat_ws(";", F.array_sort(F.collect_list(F.struct("g", "text"))).getField("text")).alias("groups"), F.flatten(F.collect_list("pairs")).alias("pairs"),
     )
 
 
+def packed(known: DataFrame) -> DataFrame:
+    """known(unit, whole, n_a, groups, pairs) as few bytes a row: n_a is 0 where a unit is not whole, groups are half bytes."""
+    text = F.translate("groups", MARKS, LETTERS)
+    return known.select(
+        "unit", F.when(F.col("whole"), F.col("n_a")).otherwise(0).cast("int").alias("n_a"), F.unhex(F.when(F.length(text) % 2 == 1, F.concat(text, F.lit(FILL))).otherwise(text)).alias("groups"),
+        F.unhex(F.array_join(F.transform("pairs", lambda x: F.lpad(F.hex(x), 2 * WIDTH, "0")), "")).alias("pairs"),
+    )
+
+
+def _joined(column: pa.ChunkedArray) -> tuple[np.ndarray, bytes]:
+    """(where each value begins, and the end; all bytes)"""
+    values = column.to_pylist()
+    return np.cumsum([0, *map(len, values)]), b"".join(values)
+
+
+def _groups(column: pa.ChunkedArray) -> tuple[list[bytes], np.ndarray, np.ndarray]:
+    """(texts of groups, their numbers of groups, their numbers of tokens of both sides)"""
+    at, raw = _joined(column)
+    text = raw.hex().encode().translate(bytes.maketrans(LETTERS.encode(), MARKS.encode()))
+    chars, at = np.frombuffer(text, np.uint8), 2 * at
+    bars, commas = (np.concatenate([[0], np.cumsum(chars == ord(x))])[at] for x in "|,")
+    filled = np.concatenate([[0], np.cumsum(chars == ord(FILL))])[at]
+    texts = [text[a:b] for a, b in zip(at[:-1].tolist(), (at[1:] - np.diff(filled)).tolist(), strict=True)]
+    return texts, np.diff(bars), np.diff(commas) + 2 * np.diff(bars)
+
+
+def _pairs(column: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
+    """(where the pairs of each unit begin, and the end; all pairs)"""
+    at, raw = _joined(column)
+    wide = np.zeros((len(raw) // WIDTH, 8), np.uint8)
+    wide[:, 8 - WIDTH :] = np.frombuffer(raw, np.uint8).reshape(-1, WIDTH)
+    return at // WIDTH, wide.reshape(-1).view(">i8").astype(np.int64)
+
+
 def _by_code(units: pa.Table, column: str, kind: type) -> np.ndarray:
     out = np.zeros(units.num_rows, kind)
     out[np.asarray(units["n"])] = np.asarray(units[column])
@@ -170,14 +207,15 @@ def _documents(docs: pa.Table, whole: np.ndarray) -> tuple[list[np.ndarray], np.
 def _together(docs: pa.Table, units: pa.Table) -> pa.Table:
     """One block: a row a document, and a row an id pair with the number of the block's documents that hold it."""
     n, u = docs.num_rows, units.num_rows
-    lists, codes, at = _documents(docs, _by_code(units, "whole", bool))
+    n_a = _by_code(units, "n_a", np.int64)
+    lists, codes, at = _documents(docs, n_a > 0)
     place = np.empty(u, np.int64)
     place[np.asarray(units["n"])] = np.arange(u)
-    groups = units["groups"].take(pa.array(place)).to_pylist()
-    shas = [hashlib.sha256(";".join(map(groups.__getitem__, c.tolist())).encode()).hexdigest() if len(c) else "" for c in lists]
-    sums = {c: _totals(_by_code(units, c, np.int64), codes, at) for c in ("n_a", "n_b", "n_groups", "n_links")}
-    pairs = units["pairs"].combine_chunks().take(pa.array(place))
-    starts, flat = np.asarray(pairs.offsets).astype(np.int64), np.asarray(pairs.flatten())
+    groups, n_groups, n_tokens = _groups(units["groups"].take(pa.array(place)))
+    shas = [hashlib.sha256(b";".join(map(groups.__getitem__, c.tolist()))).hexdigest() if len(c) else "" for c in lists]
+    del groups
+    starts, flat = _pairs(units["pairs"].take(pa.array(place)))
+    sums = {c: _totals(v, codes, at) for c, v in (("n_a", n_a), ("n_b", n_tokens - n_a), ("n_groups", n_groups), ("n_links", np.diff(starts)))}
     different, number = np.unique(flat, return_inverse=True)
     held, first = np.zeros(len(different), np.int64), 0
     while first < n:
@@ -222,10 +260,10 @@ def link_documents(docs: DataFrame, path_a: str | None = None, path_b: str | Non
     texts, units = coded.filter("codes is not null").select("block", "n", "doc_id", "codes"), coded.filter("unit is not null").select("block", "n", "unit")
     encoded = written(encode_units(units.select("unit").distinct(), path_a, path_b).withColumn("u", F.monotonically_increasing_id()), "units")
     with settings(spark, spark__sql__requireAllClusterKeysForCoPartition="false"):  # a unit's rows are together: joins on more than u need no other shuffle
-        zeros = {c: F.coalesce(c, F.lit(0)) for c in ("n_a", "n_b", "n_groups", "n_links")} | {"groups": F.coalesce("groups", F.lit("")), "pairs": F.coalesce("pairs", F.array().cast("array<bigint>"))}
+        zeros = {"n_a": F.coalesce("n_a", F.lit(0)), "groups": F.coalesce("groups", F.lit("")), "pairs": F.coalesce("pairs", F.array().cast("array<bigint>"))}
         # a unit that is not whole may have no group
-        known = written(encoded.select("u", "unit", "whole").join(align(encoded), "u", "left").withColumns(zeros), "aligned-units")
-    rows = written(_per_block(texts, units.join(known.drop("u"), "unit").drop("unit"), _together, MADE), "aligned")
+        known = written(encoded.select("u", "unit", "whole").join(align(encoded), "u", "left").withColumns(zeros).drop("u"), "aligned-units")
+    rows = written(_per_block(texts, units.join(packed(known), "unit").drop("unit"), _together, MADE), "aligned")
     # a pair's A id has at most as many pairs as B has pieces
     counts = rows.filter("pair is not null").groupBy("pair").agg(F.sum("docs").alias("n")).withColumn("best", F.max("n").over(W.partitionBy(F.floor(F.col("pair") / PAIR))) == F.col("n"))
     counts = written(counts, "pairs", few=True)
