@@ -6,8 +6,9 @@ stop-word density.  Where text stands is looked at as it is read: a button or a
 alone.  What is too short or too unlike prose to be decided waits for pass two, which gives it the
 label of the nearest decided neighbour; between two at the same distance content wins.  On a page that marks
 its article (article, main, role=main), blocks outside of it are furniture, and those in it that nothing decides
-count as content.  A class or id of DOUBTFUL words (promotion, related, social) makes furniture too, but in a marked
-article long prose without links stays.
+count as content.  A class or id names a box of furniture if one of its words is among STRONG, or if one is among HINTS and the others
+only say what kind of box it is: ``hidden`` and ``share-buttons`` do, ``hidden-gems`` and ``share-price`` do not, and density decides
+there.  One of DOUBTFUL words (promotion, related, social) makes furniture too, but in a marked article long prose without links stays.
 
 Cases: a null or empty page gives the empty text; unclosed and misnested tags close at the next tag that implies
 it; a page that is cut off ends its open blocks; a script or style that nothing closes ends the page, of other
@@ -46,12 +47,21 @@ RAW = frozenset("script style template noscript iframe object textarea svg math
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 FURNITURE = frozenset("nav footer aside form head header button select menu dialog search".split())
 ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar toolbar".split())
-HINTS = frozenset(
+#: Words of a class or id that name furniture in any compound.
+STRONG = frozenset(
     """
-    ad ads adsense advert adverts advertisement advertising sponsor sponsored promo sidebar aside menu submenu nav navbar navigation
-    breadcrumb breadcrumbs footer masthead topbar cookie cookies consent gdpr notice notices notification popup modal newsletter
-    subscribe signup signin login share sharing comment comments commentlist respond reply
-    replies disqus toolbar pagination pager hidden
+    adsense advert adverts advertisement advertising sponsored sidebar submenu navbar breadcrumb breadcrumbs masthead topbar cookies
+    gdpr popup modal newsletter signup signin comments commentlist disqus toolbar pagination pager
+    """.split()
+)
+#: Words that name it alone, or beside words for boxes.
+HINTS = frozenset("ad ads sponsor promo aside menu nav navigation footer cookie consent notice notices notification subscribe login share sharing comment respond reply replies hidden".split())
+#: Words for boxes, which say nothing of what is in them.
+BOXES = frozenset(
+    """
+    area banner bar block body bottom box btn button buttons card col column container content div el fixed float form global group header icon
+    icons id inline inner item items js label left link links list main message mobile module outer page panel post primary right row secondary
+    section site slot small sticky text thread top unit user wrap wrapper widget
     """.split()
 )
 #: As likely the subject of an article as the name of a box beside it.
@@ -68,6 +78,8 @@ _QUOTE = re.compile("=\\s*([\"'])")
 _NAME = re.compile(r"[a-zA-Z][^\s/>]*")
 _ATTRIBUTE = re.compile(r"""([^\s=/>"']+)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s>]+))?""")
 _WORD = re.compile(r"[^\W\d_]+")
+#: Words of one name of a class or id: share-bar, shareBar and SHARE_BAR have the same.
+_PART = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])")
 
 
 @dataclass
@@ -102,7 +114,7 @@ def _self_closed(attributes: str) -> bool:
 
 
 def _attributes(raw: str) -> dict[str, str]:
-    return {k.lower(): (v or "").strip("\"'").lower() for k, v in _ATTRIBUTE.findall(raw)} if raw.strip() else {}
+    return {k.lower(): (v or "").strip("\"'") for k, v in _ATTRIBUTE.findall(raw)} if raw.strip() else {}
 
 
 def _place(name: str, found: dict[str, str], in_main: bool) -> int:
@@ -113,12 +125,17 @@ def _place(name: str, found: dict[str, str], in_main: bool) -> int:
         return CLOSED
     if not found or name in ("body", "html", "article", "main"):
         return OPEN
-    if "hidden" in found or found.get("aria-hidden") == "true" or found.get("role") in ROLES or re.search(r"display\s*:\s*none", found.get("style", "")):
-        return CLOSED
-    words = set(re.split(r"[^a-z]+", f"{found.get('class', '')} {found.get('id', '')}"))
-    if words & HINTS or ("header" in words and not in_main):
+    if "hidden" in found or found.get("aria-hidden", "").lower() == "true" or found.get("role", "").lower() in ROLES or re.search(r"display\s*:\s*none", found.get("style", "").lower()):
         return CLOSED
-    return DOUBT if words & DOUBTFUL else OPEN
+    where = OPEN
+    for one in f"{found.get('class', '')} {found.get('id', '')}".split():
+        words = {x.lower() for x in _PART.findall(one)}
+        known = words <= HINTS | DOUBTFUL | BOXES
+        if words & STRONG or (known and words & HINTS) or ("header" in words and not in_main):
+            return CLOSED
+        if known and words & DOUBTFUL:
+            where = DOUBT
+    return where
 
 
 def blocks(page: str) -> list[Block]:
@@ -211,7 +228,7 @@ def blocks(page: str) -> list[Block]:
                 if stack[k][0] in CONTAINERS:
                     break
             attributes = _attributes(page[m.end() : at - 1])
-            is_main = name in ("article", "main") or attributes.get("role") == "main"
+            is_main = name in ("article", "main") or attributes.get("role", "").lower() == "main"
             stack.append((name, max(state[0], _place(name, attributes, state[1])), state[1] or is_main, state[2] or name == "a"))
             opened[name] += 1
             look()

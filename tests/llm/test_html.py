@@ -70,3 +70,31 @@ def test_closed_and_self_closed_elements():
     assert extract(f"<p>{PROSE}</p><svg/><p>{PROSE}</p><svg><text>no</text></svg><p>end</p>") == f"{PROSE}\n{PROSE}\nend"
     assert extract(f"<p>{PROSE}</p><script>x<p>{PROSE}</p>") == PROSE
     assert extract("<svg>" * 50_000 + "x") == "x"
+
+
+@pytest.mark.parametrize("name", ["hidden-gems", "notice-period", "share-price", "form-of-government", "replyToCritics", "search_for_gold"])
+def test_a_hint_in_a_name_of_its_own_drops_no_text(name):
+    assert extract(f"<main><section id='{name}'><p>{PROSE}</section></main>") == PROSE
+    assert extract(f"<div class='{name}'><p>{PROSE}</div>") == PROSE
+    assert extract(f"<article><p>{PROSE}</p><div class='{name}'><p>{PROSE}</p></div></article>") == f"{PROSE}\n{PROSE}"
+
+
+@pytest.mark.parametrize("name", ["hidden", "share-buttons", "shareBar", "userComments", "comment-list", "ad-slot-970", "x cookie-banner", "AD", "site_nav", "sponsored-posts-of-today"])
+def test_names_of_boxes(name):
+    for of in ("class", "id"):
+        assert extract(f"<article><p>{PROSE}</p><div {of}='{name}'><p>{PROSE}</p></div></article>") == PROSE
+        assert extract(f"<div {of}='{name}'><p>{PROSE}</p></div><p>{PROSE}</p>") == PROSE
+
+
+def test_templates_of_pages():
+    """Whole pages of other builds than the given tables'; what is expected is written by hand."""
+    blog = f"""<html><head><title>T</title></head><body id='top' class='home page-template'><div id='masthead'><a href=/>Home</a></div>
+        <div class='post hentry'><h2 class='entry-title'>A walk</h2><div class='entry-content'><p>{PROSE}</p><blockquote>{PROSE}</blockquote><ul><li>Bread<li>Salt</ul></div>
+        <div class='shareButtons'>Tell your friends that you have read this and what you think of it.</div></div>
+        <ol class='commentlist'><li>{PROSE}</ol><div id='footer-widgets'><a href=a>About</a> <a href=b>Us</a></div></body></html>"""
+    assert extract(blog) == f"A walk\n{PROSE}\n{PROSE}\nBread\nSalt"
+    news = f"""<body><nav><a href=1>World</a></nav><main role='main'><div class='noticeBar'>{PROSE}</div><h1>Share prices fall</h1><section class='share-price table'><p>{PROSE}</p></section>
+        <div class='newsletter-box'><p>Get our letter each week.</p><form><input></form></div><p>{PROSE}</p></main><footer>{PROSE}</footer></body>"""
+    assert extract(news) == f"Share prices fall\n{PROSE}\n{PROSE}"
+    plain = f"<table><tr><td class='navigation'><a href=1>One</a><br><a href=2>Two</a><td><h3>Old page</h3><p>{PROSE}<p>Short end.<tr><td id='cookie-message'>This site uses cookies, and that is all that it has to say on it.</table>"
+    assert extract(plain) == f"Old page\n{PROSE}\nShort end."
