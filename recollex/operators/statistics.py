@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-LG_K, K = 12, 400
+LG_K, K = 16, 400
 
 
 def parts(df: DataFrame, part: Column | str, distinct: list[str] = (), quantiles: list[str] = ()) -> DataFrame:
