@@ -2,9 +2,9 @@
 
 A store is a folder of tables, each with a part a batch:
 
-    order     how often words stood in the first batch; this order of words never changes, so prefixes of all batches agree
-    sets      (ord, block, person, words, length) of every record
-    prefixes  (block, word, ord, n): a record's first words in that order, enough to meet all that are alike
+    order     (k, counts): how often words stood in the first batch, by place; this order of words never changes, so prefixes of all batches agree
+    sets      (ord, person, h, length) of every record; h are its words as numbers, told apart by block
+    prefixes  (word, ord, n, i): a record's first numbers in that order, enough to meet all that are alike in several of them
     nodes     (node, root): every record that has a link, with its component when its first link came
     merges    (root, component): what became of components since, whole for every batch
 
@@ -21,18 +21,17 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import Window as W
 from pyspark.sql.types import StructType
 
 from recollex.functions.text import content_words
 from recollex.operators.components import connected_components
-from recollex.operators.mining import SIMILARITY
+from recollex.operators.mining import SIMILARITY, alike, counted_places, hashed_words, met_pairs, prefixes, slices
 from recollex.session import new_path, written
 
 TABLES = {
-    "order": "word string, df long",
-    "sets": "ord long, block string, person string, words array<string>, length int",
-    "prefixes": "block string, word string, ord long, n int",
+    "order": "k int, counts binary",
+    "sets": "ord long, person string, h array<long>, length int",
+    "prefixes": "word long, ord long, n int, i int",
     "nodes": "node long, root long",
     "merges": "root long, component long",
 }
@@ -68,29 +67,22 @@ class NearDuplicates:
     def add(self, df: DataFrame, batch: int) -> DataFrame:
         """df(ord, content, block, person) as batch number ``batch``; returns its new links (a, b, similarity)."""
         old = [b for b in self.batches() if b < batch]
-        words = content_words(F.col("content"))
-        sets = self._write(df.select("ord", "block", F.col("person").cast("string").alias("person"), words.alias("words"), F.length(F.coalesce("content", F.lit(""))).alias("length")), "sets", batch)
-        each = sets.select("ord", "block", F.size("words").alias("n"), F.explode("words").alias("word"))
-        order = self._read("order", [old[0]]) if old else self._write(each.groupBy("word").agg(F.count("*").alias("df")), "order", batch)
-        place = F.row_number().over(W.partitionBy("ord").orderBy(F.coalesce("df", F.lit(0)), "word"))
-        ranked = each.join(order, "word", "left").withColumn("r", place)
-        short = ranked.filter(F.col("r") <= F.col("n") - F.floor(F.col("n") * self.threshold + 1e-9))
-        new = self._write(short, "prefixes", batch)
-        every = self._read("prefixes", [*old, batch])
-        # a pair is made from its later batch; inside of one from its larger ord
-        other = every.select("block", "word", F.col("ord").alias("other"), F.col("n").alias("m"))
-        fits = (F.col("m") > self.threshold * F.col("n") - 1e-9) & (F.col("n") > self.threshold * F.col("m") - 1e-9)
-        met = new.join(other, ["block", "word"]).filter(fits & (F.col("ord") != F.col("other")))
-        pairs = written(met.select(F.least("ord", "other").alias("a"), F.greatest("ord", "other").alias("b")).distinct(), "met", few=True)
+        h = F.when(F.col("block").isNotNull(), hashed_words(F.col("block"), content_words(F.col("content")))).otherwise(F.array().cast("array<long>"))
+        sets = self._write(df.select("ord", F.col("person").cast("string").alias("person"), h.alias("h"), F.length(F.coalesce("content", F.lit(""))).alias("length")), "sets", batch)
+        order = self._read("order", [old[0]]) if old else self._write(slices(sets), "order", batch)
+        # words that are alone so far may meet a later batch
+        new = self._write(prefixes(sets, counted_places(order), self.threshold, alone=True), "prefixes", batch)
+        # a pair is made from its later batch; inside of one from its smaller ord
+        pairs = written(met_pairs(self._read("prefixes", old), self.threshold, new), "met", few=True)
         links = written(self._verified(pairs, self._read("sets", [*old, batch])), "links", few=True)
         self._merge(links, old, batch)
         return links
 
     def _verified(self, pairs: DataFrame, sets: DataFrame) -> DataFrame:
-        side = lambda k: sets.select(F.col("ord").alias(k), F.col("person").alias(f"p{k}"), F.col("words").alias(f"w{k}"))
-        common = F.size(F.array_intersect("wa", "wb"))
-        both = pairs.join(side("a"), "a").join(side("b"), "b").filter(~F.col("pa").eqNullSafe(F.col("pb")))
-        return both.select("a", "b", (common / (F.size("wa") + F.size("wb") - common)).alias("similarity")).filter(F.col("similarity") > self.threshold)
+        """Pairs of one person go first, so that words are read of what is left only."""
+        who = lambda k: sets.select(F.col("ord").alias(k), F.col("person").alias(f"p{k}"))
+        told = pairs.join(who("a"), "a").join(who("b"), "b").filter(~F.col("pa").eqNullSafe(F.col("pb"))).select("a", "b")
+        return alike(written(told, "told", few=True), sets, self.threshold)
 
     def _merge(self, links: DataFrame, old: list[int], batch: int) -> None:
         ends = links.select(F.col("a").alias("node")).union(links.select(F.col("b").alias("node"))).distinct()
