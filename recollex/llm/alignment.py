@@ -4,14 +4,15 @@ Units.  A is a byte-level BPE whose splitting pattern cuts before a space that f
 B has a space after another character.  So both tokenizers cut a text there, and what lies between two such places, a
 unit, has the same tokens, groups and links in every text.  Units repeat as words do: every different one is aligned once.
 
-Alignment is relational: token lists are exploded with their positions, a window adds up byte lengths, an equi-join on unit and end
-finds the ends that both sides share, a running count of these cuts is the group of every token, and a join on unit and group links
-the tokens of both sides.  All of it happens where a unit's rows are: they are shuffled once, as lists.
+Alignment is relational: token lists of both sides are exploded with their positions, a window adds up byte lengths, rows that meet on unit and
+end are the ends that both sides share, a running count of these cuts is the group of every token, and a unit's tokens are put together by group: in
+each group first A's, then B's, so that the list alone tells the groups.  All of it happens where a unit's rows are: they are shuffled once, as lists.
 
 Documents.  Texts are cut into units where they are read.  A block, which is one Arrow batch of documents, keeps its different units and, a
-document, the numbers of its units in order.  Only a block's units are joined to their alignments, so that a word has at most a row a block,
-and a block's documents are put together from them in one task.  A pair's count comes from the blocks' counts; it goes back the
-same way, as sums over the links of a unit.
+document, the numbers of its units in order.  A unit is gathered once, with its places (block and number there), and goes back to these places: a
+word has at most one a block, and what goes from one batch of units to one block is one row.  A block's documents are put together from
+them in one task.  A pair's count comes from the blocks' counts; it goes back the same way, as sums over the links of a unit, the counts
+sent to every task in parts of bounded size.
 
 Cases: null and empty texts have no tokens; neither has a text with a unit whose tokens' bytes are not its own (one that has U+2581);
 strings of special tokens are text; a row is a document of its own, whatever its doc_id, so repeated rows repeat their results
@@ -23,10 +24,11 @@ from __future__ import annotations
 import hashlib
 import re
 from collections.abc import Callable, Iterator
-from functools import lru_cache
+from functools import lru_cache, reduce
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
@@ -38,19 +40,18 @@ from recollex.llm.bpe import default_path, encoder
 from recollex.session import importable, settings, table, written
 
 #: Documents and bytes of a block, at most (a longer text is a block of its own).
-BLOCK_ROWS, BLOCK_BYTES = 4096, 16 << 20
+BLOCK_ROWS, BLOCK_BYTES = 2048, 8 << 20
 #: From a space on to the next one that follows a character other than white space.
 UNIT = re.compile(r" [^ ]*(?:(?<=\s) [^ ]*)*")
-#: An id pair is one number, of five bytes where it is shuffled; a token is its id and its length in one number.
-PAIR, WIDTH, SIZE_BITS = 1 << 20, 5, 12
-#: Texts of groups are shuffled as half bytes: digits, and these letters for their marks; the last one fills up a byte.
-MARKS, LETTERS, FILL = ",|;", "abc", "d"
-#: Units of documents whose pairs are told apart together.
-AT_ONCE = 1 << 21
+#: An id pair is one number; a token is its id and its length in one number, and the complement of that for B.
+PAIR, SIZE_BITS = 1 << 20, 12
+#: Units of documents whose pairs are told apart together; units that are dealt to their blocks together; pairs whose counts are in every task at a time.
+AT_ONCE, DEALT, COUNTS = 1 << 18, 1 << 16, 1 << 21
 
 CODED = "block long, n int, doc_id long, codes binary, unit string"
 MADE = "block long, n int, doc_id long, n_a long, n_b long, n_groups long, n_links long, groups_sha256 string, pair long, docs long"
 SUMS = "block long, n int, n_best long, count_sum long"
+PLACES = "places array<struct<block: bigint, n: int>>"
 
 
 @lru_cache(maxsize=2)
@@ -64,14 +65,15 @@ def _pieces(path: str):
     return b, raw
 
 
-def _squeezed(codes: np.ndarray) -> bytes:
+def _squeezed(codes: np.ndarray, kind: str = "<u4") -> bytes:
     """Numbers as byte planes in a zstandard frame."""
-    return zstandard.ZstdCompressor(level=1).compress(np.ascontiguousarray(codes.astype("<u4").view(np.uint8).reshape(-1, 4).T).tobytes())
+    width = np.dtype(kind).itemsize
+    return zstandard.ZstdCompressor(level=1).compress(np.ascontiguousarray(codes.astype(kind).view(np.uint8).reshape(-1, width).T).tobytes())
 
 
-def _numbers(raw: bytes) -> np.ndarray:
+def _numbers(raw: bytes, kind: str = "<u4") -> np.ndarray:
     planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(raw), np.uint8)
-    return np.ascontiguousarray(planes.reshape(4, -1).T).reshape(-1).view("<u4").astype(np.int64)
+    return np.ascontiguousarray(planes.reshape(np.dtype(kind).itemsize, -1).T).reshape(-1).view(kind).astype(np.int64)
 
 
 def _coded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -102,7 +104,7 @@ def _coded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def encode_units(units: DataFrame, path_a: str, path_b: str) -> DataFrame:
-    """units(unit): unit, whole (the tokens' bytes are the unit's) and the tokens of both sides (id << SIZE_BITS | length in bytes)."""
+    """units(unit, places): places and the tokens of A, then of B (id << SIZE_BITS | length in bytes); none if their bytes are not the unit's."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe, (sp, raw_b) = encoder(path_a, 4096), _pieces(path_b)
@@ -110,86 +112,104 @@ def encode_units(units: DataFrame, path_a: str, path_b: str) -> DataFrame:
         size_a, size_b = np.array([len(x) for x in raw_a], np.int32), np.array([len(x) for x in raw_b], np.int32)
         if max(size_a.max(), size_b.max()) >> SIZE_BITS or max(len(size_a), len(size_b)) > PAIR >> 1:
             raise ValueError("a vocabulary with more ids or longer tokens than fit in one number")
+        token_a, token_b = (np.arange(len(x), dtype=np.int32) << SIZE_BITS | x for x in (size_a, size_b))
+        token = np.concatenate([token_a, ~token_b])
         for batch in batches:
-            texts = batch.column(0).to_pylist()
+            texts = batch.column("unit").to_pylist()
             a = [bpe.encode_plain(x) for x in texts]
             b = [y if len(x) > 1 else [lone] for x, y in zip(texts, sp.encode([x[1:] for x in texts], num_threads=1), strict=True)]
             whole = [b"".join(map(raw_a.__getitem__, x)) == (t := u.encode()) and b"".join(map(raw_b.__getitem__, y)) == t for x, y, u in zip(a, b, texts, strict=True)]
-            columns = [batch.column(0), pa.array(whole, pa.bool_())]
-            for ids, size in ((a, size_a), (b, size_b)):
-                flat = np.array([i for x in ids for i in x], np.int32)
-                at = pa.array(np.cumsum([0, *map(len, ids)]).astype(np.int32))
-                columns.append(pa.ListArray.from_arrays(at, pa.array(flat << SIZE_BITS | size[flat])))
-            yield pa.RecordBatch.from_arrays(columns, names=["unit", "whole", "a", "b"])
+            ids = [[*x, *(i + len(size_a) for i in y)] if w else [] for x, y, w in zip(a, b, whole, strict=True)]
+            at = pa.array(np.cumsum([0, *map(len, ids)]).astype(np.int32))
+            flat = np.array([i for x in ids for i in x], np.int64)
+            yield pa.RecordBatch.from_arrays([batch.column("places"), pa.ListArray.from_arrays(at, pa.array(token[flat]))], names=["places", "tokens"])
 
-    return units.mapInArrow(run, "unit string, whole boolean, a array<int>, b array<int>")
+    return units.mapInArrow(run, f"{PLACES}, tokens array<int>")
 
 
 def align(encoded: DataFrame) -> DataFrame:
-    """encoded(u, a, b), u unique: u, n_a, groups, pairs (a number a link)."""
-    dealt = lambda side: encoded.select("u", side).repartition("u")
-
-    def tokens(side: str) -> DataFrame:
-        rows = dealt(side).select("u", F.posexplode(side).alias("pos", "t"))
-        so_far = W.partitionBy("u").orderBy("pos").rowsBetween(W.unboundedPreceding, W.currentRow)
-        return rows.select("u", F.sum(F.col("t").bitwiseAND((1 << SIZE_BITS) - 1)).over(so_far).alias("end"), F.shiftright("t", SIZE_BITS).alias(side))
-
-    ends = {s: tokens(s) for s in "ab"}
-    before = W.partitionBy("u").orderBy("end").rowsBetween(W.unboundedPreceding, -1)
-
-    def groups(side: str, other: str) -> DataFrame:
-        shared = ends[other].select("u", "end", F.lit(1).alias("cut"))
-        numbered = ends[side].join(shared, ["u", "end"], "left").withColumn("g", F.count("cut").over(before))
-        return numbered.groupBy("u", "g").agg(F.array_sort(F.collect_list(F.struct("end", F.col(side).alias("id")))).getField("id").alias(side))
-
-    lists = groups("a", "b").join(groups("b", "a"), ["u", "g"])  # each group has tokens of both sides, as it ends at a shared end
-    linked = lists.select(
-        "u", "g", F.size("a").alias("n_a"), F.concat(F.concat_ws(",", F.col("a").cast("array<string>")), F.lit("|"), F.concat_ws(",", F.col("b").cast("array<string>"))).alias("text"),
-        F.flatten(F.transform("a", lambda x: F.transform("b", lambda y: x.cast("long") * PAIR + y))).alias("pairs"),
-    )
-    return linked.groupBy("u").agg(
-        F.sum("n_a").alias("n_a"), F.concat_ws(";", F.array_sort(F.collect_list(F.struct("g", "text"))).getField("text")).alias("groups"), F.flatten(F.collect_list("pairs")).alias("pairs"),
-    )
-
-
-def packed(known: DataFrame) -> DataFrame:
-    """known(unit, whole, n_a, groups, pairs) as few bytes a row: n_a is 0 where a unit is not whole, groups are half bytes."""
-    text = F.translate("groups", MARKS, LETTERS)
-    return known.select(
-        "unit", F.when(F.col("whole"), F.col("n_a")).otherwise(0).cast("int").alias("n_a"), F.unhex(F.when(F.length(text) % 2 == 1, F.concat(text, F.lit(FILL))).otherwise(text)).alias("groups"),
-        F.unhex(F.array_join(F.transform("pairs", lambda x: F.lpad(F.hex(x), 2 * WIDTH, "0")), "")).alias("pairs"),
-    )
-
-
-def _joined(column: pa.ChunkedArray) -> tuple[np.ndarray, bytes]:
-    """(where each value begins, and the end; all bytes)"""
-    values = column.to_pylist()
-    return np.cumsum([0, *map(len, values)]), b"".join(values)
-
-
-def _groups(column: pa.ChunkedArray) -> tuple[list[bytes], np.ndarray, np.ndarray]:
-    """(texts of groups, their numbers of groups, their numbers of tokens of both sides)"""
-    at, raw = _joined(column)
-    text = raw.hex().encode().translate(bytes.maketrans(LETTERS.encode(), MARKS.encode()))
-    chars, at = np.frombuffer(text, np.uint8), 2 * at
-    bars, commas = (np.concatenate([[0], np.cumsum(chars == ord(x))])[at] for x in "|,")
-    filled = np.concatenate([[0], np.cumsum(chars == ord(FILL))])[at]
-    texts = [text[a:b] for a, b in zip(at[:-1].tolist(), (at[1:] - np.diff(filled)).tolist(), strict=True)]
-    return texts, np.diff(bars), np.diff(commas) + 2 * np.diff(bars)
-
-
-def _pairs(column: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
-    """(where the pairs of each unit begin, and the end; all pairs)"""
-    at, raw = _joined(column)
-    wide = np.zeros((len(raw) // WIDTH, 8), np.uint8)
-    wide[:, 8 - WIDTH :] = np.frombuffer(raw, np.uint8).reshape(-1, WIDTH)
-    return at // WIDTH, wide.reshape(-1).view(">i8").astype(np.int64)
-
-
-def _by_code(units: pa.Table, column: str, kind: type) -> np.ndarray:
-    out = np.zeros(units.num_rows, kind)
-    out[np.asarray(units["n"])] = np.asarray(units[column])
-    return out
+    """encoded(u, tokens), u unique: u, groups (ids by group, in each those of A and then the complements of B's); units without tokens have no row."""
+    rows = encoded.select("u", "tokens").repartition("u").select("u", F.posexplode("tokens").alias("pos", "t"))
+    rows = rows.select("u", "pos", (F.col("t") < 0).alias("b"), F.when(F.col("t") < 0, F.bitwise_not("t")).otherwise(F.col("t")).alias("t"))
+    so_far = W.partitionBy("u", "b").orderBy("pos").rowsBetween(W.unboundedPreceding, W.currentRow)
+    ends = rows.select("u", "b", F.sum(F.col("t").bitwiseAND((1 << SIZE_BITS) - 1)).over(so_far).alias("end"), F.shiftright("t", SIZE_BITS).alias("id"))
+    shared = ends.withColumn("cut", F.count("*").over(W.partitionBy("u", "end")) == 2)  # a side has one token that ends there
+    before = W.partitionBy("u").orderBy("end").rangeBetween(W.unboundedPreceding, -1)
+    numbered = shared.withColumn("g", F.count(F.when(F.col("cut") & F.col("b"), 1)).over(before))
+    each = F.sort_array(F.collect_list(F.struct("g", "b", "end", "id")))
+    return numbered.groupBy("u").agg(F.transform(each, lambda x: F.when(x["b"], F.bitwise_not(x["id"])).otherwise(x["id"])).alias("groups"))
+
+
+def _by_block(places: pa.ListArray) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(block, rows that have a place there, their numbers there, ascending)"""
+    flat, row = places.flatten(), pc.list_parent_indices(places).to_numpy()
+    block, n = (flat.field(c).to_numpy() for c in ("block", "n"))
+    order = np.lexsort((n, block))
+    blocks, first = np.unique(block[order], return_index=True)
+    for x, some in zip(blocks.tolist(), np.split(order, first[1:]) if len(order) else [], strict=True):
+        yield x, row[some], n[some]
+
+
+def _dealt(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Units' groups at their places: a row a block, with numbers (as steps), sizes and tokens of its units."""
+    for batch in batches:
+        rows = []
+        for block, row, n in _by_block(batch.column("places")):
+            lists = batch.column("groups").take(pa.array(row))
+            rows.append((block, _squeezed(np.diff(n, prepend=0)), _squeezed(pc.list_value_length(lists).to_numpy()), _squeezed(lists.flatten().to_numpy())))
+        yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), (pa.int64(), *[pa.binary()] * 3), strict=True)] if rows else [pa.array([], t) for t in (pa.int64(), *[pa.binary()] * 3)], names=["block", "n", "sizes", "tokens"])
+
+
+def _column(units: pa.Table, column: str, kind: str = "<u4") -> np.ndarray:
+    return np.concatenate([np.zeros(0, np.int64), *[_numbers(x.as_py(), kind) for x in units[column]]])
+
+
+def _places(units: pa.Table) -> np.ndarray:
+    return np.concatenate([np.zeros(0, np.int64), *[np.cumsum(_numbers(x.as_py())) for x in units["n"]]])
+
+
+def _ranges(start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """start, start + 1, ... of each range, one range after the other."""
+    return np.arange(size.sum()) + np.repeat(start - np.cumsum(size) + size, size)
+
+
+def _units(units: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+    """(where the tokens of each of a block's units begin, and the end; all tokens), by the units' numbers."""
+    order = np.argsort(_places(units))
+    sizes = _column(units, "sizes")
+    first, sizes = (np.cumsum(sizes) - sizes)[order], sizes[order]
+    return np.cumsum([0, *sizes]), _column(units, "tokens").astype(np.uint32).view(np.int32).astype(np.int64)[_ranges(first, sizes)]
+
+
+def _begins(at: np.ndarray, tokens: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(whether a token is the first of its group; of its unit)"""
+    unit = np.zeros(len(tokens) + 1, bool)
+    unit[at] = True
+    unit = unit[:-1]
+    return unit | (tokens >= 0) & (np.concatenate([[0], tokens[:-1]]) < 0), unit
+
+
+def _texts(at: np.ndarray, tokens: np.ndarray) -> list[bytes]:
+    """The groups of each unit as text."""
+    group, unit = _begins(at, tokens)
+    ids, turns = np.where(tokens < 0, ~tokens, tokens), (tokens < 0) & (np.concatenate([[0], tokens[:-1]]) >= 0)
+    mark = np.where(unit, 0, np.where(group, 1, np.where(turns, 2, 3)))
+    most = int(ids.max(initial=0)) + 1
+    names = pa.array([f"{m}{i}".encode() for m in ("", ";", "|", ",") for i in range(most)], pa.binary())
+    return pc.binary_join(pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), names.take(pa.array(mark * most + ids))), b"").to_pylist()
+
+
+def _pairs(at: np.ndarray, tokens: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(where the pairs of each unit begin, and the end; all pairs; where its groups begin, and the end)"""
+    group, _ = _begins(at, tokens)
+    first = np.flatnonzero(group)
+    n_b = np.diff(np.concatenate([[0], np.cumsum(tokens < 0)])[np.append(first, len(tokens))])
+    n_a = np.diff(np.append(first, len(tokens))) - n_b
+    many = n_a * n_b
+    inside, of = _ranges(np.zeros(len(many), np.int64), many), np.repeat(np.arange(len(many)), many)
+    a, b = tokens[first[of] + inside // n_b[of]], ~tokens[first[of] + n_a[of] + inside % n_b[of]]
+    groups = np.concatenate([[0], np.cumsum(group)])[at]
+    return np.concatenate([[0], np.cumsum(many)])[groups], a * PAIR + b, groups
 
 
 def _totals(values: np.ndarray, codes: np.ndarray, at: np.ndarray) -> np.ndarray:
@@ -206,16 +226,15 @@ def _documents(docs: pa.Table, whole: np.ndarray) -> tuple[list[np.ndarray], np.
 
 def _together(docs: pa.Table, units: pa.Table) -> pa.Table:
     """One block: a row a document, and a row an id pair with the number of the block's documents that hold it."""
-    n, u = docs.num_rows, units.num_rows
-    n_a = _by_code(units, "n_a", np.int64)
+    first, tokens = _units(units)
+    n, u = docs.num_rows, len(first) - 1
+    n_tokens, n_a = np.diff(first), np.diff(np.concatenate([[0], np.cumsum(tokens >= 0)])[first])
     lists, codes, at = _documents(docs, n_a > 0)
-    place = np.empty(u, np.int64)
-    place[np.asarray(units["n"])] = np.arange(u)
-    groups, n_groups, n_tokens = _groups(units["groups"].take(pa.array(place)))
-    shas = [hashlib.sha256(b";".join(map(groups.__getitem__, c.tolist()))).hexdigest() if len(c) else "" for c in lists]
-    del groups
-    starts, flat = _pairs(units["pairs"].take(pa.array(place)))
-    sums = {c: _totals(v, codes, at) for c, v in (("n_a", n_a), ("n_b", n_tokens - n_a), ("n_groups", n_groups), ("n_links", np.diff(starts)))}
+    texts = _texts(first, tokens)
+    shas = [hashlib.sha256(b";".join(map(texts.__getitem__, c.tolist()))).hexdigest() if len(c) else "" for c in lists]
+    del texts
+    starts, flat, groups = _pairs(first, tokens)
+    sums = {c: _totals(v, codes, at) for c, v in (("n_a", n_a), ("n_b", n_tokens - n_a), ("n_groups", np.diff(groups)), ("n_links", np.diff(starts)))}
     different, number = np.unique(flat, return_inverse=True)
     held, first = np.zeros(len(different), np.int64), 0
     while first < n:
@@ -224,8 +243,7 @@ def _together(docs: pa.Table, units: pa.Table) -> pa.Table:
         mine = np.unique(of * max(u, 1) + codes[at[first] : at[last]])
         of, code = mine // max(u, 1), mine % max(u, 1)
         count = starts[code + 1] - starts[code]
-        inside = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
-        key = np.unique(np.repeat(of, count) * max(len(different), 1) + number[np.repeat(starts[code], count) + inside])
+        key = np.unique(np.repeat(of, count) * max(len(different), 1) + number[_ranges(starts[code], count)])
         held += np.bincount(key % max(len(different), 1), minlength=len(different))[: len(different)]
         first = last
     used = np.flatnonzero(held)
@@ -239,9 +257,33 @@ def _together(docs: pa.Table, units: pa.Table) -> pa.Table:
     )
 
 
+def _unit_sums(counts: pa.Table) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Of units' links that are among counts(pair, n, best): at each place how many are best, and the sum of their counts."""
+    turn = np.argsort(counts["pair"].to_numpy())
+    pair, n, best = (counts[c].to_numpy()[turn].astype(np.int64) for c in ("pair", "n", "best"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lists, rows = batch.column("groups"), []
+            at = np.cumsum([0, *pc.list_value_length(lists).to_numpy()])
+            starts, flat, _ = _pairs(at, lists.flatten().to_numpy().astype(np.int64))
+            place = np.minimum(np.searchsorted(pair, flat), max(len(pair) - 1, 0))
+            held = pair[place] == flat if len(pair) else np.zeros(len(flat), bool)
+            sums = [np.diff(np.concatenate([[0], np.cumsum(np.where(held, x[place], 0) if len(pair) else held)])[starts]) for x in (best, n)]
+            for block, row, number in _by_block(batch.column("places")):
+                rows.append((block, _squeezed(np.diff(number, prepend=0)), *[_squeezed(x[row], "<u8") for x in sums]))
+            yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in rows], t) for i, t in enumerate((pa.int64(), *[pa.binary()] * 3))], names=["block", "n", "n_best", "count_sum"])
+
+    return run
+
+
 def _summed(docs: pa.Table, units: pa.Table) -> pa.Table:
-    _, codes, at = _documents(docs, _by_code(units, "whole", bool))
-    return pa.table({"block": docs["block"], "n": docs["n"]} | {c: pa.array(_totals(_by_code(units, c, np.int64), codes, at), pa.int64()) for c in ("n_best", "count_sum")})
+    n, sums = _places(units), {}
+    for c in ("n_best", "count_sum"):
+        sums[c] = np.zeros(n.max(initial=-1) + 1, np.int64)
+        np.add.at(sums[c], n, _column(units, c, "<u8"))
+    _, codes, at = _documents(docs, sums["count_sum"] > 0)  # a unit of a document that has tokens has a link that is counted
+    return pa.table({"block": docs["block"], "n": docs["n"]} | {c: pa.array(_totals(v, codes, at), pa.int64()) for c, v in sums.items()})
 
 
 def _per_block(docs: DataFrame, units: DataFrame, f: Callable[[pa.Table, pa.Table], pa.Table], schema: str) -> DataFrame:
@@ -255,20 +297,28 @@ def link_documents(docs: DataFrame, path_a: str | None = None, path_b: str | Non
     spark = docs.sparkSession
     importable(spark)
     path_a, path_b = path_a or default_path("byte_bpe_50k.json"), path_b or default_path("piece_bpe_32k.model")
-    with settings(spark, spark__sql__execution__arrow__maxRecordsPerBatch=str(block_rows), spark__sql__execution__arrow__maxBytesPerBatch=str(BLOCK_BYTES)):
+    batch = {"spark__sql__execution__arrow__maxBytesPerBatch": str(BLOCK_BYTES), "spark__sql__parquet__compression__codec": "zstd"}
+    with settings(spark, spark__sql__execution__arrow__maxRecordsPerBatch=str(block_rows), **batch):
         coded = written(docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(_coded, CODED), "coded")
-    texts, units = coded.filter("codes is not null").select("block", "n", "doc_id", "codes"), coded.filter("unit is not null").select("block", "n", "unit")
-    encoded = written(encode_units(units.select("unit").distinct(), path_a, path_b).withColumn("u", F.monotonically_increasing_id()), "units")
-    with settings(spark, spark__sql__requireAllClusterKeysForCoPartition="false"):  # a unit's rows are together: joins on more than u need no other shuffle
-        zeros = {"n_a": F.coalesce("n_a", F.lit(0)), "groups": F.coalesce("groups", F.lit("")), "pairs": F.coalesce("pairs", F.array().cast("array<bigint>"))}
-        # a unit that is not whole may have no group
-        known = written(encoded.select("u", "unit", "whole").join(align(encoded), "u", "left").withColumns(zeros).drop("u"), "aligned-units")
-    rows = written(_per_block(texts, units.join(packed(known), "unit").drop("unit"), _together, MADE), "aligned")
-    # a pair's A id has at most as many pairs as B has pieces
-    counts = rows.filter("pair is not null").groupBy("pair").agg(F.sum("docs").alias("n")).withColumn("best", F.max("n").over(W.partitionBy(F.floor(F.col("pair") / PAIR))) == F.col("n"))
-    counts = written(counts, "pairs", few=True)
-    sums = known.select("unit", "whole", F.explode("pairs").alias("pair")).join(counts, "pair", "left").groupBy("unit", "whole").agg(F.count_if("best").alias("n_best"), F.coalesce(F.sum("n"), F.lit(0)).alias("count_sum"))
-    back = _per_block(texts.drop("doc_id"), units.join(sums, "unit").drop("unit"), _summed, SUMS)
+    texts = coded.filter("codes is not null").select("block", "n", "doc_id", "codes")
+    with settings(spark, spark__sql__execution__arrow__maxRecordsPerBatch=str(DEALT), **batch):
+        units = coded.filter("unit is not null").groupBy("unit").agg(F.collect_list(F.struct("block", "n")).alias("places"))
+        encoded = written(encode_units(units, path_a, path_b).withColumn("u", F.monotonically_increasing_id()), "units")
+        # a unit whose tokens are not its bytes has no group
+        groups = F.coalesce("groups", F.array().cast("array<int>")).alias("groups")
+        known = written(encoded.select("u", "places").join(align(encoded), "u", "left").select("places", groups), "aligned-units")
+        dealt = known.mapInArrow(_dealt, "block long, n binary, sizes binary, tokens binary")
+        rows = written(_per_block(texts, dealt, _together, MADE), "aligned")
+        # a pair's A id has at most as many pairs as B has pieces
+        counts = rows.filter("pair is not null").groupBy("pair").agg(F.sum("docs").alias("n")).withColumn("best", F.max("n").over(W.partitionBy(F.floor(F.col("pair") / PAIR))) == F.col("n"))
+        counts = written(counts, "pairs", few=True)
+        parts = max(1, -(-counts.count() // COUNTS))
+        sums = []
+        for i in range(parts):
+            # no more than a part at a time is on the driver, as if it were broadcast
+            part = _unit_sums(counts.filter(F.pmod(F.xxhash64("pair"), F.lit(parts)) == i).toArrow())
+            sums.append(written(known.mapInArrow(part, "block long, n binary, n_best binary, count_sum binary"), "unit-sums"))
+        back = written(_per_block(texts.drop("doc_id"), reduce(DataFrame.union, sums), _summed, SUMS), "sums")
     out = rows.filter("pair is null").join(back, ["block", "n"])
     return out.select("doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256"), counts
 

@@ -6,6 +6,7 @@ import pytest
 import sentencepiece
 from tokenizers import Tokenizer
 
+from recollex.llm import alignment
 from recollex.llm.alignment import UNIT, link_documents, op12_alignment
 from recollex.llm.bpe import default_path
 from tests.llm.helpers import AWKWARD, table
@@ -98,5 +99,25 @@ def test_documents(spark, both):
     assert rows_of(op12_alignment(spark, sf)) == brute(rows, both)[0]
 
 
+def test_little_is_shuffled(spark):
+    """Units go to their places as numbers, a row a block; no text of a unit or of its groups is shuffled again."""
+    def shuffled():
+        stages = spark._jsc.sc().statusStore().stageList(None, False, False, spark.sparkContext._gateway.new_array(spark._jvm.double, 0), None)
+        return {(s.stageId(), s.attemptId()): s.shuffleWriteBytes() for s in map(stages.apply, range(stages.size()))}
+
+    before, sf = shuffled(), "/root/testdata/sf0.01"
+    op12_alignment(spark, sf).write.format("noop").mode("overwrite").save()
+    mine = sum(n for key, n in shuffled().items() if key not in before)
+    texts = sum(len(x.text.encode()) for x in spark.read.parquet(f"{sf}/documents.parquet").select("text").collect() if x.text)
+    assert 0 < mine < 5 * texts
+
+
+def test_counts_in_parts(spark, both, monkeypatch):
+    r = random.Random(6)
+    rows = [(i, noise(r)) for i in range(60)]
+    monkeypatch.setattr(alignment, "COUNTS", 50)
+    assert rows_of(link_documents(table(spark, rows), block_rows=25)[0]) == brute(rows, both)[0]
+
+
 def test_empty_table(spark):
     assert link_documents(table(spark).limit(0))[0].collect() == []
