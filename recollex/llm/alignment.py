@@ -6,7 +6,8 @@ unit, has the same tokens, groups and links in every text.  Units repeat as word
 
 Alignment is relational: token lists of both sides are exploded with their positions, a window adds up byte lengths, rows that meet on unit and
 end are the ends that both sides share, a running count of these cuts is the group of every token, and a unit's tokens are put together by group: in
-each group first A's, then B's, so that the list alone tells the groups.  All of it happens where a unit's rows are: they are shuffled once, as lists.
+each group first A's, then B's, so that the list alone tells the groups.  All of it happens where a unit's rows are: they are shuffled once, as lists,
+to parts of a bounded number of units, which a task sorts one after the other: its memory doesn't grow with the table or with few shuffle partitions.
 
 Documents.  Texts are cut into units where they are read.  A block, which is one Arrow batch of documents, keeps its different units and, a
 document, the numbers of its units in order.  A unit is gathered once, with its places (block and number there), and goes back to these places: a
@@ -47,6 +48,8 @@ UNIT = re.compile(r" [^ ]*(?:(?<=\s) [^ ]*)*")
 PAIR, SIZE_BITS = 1 << 20, 12
 #: Units of documents whose pairs are told apart together; units that are dealt to their blocks together; pairs whose counts are in every task at a time.
 AT_ONCE, DEALT, COUNTS = 1 << 18, 1 << 16, 1 << 21
+#: Units of a part whose tokens are sorted together, about; parts that a task takes one after the other, at most.
+PART, PARTS = 1 << 15, 4
 
 CODED = "block long, n int, doc_id long, codes binary, unit string"
 MADE = "block long, n int, doc_id long, n_a long, n_b long, n_groups long, n_links long, groups_sha256 string, pair long, docs long"
@@ -127,9 +130,9 @@ def encode_units(units: DataFrame, path_a: str, path_b: str) -> DataFrame:
     return units.mapInArrow(run, f"{PLACES}, tokens array<int>")
 
 
-def align(encoded: DataFrame) -> DataFrame:
+def align(encoded: DataFrame, parts: int) -> DataFrame:
     """encoded(u, tokens), u unique: u, groups (ids by group, in each those of A and then the complements of B's); units without tokens have no row."""
-    rows = encoded.select("u", "tokens").repartition("u").select("u", F.posexplode("tokens").alias("pos", "t"))
+    rows = encoded.select("u", "tokens").repartition(parts, "u").select("u", F.posexplode("tokens").alias("pos", "t"))
     rows = rows.select("u", "pos", (F.col("t") < 0).alias("b"), F.when(F.col("t") < 0, F.bitwise_not("t")).otherwise(F.col("t")).alias("t"))
     so_far = W.partitionBy("u", "b").orderBy("pos").rowsBetween(W.unboundedPreceding, W.currentRow)
     ends = rows.select("u", "b", F.sum(F.col("t").bitwiseAND((1 << SIZE_BITS) - 1)).over(so_far).alias("end"), F.shiftright("t", SIZE_BITS).alias("id"))
@@ -140,6 +143,17 @@ def align(encoded: DataFrame) -> DataFrame:
     return numbered.groupBy("u").agg(F.transform(each, lambda x: F.when(x["b"], F.bitwise_not(x["id"])).otherwise(x["id"])).alias("groups"))
 
 
+def aligned(encoded: DataFrame) -> DataFrame:
+    """places, groups of every unit of a written table (none if its tokens are not its bytes)."""
+    spark = encoded.sparkSession
+    parts = -(-max(1, encoded.count()) // PART)
+    groups = F.coalesce("groups", F.array().cast("array<int>")).alias("groups")
+    # rows are in order of u where they are gathered; a hash table of lists would sort them once more
+    with settings(spark, spark__sql__execution__useObjectHashAggregateExec="false"):
+        known = encoded.select("u", "places").join(align(encoded, parts), "u", "left").select("places", groups)
+        return written(known.coalesce(max(-(-parts // PARTS), min(parts, 2 * spark.sparkContext.defaultParallelism))), "aligned-units")
+
+
 def _by_block(places: pa.ListArray) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     """(block, rows that have a place there, their numbers there, ascending)"""
     flat, row = places.flatten(), pc.list_parent_indices(places).to_numpy()
@@ -304,9 +318,7 @@ def link_documents(docs: DataFrame, path_a: str | None = None, path_b: str | Non
     with settings(spark, spark__sql__execution__arrow__maxRecordsPerBatch=str(DEALT), **batch):
         units = coded.filter("unit is not null").groupBy("unit").agg(F.collect_list(F.struct("block", "n")).alias("places"))
         encoded = written(encode_units(units, path_a, path_b).withColumn("u", F.monotonically_increasing_id()), "units")
-        # a unit whose tokens are not its bytes has no group
-        groups = F.coalesce("groups", F.array().cast("array<int>")).alias("groups")
-        known = written(encoded.select("u", "places").join(align(encoded), "u", "left").select("places", groups), "aligned-units")
+        known = aligned(encoded)
         dealt = known.mapInArrow(_dealt, "block long, n binary, sizes binary, tokens binary")
         rows = written(_per_block(texts, dealt, _together, MADE), "aligned")
         # a pair's A id has at most as many pairs as B has pieces

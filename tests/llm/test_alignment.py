@@ -4,11 +4,13 @@ from collections import Counter, defaultdict
 
 import pytest
 import sentencepiece
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from recollex.llm import alignment
 from recollex.llm.alignment import UNIT, link_documents, op12_alignment
 from recollex.llm.bpe import default_path
+from recollex.session import settings
 from tests.llm.helpers import AWKWARD, table
 
 
@@ -119,5 +121,23 @@ def test_counts_in_parts(spark, both, monkeypatch):
     assert rows_of(link_documents(table(spark, rows), block_rows=25)[0]) == brute(rows, both)[0]
 
 
+def test_parts_are_bounded(spark, both, monkeypatch):
+    """However few shuffle partitions there are, a bounded number of units is sorted together."""
+    align, sizes = alignment.align, []
+
+    def seen(*given):
+        found = align(*given)
+        sizes.extend(x["count"] for x in found.groupBy(F.spark_partition_id().alias("p")).count().collect())
+        return found
+
+    r = random.Random(8)
+    rows = [(i, noise(r)) for i in range(200)]
+    monkeypatch.setattr(alignment, "PART", 64, raising=False)
+    monkeypatch.setattr(alignment, "align", seen)
+    with settings(spark, spark__sql__shuffle__partitions="1"):
+        assert rows_of(link_documents(table(spark, rows))[0]) == brute(rows, both)[0]
+    assert sum(sizes) > 4 * 64 and max(sizes) < 3 * 64
+
+
 def test_empty_table(spark):
     assert link_documents(table(spark).limit(0))[0].collect() == []
