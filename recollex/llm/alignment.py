@@ -68,6 +68,12 @@ def _pieces(path: str):
     return b, raw
 
 
+def _released() -> None:
+    """Give memory that is free in this worker back to the machine: a worker outlives its tasks, and would keep the most that any of them took."""
+    for pool in (pa.default_memory_pool(), pa.system_memory_pool()):
+        pool.release_unused()
+
+
 def _squeezed(codes: np.ndarray, kind: str = "<u4") -> bytes:
     """Numbers as byte planes in a zstandard frame."""
     width = np.dtype(kind).itemsize
@@ -104,6 +110,8 @@ def _coded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 pa.concat_arrays([pa.nulls(n, pa.string()), words.dictionary.take(pa.array(order))]),
             ], names=["block", "n", "doc_id", "codes", "unit"],
         )
+        del found, words, codes, counts, order, rank, blobs
+        _released()
 
 
 def encode_units(units: DataFrame, path_a: str, path_b: str) -> DataFrame:
@@ -126,6 +134,8 @@ def encode_units(units: DataFrame, path_a: str, path_b: str) -> DataFrame:
             at = pa.array(np.cumsum([0, *map(len, ids)]).astype(np.int32))
             flat = np.array([i for x in ids for i in x], np.int64)
             yield pa.RecordBatch.from_arrays([batch.column("places"), pa.ListArray.from_arrays(at, pa.array(token[flat]))], names=["places", "tokens"])
+            del texts, a, b, whole, ids, at, flat
+            _released()
 
     return units.mapInArrow(run, f"{PLACES}, tokens array<int>")
 
@@ -240,6 +250,7 @@ def _documents(docs: pa.Table, whole: np.ndarray) -> tuple[list[np.ndarray], np.
 
 def _together(docs: pa.Table, units: pa.Table) -> pa.Table:
     """One block: a row a document, and a row an id pair with the number of the block's documents that hold it."""
+    _released()
     first, tokens = _units(units)
     n, u = docs.num_rows, len(first) - 1
     n_tokens, n_a = np.diff(first), np.diff(np.concatenate([[0], np.cumsum(tokens >= 0)])[first])
@@ -247,6 +258,7 @@ def _together(docs: pa.Table, units: pa.Table) -> pa.Table:
     texts = _texts(first, tokens)
     shas = [hashlib.sha256(b";".join(map(texts.__getitem__, c.tolist()))).hexdigest() if len(c) else "" for c in lists]
     del texts
+    _released()
     starts, flat, groups = _pairs(first, tokens)
     sums = {c: _totals(v, codes, at) for c, v in (("n_a", n_a), ("n_b", n_tokens - n_a), ("n_groups", np.diff(groups)), ("n_links", np.diff(starts)))}
     different, number = np.unique(flat, return_inverse=True)
